@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401
     q_columns,
     q_index,
     q_history,
+    q_resolve,
 )
 from tidemark.plans.catalog import ORACLES, QUERIES, VIEWS, run
 
