@@ -14,6 +14,11 @@ def or_blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not just blanks."""
     return F.regexp_replace(or_blank(c), r"^\s+|\s+$", "")
@@ -38,27 +43,29 @@ def capitalize(c: Column) -> Column:
 
 def first_rule(text: Column, rules, default: Column) -> Column:
     """Value of the first pattern found in ``text``."""
-    branch = F
-    for pattern, value in rules:
-        branch = branch.when(text.rlike(pattern), F.lit(value))
-    return branch.otherwise(default)
+    def branches(t: Column) -> Column:
+        branch = F
+        for pattern, value in rules:
+            branch = branch.when(t.rlike(pattern), F.lit(value))
+        return branch.otherwise(default)
+    return let(text, branches)
 
 
 def canonical_version(c: Column) -> Column:
     """Version name behind an alias; an unknown text stays as it is."""
     pairs = [F.lit(x) for item in fixed.VERSION_ALIASES.items() for x in item]
-    return F.coalesce(F.create_map(*pairs)[F.lower(strip(c))], c)
+    return let(c, lambda v: F.coalesce(F.create_map(*pairs)[F.lower(strip(v))], v))
 
 
 def detect_version(c: Column) -> Column:
-    t = clean(c)
-    return (F.when(t.contains("season of discovery") | t.rlike(r"\bsod\b|\bseasonal\b"),
-                   "Season of Discovery")
-            .when(t.contains("anniversary"), "Anniversary")
-            .when(t.contains("mop classic") | t.contains("mists of pandaria"), "MoP Classic")
-            .when(t.contains("classic era"), "Classic Era")
-            .when(t.contains("hardcore"), "Hardcore")
-            .otherwise("Classic"))
+    return let(clean(c), lambda t: F
+               .when(t.contains("season of discovery") | t.rlike(r"\bsod\b|\bseasonal\b"),
+                     "Season of Discovery")
+               .when(t.contains("anniversary"), "Anniversary")
+               .when(t.contains("mop classic") | t.contains("mists of pandaria"), "MoP Classic")
+               .when(t.contains("classic era"), "Classic Era")
+               .when(t.contains("hardcore"), "Hardcore")
+               .otherwise("Classic"))
 
 
 def registry_version(c: Column) -> Column:
@@ -66,8 +73,7 @@ def registry_version(c: Column) -> Column:
 
 
 def registry_region(c: Column) -> Column:
-    region = F.upper(strip(c))
-    return F.when(region == "NA", "US").otherwise(region)
+    return let(F.upper(strip(c)), lambda region: F.when(region == "NA", "US").otherwise(region))
 
 
 def faction_or_default(c: Column) -> Column:
@@ -88,16 +94,19 @@ def bracket_title(title: Column) -> Column:
     Looser shapes: realm up to the bracket or up to the trailing faction, region from any
     bracket or region word, version from key words.
     """
-    t = strip(title)
+    return let(strip(title), _bracket_parts)
+
+
+def _bracket_parts(t: Column) -> Column:
     low = F.lower(t)
-    strict = t.rlike(fixed.BRACKET_TITLE)
     part = lambda i: F.regexp_extract(t, fixed.BRACKET_TITLE, i)
     hint = F.when(low.contains("alliance"), "Alliance").otherwise("Horde")
-
     strict_faction = F.coalesce(blank_to_null(capitalize(part(4))), hint)
+    strict = F.struct(strip(part(1)).alias("server"), F.upper(part(2)).alias("region"),
+                      strip(part(3)).alias("version"), strict_faction.alias("faction"))
+
     end_faction = F.coalesce(
         blank_to_null(capitalize(F.regexp_extract(t, fixed.FACTION_END, 1))), hint)
-
     dashed = F.regexp_extract(t, r"(?is)^(.*?)\s+-\s+(?:.*\s+-\s+)?(?:alliance|horde)\s*$", 1)
     loose_server = F.coalesce(
         blank_to_null(F.when(t.contains("["), strip(F.substring_index(t, "[", 1)))
@@ -106,19 +115,18 @@ def bracket_title(title: Column) -> Column:
                                   F.regexp_extract(t, fixed.BRACKET_REGION, 1))
                            .otherwise(F.regexp_extract(t, fixed.REGION_WORD, 1)))
     padded = F.concat(F.lit(" "), low, F.lit(" "))
-    loose_version = (F.when(low.contains("classic era"), "Classic")
-                     .when(low.contains("seasonal") | low.contains("season of discovery")
-                           | padded.contains(" sod "), "Seasonal")
-                     .when(low.contains("anniversary"), "Anniversary")
-                     .when(low.contains("hardcore"), "Hardcore")
-                     .when(loose_region != "", "Classic").otherwise(""))
-    empty = t == ""
-    return F.struct(
-        F.when(empty, "").when(strict, strip(part(1))).otherwise(loose_server).alias("server"),
-        F.when(empty, "").when(strict, F.upper(part(2))).otherwise(loose_region).alias("region"),
-        F.when(empty, "").when(strict, strip(part(3))).otherwise(loose_version).alias("version"),
-        F.when(empty, "Horde").when(strict, strict_faction).otherwise(end_faction).alias("faction"),
-    )
+    loose = let(loose_region, lambda region: F.struct(
+        loose_server.alias("server"), region.alias("region"),
+        F.when(low.contains("classic era"), "Classic")
+        .when(low.contains("seasonal") | low.contains("season of discovery")
+              | padded.contains(" sod "), "Seasonal")
+        .when(low.contains("anniversary"), "Anniversary")
+        .when(low.contains("hardcore"), "Hardcore")
+        .when(region != "", "Classic").otherwise("").alias("version"),
+        end_faction.alias("faction")))
+    empty = F.struct(F.lit("").alias("server"), F.lit("").alias("region"), F.lit("").alias("version"),
+                     F.lit("Horde").alias("faction"))
+    return F.when(t == "", empty).when(t.rlike(fixed.BRACKET_TITLE), strict).otherwise(loose)
 
 
 def last_dash_left(c: Column) -> Column:
@@ -135,41 +143,46 @@ def listing_label(display: Column, server: Column) -> Column:
 
     Without a region the label is cleared; a label equal to the realm is cleared too.
     """
-    raw = strip(display)
     pattern = r"(?s)^\(([A-Za-z]{2,})\)\s*(.*)$"
-    body = strip(F.regexp_extract(raw, pattern, 2))
-    left, right = last_dash_left(body), last_dash_right(body)
-    version = canonical_version(detect_version(F.coalesce(blank_to_null(left), body)))
-    realm = strip(F.coalesce(right, body))
-    label = F.concat(F.lit("("), F.upper(F.regexp_extract(raw, pattern, 1)), F.lit(") "), version)
-    matched = raw.rlike(pattern)
-    new_server = F.when(matched & (realm != ""), realm).otherwise(server)
-    new_label = F.when(matched & ~label.eqNullSafe(new_server), label).otherwise("")
-    return F.struct(new_label.alias("label"), new_server.alias("server"))
+
+    def from_body(raw: Column, body: Column) -> Column:
+        version = canonical_version(detect_version(
+            F.coalesce(blank_to_null(last_dash_left(body)), body)))
+        label = F.concat(F.lit("("), F.upper(F.regexp_extract(raw, pattern, 1)), F.lit(") "), version)
+        realm = strip(F.coalesce(last_dash_right(body), body))
+        name = let(realm, lambda r: F.when(r != "", r).otherwise(server))
+        return let(F.struct(label.alias("label"), name.alias("server")), lambda p: F.struct(
+            F.when(p["label"].eqNullSafe(p["server"]), "").otherwise(p["label"]).alias("label"),
+            p["server"].alias("server")))
+
+    return let(strip(display), lambda raw: F.when(
+        raw.rlike(pattern),
+        let(strip(F.regexp_extract(raw, pattern, 2)), lambda body: from_body(raw, body)))
+        .otherwise(F.struct(F.lit("").alias("label"), server.alias("server"))))
 
 
 def title_label(raw_title: Column, display: Column) -> Column:
     """'(REG) Version - Realm - Faction' -> '(REG) Version'; other shapes keep ``display``."""
-    raw = strip(raw_title)
     pattern = r"(?s)^\(([A-Za-z]{2,})\)\s*(.+)$"
-    body = strip(F.regexp_extract(raw, pattern, 2))
-    head = F.coalesce(last_dash_left(body), body)
-    version = canonical_version(strip(F.substring_index(head, " - ", 1)))
-    return (F.when(raw.rlike(pattern),
-                   F.concat(F.lit("("), F.upper(F.regexp_extract(raw, pattern, 1)),
-                            F.lit(") "), version))
-            .otherwise(display))
+    head = lambda body: F.coalesce(last_dash_left(body), body)
+    return let(strip(raw_title), lambda raw: F.when(
+        raw.rlike(pattern),
+        F.concat(F.lit("("), F.upper(F.regexp_extract(raw, pattern, 1)), F.lit(") "),
+                 canonical_version(strip(F.substring_index(
+                     let(strip(F.regexp_extract(raw, pattern, 2)), head), " - ", 1)))))
+        .otherwise(display))
 
 
 def group_label(display: Column, server: Column) -> Column:
     """'(reg) version' -> canonical label; a label equal to the realm is cleared."""
-    ds = or_blank(display)
-    region = F.regexp_extract(ds, fixed.REGION_LABEL, 1)
-    version = canonical_version(strip(F.regexp_extract(ds, fixed.REGION_LABEL, 2)))
-    same = (ds != "") & (F.lower(ds) == F.lower(or_blank(server)))
-    return (F.when(ds.rlike(fixed.REGION_LABEL),
-                   F.concat(F.lit("("), F.upper(region), F.lit(") "), version))
-            .when(same, "").otherwise(ds))
+    def relabel(ds: Column) -> Column:
+        version = canonical_version(strip(F.regexp_extract(ds, fixed.REGION_LABEL, 2)))
+        same = (ds != "") & (F.lower(ds) == F.lower(or_blank(server)))
+        return (F.when(ds.rlike(fixed.REGION_LABEL),
+                       F.concat(F.lit("("), F.upper(F.regexp_extract(ds, fixed.REGION_LABEL, 1)),
+                                F.lit(") "), version))
+                .when(same, "").otherwise(ds))
+    return let(or_blank(display), relabel)
 
 
 def inject_version(title: Column, game_version: Column) -> Column:
@@ -190,13 +203,15 @@ def latin_title(title: Column, game_version: Column) -> Column:
 
 def realm_faction(c: Column) -> Column:
     """Split at the last ' - ', else at the last '- '; without either the faction is blank."""
-    text = or_blank(c)
     loose = r"(?s)^(.*)- (.*)$"
-    server = (F.when(text.contains(" - "), last_dash_left(text))
-              .when(text.contains("- "), F.regexp_extract(text, loose, 1)).otherwise(text))
-    faction = (F.when(text.contains(" - "), last_dash_right(text))
-               .when(text.contains("- "), F.regexp_extract(text, loose, 2)).otherwise(""))
-    return F.struct(strip(server).alias("server"), strip(faction).alias("faction"))
+
+    def split(text: Column) -> Column:
+        server = (F.when(text.contains(" - "), last_dash_left(text))
+                  .when(text.contains("- "), F.regexp_extract(text, loose, 1)).otherwise(text))
+        faction = (F.when(text.contains(" - "), last_dash_right(text))
+                   .when(text.contains("- "), F.regexp_extract(text, loose, 2)).otherwise(""))
+        return F.struct(strip(server).alias("server"), strip(faction).alias("faction"))
+    return let(or_blank(c), split)
 
 
 def first_token_region(c: Column) -> Column:
@@ -206,13 +221,13 @@ def first_token_region(c: Column) -> Column:
 
 def rebuilt_label(raw_title: Column) -> Column:
     """Bracket title -> struct(label, server); null label when the title has another shape."""
-    raw = strip(raw_title)
-    part = lambda i: F.regexp_extract(raw, fixed.BRACKET_TITLE, i)
-    label = F.concat(F.lit("("), registry_region(part(2)), F.lit(") "),
-                     canonical_version(strip(part(3))))
-    matched = raw.rlike(fixed.BRACKET_TITLE)
-    return F.struct(F.when(matched, label).alias("label"),
-                    F.when(matched, strip(part(1))).alias("server"))
+    def rebuild(raw: Column) -> Column:
+        part = lambda i: F.regexp_extract(raw, fixed.BRACKET_TITLE, i)
+        label = F.concat(F.lit("("), registry_region(part(2)), F.lit(") "),
+                         canonical_version(strip(part(3))))
+        return F.when(raw.rlike(fixed.BRACKET_TITLE),
+                      F.struct(label.alias("label"), strip(part(1)).alias("server")))
+    return let(strip(raw_title), rebuild)
 
 
 def prefixed_label(display: Column, page_region: Column, game_version: Column,
@@ -250,11 +265,12 @@ def game_version_of(label: Column) -> Column:
 
 def version_rank(label: Column) -> Column:
     """Rank of the longest version name in the label."""
-    low = F.lower(strip(label))
-    branch = F
-    for name in sorted(fixed.VERSION_RANKS, key=len, reverse=True):
-        branch = branch.when(low.contains(name.lower()), F.lit(fixed.VERSION_RANKS[name]))
-    return branch.otherwise(F.lit(fixed.UNKNOWN_VERSION_RANK))
+    def rank(low: Column) -> Column:
+        branch = F
+        for name in sorted(fixed.VERSION_RANKS, key=len, reverse=True):
+            branch = branch.when(low.contains(name.lower()), F.lit(fixed.VERSION_RANKS[name]))
+        return branch.otherwise(F.lit(fixed.UNKNOWN_VERSION_RANK))
+    return let(F.lower(strip(label)), rank)
 
 
 def split_label(label: Column) -> Column:
@@ -271,16 +287,19 @@ def without_region(label: Column) -> Column:
 
 def server_slug(raw: Column) -> Column:
     """Any listing title -> struct(slug, display): realm name, with '(REGION)' behind it."""
-    text = strip(raw)
-    region = strip(F.regexp_extract(text, r"^\(([^)]+)\)\s*", 1))
-    name = strip(F.regexp_replace(text, r"^\([^)]+\)\s*", ""))
-    name = strip(F.substring_index(name, " - ", -1))
-    name = strip(F.regexp_replace(name, r"#\S+\s*", ""))
-    name = F.coalesce(blank_to_null(name), text)
-    display = F.when(region != "", F.concat(name, F.lit(" ("), region, F.lit(")"))).otherwise(name)
-    blank = text == ""
-    return F.struct(F.when(blank, "unknown").otherwise(F.lower(name)).alias("slug"),
-                    F.when(blank, "unknown").otherwise(display).alias("display"))
+    def named(text: Column) -> Column:
+        name = strip(F.regexp_replace(text, r"^\([^)]+\)\s*", ""))
+        name = strip(F.regexp_replace(strip(F.substring_index(name, " - ", -1)), r"#\S+\s*", ""))
+        return F.struct(F.coalesce(blank_to_null(name), text).alias("name"),
+                        strip(F.regexp_extract(text, r"^\(([^)]+)\)\s*", 1)).alias("region"))
+
+    def shown(p: Column) -> Column:
+        full = F.concat(p["name"], F.lit(" ("), p["region"], F.lit(")"))
+        return F.struct(F.lower(p["name"]).alias("slug"),
+                        F.when(p["region"] != "", full).otherwise(p["name"]).alias("display"))
+
+    unknown = F.struct(F.lit("unknown").alias("slug"), F.lit("unknown").alias("display"))
+    return let(strip(raw), lambda t: F.when(t == "", unknown).otherwise(let(named(t), shown)))
 
 
 # --- keys -------------------------------------------------------------------------------
@@ -288,32 +307,34 @@ def server_slug(raw: Column) -> Column:
 def alias_key(source: Column, raw_title: Column, display: Column, server: Column,
               faction: Column) -> Column:
     """Text under which a listing is looked up in the alias table, or null."""
-    ds = strip(display)
-    labelled = ds.rlike(r"(?i)^\([A-Z]{2,}\)\s*.+$")
-    region = F.upper(F.regexp_extract(ds, fixed.REGION_LABEL, 1))
-    version = fold_apostrophes(strip(F.regexp_extract(ds, fixed.REGION_LABEL, 2)))
     name = fold_apostrophes(or_blank(server))
-    head = F.concat(F.lit("("), region, F.lit(") "), version)
-    rebuilt = F.when(labelled & (name != ""),
-                     F.concat(name, F.lit(" ["), region, F.lit(" - "), version,
-                              F.lit("] - "), faction))
-    return (F.when(source == "g2g", F.coalesce(blank_to_null(raw_title), rebuilt))
-            .when(source.isin("funpay", "playerauctions") & labelled,
-                  F.when(name != "", F.concat(head, F.lit(" - "), name)).otherwise(head)))
+
+    def key(ds: Column) -> Column:
+        labelled = ds.rlike(r"(?i)^\([A-Z]{2,}\)\s*.+$")
+        region = F.upper(F.regexp_extract(ds, fixed.REGION_LABEL, 1))
+        version = fold_apostrophes(strip(F.regexp_extract(ds, fixed.REGION_LABEL, 2)))
+        rebuilt = F.when(labelled & (name != ""),
+                         F.concat(name, F.lit(" ["), region, F.lit(" - "), version,
+                                  F.lit("] - "), faction))
+        tail = F.when(name != "", F.concat(F.lit(" - "), name)).otherwise("")
+        return (F.when(source == "g2g", F.coalesce(blank_to_null(raw_title), rebuilt))
+                .when(source.isin("funpay", "playerauctions") & labelled,
+                      F.concat(F.lit("("), region, F.lit(") "), version, tail)))
+    return let(strip(display), key)
 
 
 # --- numbers and small lookups ----------------------------------------------------------
 
 def parse_number(raw: Column) -> Column:
     """Number in any locale; the last separator is the decimal one."""
-    kept = F.regexp_replace(raw, r"[^\d.,]", "")
-    comma, dot = F.instr(F.reverse(kept), ","), F.instr(F.reverse(kept), ".")
-    one_kind = F.translate(F.regexp_replace(kept, r"[.,](?=.*[.,])", ""), ",", ".")
-    comma_last = F.translate(F.translate(kept, ".", ""), ",", ".")
-    dot_last = F.translate(kept, ",", "")
-    text = (F.when((comma == 0) | (dot == 0), one_kind)
-            .when(comma < dot, comma_last).otherwise(dot_last))
-    return text.try_cast("double")
+    def number(kept: Column) -> Column:
+        comma, dot = F.instr(F.reverse(kept), ","), F.instr(F.reverse(kept), ".")
+        one_kind = F.translate(F.regexp_replace(kept, r"[.,](?=.*[.,])", ""), ",", ".")
+        comma_last = F.translate(F.translate(kept, ".", ""), ",", ".")
+        dot_last = F.translate(kept, ",", "")
+        return (F.when((comma == 0) | (dot == 0), one_kind)
+                .when(comma < dot, comma_last).otherwise(dot_last)).try_cast("double")
+    return let(F.regexp_replace(raw, r"[^\d.,]", ""), number)
 
 
 def parse_amount(raw: Column) -> Column:

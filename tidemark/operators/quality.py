@@ -11,6 +11,8 @@ from tidemark.functions import fixed, text
 from tidemark.functions.prices import with_prices
 from tidemark.operators.ranking import dedup
 from tidemark.operators.resolve import enriched, resolved
+from tidemark.operators.scale import lookup
+from tidemark.session import materialize
 
 
 def relabelled(listings: DataFrame) -> DataFrame:
@@ -25,14 +27,13 @@ def relabelled(listings: DataFrame) -> DataFrame:
     }).drop("_l")
 
 
-def field_reason() -> Column:
-    """Reject reason of a row's own fields."""
+def title_reason() -> Column:
+    """Reject reason of a row's faction and title."""
     faction = F.lower(text.strip(F.col("faction")))
-    return (F.when((faction != "") & ~faction.isin("horde", "alliance"),
+    return (F.when(~faction.isin("", "horde", "alliance"),
                    F.concat(F.lit("unknown_faction:'"), F.col("faction"), F.lit("'")))
             .when((text.strip(F.col("server_name")) == "") & (text.strip(F.col("display_server")) == ""),
-                  F.lit("empty_server_title"))
-            .when(F.coalesce(F.col("price_per_1k"), F.lit(0.0)) <= 0, F.lit("zero_price")))
+                  F.lit("empty_server_title")))
 
 
 def with_default_faction(listings: DataFrame) -> DataFrame:
@@ -65,6 +66,25 @@ class Normalized:
                 .select("id", "source", "source_region", "canonical_region", "server_name"))
 
 
+TITLE = ["source", "server", "display_server", "server_name", "raw_title", "faction", "game_version"]
+
+
+def resolved_titles(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
+                    registry_available: bool = True) -> DataFrame:
+    """One row per different title of the listings, parsed and resolved.
+
+    Titles repeat millions of times, so text is parsed once per title and not once per row.
+    Columns of ``TITLE`` are kept as ``key_*``; ``own_reason`` is the title's reject reason.
+    """
+    titles = listings.select(*TITLE).distinct().withColumns({f"key_{c}": F.col(c) for c in TITLE})
+    rows = relabelled(titles).withColumn("given_label", F.col("display_server"))
+    rows = with_default_faction(rows.withColumn("own_reason", title_reason()))
+    if not registry_available:
+        return _degraded(rows)
+    rows = rows.withColumn("server_id", F.lit(None).cast("int")).withColumn("passes", F.lit(False))
+    return enriched(resolved(rows, aliases, servers), servers)
+
+
 def normalize(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
               registry_available: bool = True) -> Normalized:
     """Tag every listing with its first reject reason (null = accepted) and registry fields.
@@ -72,46 +92,40 @@ def normalize(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
     Without a registry nothing can be resolved; rows then pass with a label rebuilt from
     their title and are rejected only where that fails.
     """
-    rows = with_prices(relabelled(listings)).withColumn("given_label", F.col("display_server"))
-    own = field_reason()
-    rows = with_default_faction(rows.withColumn("_own", own))
-    if registry_available:
-        rows = enriched(resolved(rows, aliases, servers), servers)
-    else:
-        rows = _degraded(rows)
-    where = F.concat(F.lit("server_name="), text.or_blank(F.col("server_name")),
-                     F.lit(" display_server="), text.or_blank(F.col("display_server")))
-    unresolved = F.col("server_id").isNull() & ~F.col("passes")
-    if registry_available:
-        rows = rows.withColumn("passes", F.lit(False))
-    reason = (F.when(F.col("_own").isNotNull(), F.col("_own"))
+    rows = with_prices(listings.withColumns({c: text.or_blank(F.col(c)) for c in TITLE}))
+    titles = materialize(resolved_titles(rows, aliases, servers, registry_available), "titles")
+    joined = lookup(rows.withColumnsRenamed({c: f"key_{c}" for c in TITLE})
+                    .drop("server_id", "realm_type"), titles,
+                    [f"key_{c}" for c in TITLE]).drop(*[f"key_{c}" for c in TITLE])
+    bad_title, bad_price = F.col("own_reason"), F.coalesce(F.col("price_per_1k"), F.lit(0.0)) <= 0
+    where = F.concat(F.lit("server_name="), "server_name", F.lit(" display_server="), "display_server")
+    reason = (F.when(bad_title.isNotNull(), bad_title).when(bad_price, "zero_price")
               .when(F.col("server_id").isNull() & F.col("alias_conflict"), "alias_conflict")
-              .when(unresolved, "unresolved_server")
+              .when(F.col("server_id").isNull() & ~F.col("passes"), "unresolved_server")
               .when(~F.coalesce("server_active", F.lit(True)), "deprecated_version"))
     details = (F.when(F.col("reason") == "unresolved_server", where)
                .when(F.col("reason") == "deprecated_version",
                      F.concat(F.lit("server="), F.col("server_name"), F.lit(" version="),
                               F.col("registry_version"))).otherwise(""))
-    return Normalized(rows.withColumn("reason", reason).withColumn("details", details)
-                      .drop("_own", "passes"))
+    return Normalized(joined.withColumn("reason", reason).withColumn("details", details)
+                      .drop("own_reason", "passes"))
 
 
 def _degraded(rows: DataFrame) -> DataFrame:
-    rebuilt = text.rebuilt_label(F.col("raw_title"))
     bracketed = F.col("source") == "g2g"
-    rows = rows.withColumn("_r", F.when(bracketed, rebuilt)).withColumn(
-        "passes", F.when(bracketed, F.col("_r.label").isNotNull())
-        .otherwise(text.strip(F.col("display_server")) != ""))
-    label = F.coalesce(F.col("_r.label"), F.col("display_server"))
+    rows = rows.withColumn("_r", F.when(bracketed, text.rebuilt_label(F.col("raw_title"))))
+    rows = rows.withColumns({
+        "passes": F.when(bracketed, F.col("_r").isNotNull())
+        .otherwise(text.strip(F.col("display_server")) != ""),
+        "display_server": F.coalesce("_r.label", "display_server"),
+        "server": F.coalesce(F.lower("_r.label"), F.col("server")),
+        "server_name": F.coalesce(text.blank_to_null(F.col("_r.server")), F.col("server_name"))}).drop("_r")
+    nothing = F.lit(None)
     return rows.withColumns({
-        "display_server": label,
-        "server": F.when(F.col("_r.label").isNotNull(), F.lower(label)).otherwise(F.col("server")),
-        "server_name": F.coalesce(text.blank_to_null(F.col("_r.server")), F.col("server_name")),
-        "alias_text": F.lit(None).cast("string"),
-        "alias_conflict": F.lit(False), "server_active": F.lit(True),
-        "registry_version": F.lit(None).cast("string"), "realm_type": F.lit("Normal"),
-        "source_region": F.lit(""), "canonical_region": F.lit(None).cast("string"),
-    }).drop("_r")
+        "alias_text": nothing.cast("string"), "alias_conflict": F.lit(False),
+        "server_id": nothing.cast("int"), "server_active": F.lit(True),
+        "registry_version": nothing.cast("string"), "realm_type": F.lit("Normal"),
+        "source_region": F.lit(""), "canonical_region": nothing.cast("string")})
 
 
 def unresolved_titles(tagged: DataFrame) -> DataFrame:

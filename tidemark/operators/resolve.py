@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, text
-from tidemark.operators.scale import lookup, maybe_broadcast
+from tidemark.operators.scale import lookup
 
 
 def alias_conflicts(aliases: DataFrame) -> DataFrame:
@@ -57,34 +57,39 @@ def parsed_title(title: Column, game_version: Column) -> Column:
 
     A required game version replaces the one in the title. All null when nothing fits.
     """
-    t = text.strip(title)
     gv = guard_version(game_version)
     versioned = gv != ""
-    strict, short = t.rlike(fixed.BRACKET_TITLE), t.rlike(fixed.BRACKET_REGION_TITLE)
-    group = t.rlike(fixed.REGION_LABEL)
-    word = title.rlike(fixed.REGION_WORD)
-
-    body = text.strip(F.regexp_extract(t, fixed.REGION_LABEL, 2))
-    listed = body.contains(" - ")
-    # realm in front of the region word, trailing dashes removed
-    front = text.strip(F.regexp_extract(title, r"(?is)^(.*?)\b(?:EU|US|NA|OCE|KR|TW|SEA|RU)\b", 1))
-    front = text.strip(F.regexp_replace(front, r"-+$", ""))
-    word_version = text.first_rule(title, fixed.VERSION_RULES, F.lit(None).cast("string"))
-
-    name = (F.when(strict, text.strip(F.regexp_extract(t, fixed.BRACKET_TITLE, 1)))
-            .when(versioned & short, text.strip(F.regexp_extract(t, fixed.BRACKET_REGION_TITLE, 1)))
-            .when(group, F.when(listed, text.strip(text.last_dash_right(body))))
-            .when(word, text.blank_to_null(front)))
-    region = (F.when(strict, F.regexp_extract(t, fixed.BRACKET_TITLE, 2))
-              .when(versioned & short, F.regexp_extract(t, fixed.BRACKET_REGION_TITLE, 2))
-              .when(group, F.regexp_extract(t, fixed.REGION_LABEL, 1))
-              .when(word, F.regexp_extract(title, fixed.REGION_WORD, 1)))
-    version = (F.when(versioned, gv)
-               .when(strict, text.registry_version(F.regexp_extract(t, fixed.BRACKET_TITLE, 3)))
-               .when(group, text.registry_version(text.last_dash_left(body)))
-               .when(word, word_version))
-    return F.struct(F.lower(name).alias("p_name"), text.registry_region(region).alias("p_region"),
-                    F.lower(version).alias("p_version"))
+
+    def part(t: Column, pattern: str, i: int) -> Column:
+        return text.strip(F.regexp_extract(t, pattern, i))
+
+    def found(name: Column, region: Column, version: Column) -> Column:
+        return F.struct(F.lower(name).alias("p_name"), text.registry_region(region).alias("p_region"),
+                        F.lower(F.when(versioned, gv).otherwise(version)).alias("p_version"))
+
+    def listed(t: Column) -> Column:
+        return text.let(part(t, fixed.REGION_LABEL, 2), lambda body: F.when(
+            body.contains(" - "),
+            found(text.strip(text.last_dash_right(body)), F.regexp_extract(t, fixed.REGION_LABEL, 1),
+                  text.registry_version(text.last_dash_left(body)))))
+
+    def by_word(t: Column) -> Column:
+        # realm in front of the region word, trailing dashes removed
+        front = part(t, r"(?is)^(.*?)\b(?:EU|US|NA|OCE|KR|TW|SEA|RU)\b", 1)
+        front = text.blank_to_null(text.strip(F.regexp_replace(front, r"-+$", "")))
+        return found(front, F.regexp_extract(t, fixed.REGION_WORD, 1),
+                     text.first_rule(t, fixed.VERSION_RULES, F.lit(None).cast("string")))
+
+    def shapes(t: Column) -> Column:
+        return (F.when(t.rlike(fixed.BRACKET_TITLE),
+                       found(part(t, fixed.BRACKET_TITLE, 1), part(t, fixed.BRACKET_TITLE, 2),
+                             text.registry_version(F.regexp_extract(t, fixed.BRACKET_TITLE, 3))))
+                .when(versioned & t.rlike(fixed.BRACKET_REGION_TITLE),
+                      found(part(t, fixed.BRACKET_REGION_TITLE, 1),
+                            part(t, fixed.BRACKET_REGION_TITLE, 2), gv))
+                .when(t.rlike(fixed.REGION_LABEL), listed(t))
+                .when(t.rlike(fixed.REGION_WORD), by_word(t)))
+    return text.let(text.strip(title), shapes)
 
 
 def with_parsed(offers: DataFrame, servers: DataFrame, key: str = "alias_text") -> DataFrame:
@@ -117,22 +122,18 @@ def enriched(offers: DataFrame, servers: DataFrame) -> DataFrame:
 
     ``source_region`` and ``canonical_region`` are kept for the region override report.
     """
+    label = text.canonical_label(F.col("region"), F.col("version"), F.col("realm_type"))
     registry = servers.select(
-        F.col("id").alias("server_id"), F.col("name").alias("_name"), F.col("region").alias("_region"),
-        F.col("version").alias("registry_version"), F.col("realm_type").alias("_type"),
-        F.col("is_active").alias("server_active"))
-    known = F.col("_name").isNotNull()
-    label = text.canonical_label(F.col("_region"), F.col("registry_version"), F.col("_type"))
+        F.col("id").alias("server_id"), label.alias("_label"), F.col("name").alias("_name"),
+        F.col("region").alias("canonical_region"), F.col("version").alias("registry_version"),
+        F.col("realm_type").alias("_type"), F.col("is_active").alias("server_active"))
     region = F.upper(F.regexp_extract(text.strip(F.col("display_server")), r"(?i)^\(([A-Z]{2,})\)", 1))
-    joined = offers.join(maybe_broadcast(registry), "server_id", "left")
-    return joined.withColumns({
-        "source_region": region,
-        "canonical_region": F.col("_region"),
-        "display_server": F.when(known, label).otherwise(F.col("display_server")),
-        "server": F.when(known, F.lower(label)).otherwise(F.col("server")),
-        "server_name": F.when(known, F.col("_name")).otherwise(F.col("server_name")),
-        "realm_type": F.when(known, F.col("_type")).otherwise(F.lit("Normal")),
-    }).drop("_name", "_region", "_type")
+    return lookup(offers.withColumn("source_region", region), registry, "server_id").withColumns({
+        "display_server": F.coalesce("_label", "display_server"),
+        "server": F.coalesce(F.lower("_label"), F.col("server")),
+        "server_name": F.coalesce("_name", "server_name"),
+        "realm_type": F.coalesce("_type", F.lit("Normal")),
+    }).drop("_label", "_name", "_type")
 
 
 def realm_versions(servers: DataFrame) -> DataFrame:
