@@ -66,7 +66,7 @@ class Normalized:
                 .select("id", "source", "source_region", "canonical_region", "server_name"))
 
 
-TITLE = ["source", "server", "display_server", "server_name", "raw_title", "faction", "game_version"]
+TITLE = ["source", "display_server", "server_name", "raw_title", "faction", "game_version"]
 
 
 def resolved_titles(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
@@ -93,10 +93,14 @@ def normalize(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
     their title and are rejected only where that fails.
     """
     rows = with_prices(listings.withColumns({c: text.or_blank(F.col(c)) for c in TITLE}))
+    # labels that the title replaces anyway are often unique per row
+    replaced = (F.col("source") == "playerauctions") & text.strip(F.col("raw_title")).rlike(fixed.REGION_LABEL)
+    rows = rows.withColumn("display_server", F.when(replaced, "").otherwise(F.col("display_server")))
     titles = materialize(resolved_titles(rows, aliases, servers, registry_available), "titles")
-    joined = lookup(rows.withColumnsRenamed({c: f"key_{c}" for c in TITLE})
-                    .drop("server_id", "realm_type"), titles,
-                    [f"key_{c}" for c in TITLE]).drop(*[f"key_{c}" for c in TITLE])
+    keys = {c: f"key_{c}" for c in TITLE}
+    joined = (lookup(rows.withColumnsRenamed(keys).drop("server_id", "realm_type"), titles,
+                     list(keys.values()))
+              .withColumn("server", F.coalesce("slug", "server")).drop("slug", *keys.values()))
     bad_title, bad_price = F.col("own_reason"), F.coalesce(F.col("price_per_1k"), F.lit(0.0)) <= 0
     where = F.concat(F.lit("server_name="), "server_name", F.lit(" display_server="), "display_server")
     reason = (F.when(bad_title.isNotNull(), bad_title).when(bad_price, "zero_price")
@@ -118,7 +122,7 @@ def _degraded(rows: DataFrame) -> DataFrame:
         "passes": F.when(bracketed, F.col("_r").isNotNull())
         .otherwise(text.strip(F.col("display_server")) != ""),
         "display_server": F.coalesce("_r.label", "display_server"),
-        "server": F.coalesce(F.lower("_r.label"), F.col("server")),
+        "slug": F.lower("_r.label"),
         "server_name": F.coalesce(text.blank_to_null(F.col("_r.server")), F.col("server_name"))}).drop("_r")
     nothing = F.lit(None)
     return rows.withColumns({

@@ -118,8 +118,9 @@ def resolved(offers: DataFrame, aliases: DataFrame, servers: DataFrame) -> DataF
 
 
 def enriched(offers: DataFrame, servers: DataFrame) -> DataFrame:
-    """Overwrites label, realm and realm type from the registry; adds ``server_active``.
+    """Overwrites label, realm and realm type from the registry.
 
+    Adds ``slug`` (the lower-cased label, null for unknown ids) and ``server_active``;
     ``source_region`` and ``canonical_region`` are kept for the region override report.
     """
     label = text.canonical_label(F.col("region"), F.col("version"), F.col("realm_type"))
@@ -130,7 +131,7 @@ def enriched(offers: DataFrame, servers: DataFrame) -> DataFrame:
     region = F.upper(F.regexp_extract(text.strip(F.col("display_server")), r"(?i)^\(([A-Z]{2,})\)", 1))
     return lookup(offers.withColumn("source_region", region), registry, "server_id").withColumns({
         "display_server": F.coalesce("_label", "display_server"),
-        "server": F.coalesce(F.lower("_label"), F.col("server")),
+        "slug": F.lower("_label"),
         "server_name": F.coalesce("_name", "server_name"),
         "realm_type": F.coalesce("_type", F.lit("Normal")),
     }).drop("_label", "_name", "_type")

@@ -6,6 +6,7 @@ from tidemark.plans import (  # noqa: F401
     q_index,
     q_history,
     q_resolve,
+    q_registry,
 )
 from tidemark.plans.catalog import ORACLES, QUERIES, VIEWS, run
 
