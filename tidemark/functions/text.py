@@ -51,10 +51,14 @@ def first_rule(text: Column, rules, default: Column) -> Column:
     return let(text, branches)
 
 
+def _sql_map(pairs: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"'{k}', '{v}'" for k, v in pairs.items()) + ")"
+
+
 def canonical_version(c: Column) -> Column:
     """Version name behind an alias; an unknown text stays as it is."""
-    pairs = [F.lit(x) for item in fixed.VERSION_ALIASES.items() for x in item]
-    return let(c, lambda v: F.coalesce(F.create_map(*pairs)[F.lower(strip(v))], v))
+    names = F.expr(_sql_map(fixed.VERSION_ALIASES))
+    return let(c, lambda v: F.coalesce(names[F.lower(strip(v))], v))
 
 
 def detect_version(c: Column) -> Column:
@@ -352,8 +356,7 @@ def seller_name(*candidates: Column) -> Column:
 
 
 def currency_code(symbol: Column) -> Column:
-    pairs = [F.lit(x) for item in fixed.CURRENCY_SYMBOLS.items() for x in item]
-    return F.coalesce(F.create_map(*pairs)[symbol], F.lit("USD"))
+    return F.coalesce(F.expr(_sql_map(fixed.CURRENCY_SYMBOLS))[symbol], F.lit("USD"))
 
 
 def flat_list(c: Column) -> Column:

@@ -82,7 +82,7 @@ def resolved_titles(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
     if not registry_available:
         return _degraded(rows)
     rows = rows.withColumn("server_id", F.lit(None).cast("int")).withColumn("passes", F.lit(False))
-    return enriched(resolved(rows, aliases, servers), servers)
+    return enriched(resolved(rows, aliases, servers, measure=False), servers, measure=False)
 
 
 def normalize(listings: DataFrame, aliases: DataFrame, servers: DataFrame,

@@ -32,10 +32,10 @@ def name_index(servers: DataFrame) -> DataFrame:
 
 
 def with_alias(offers: DataFrame, aliases: DataFrame, servers: DataFrame,
-               key: str = "alias_text") -> DataFrame:
+               key: str = "alias_text", measure: bool = True) -> DataFrame:
     """Adds ``alias_id``, ``alias_version`` and ``alias_conflict`` for the trimmed, lower-cased key."""
     keyed = offers.withColumn("alias_key", F.lower(text.strip(F.col(key))))
-    return (lookup(keyed, alias_index(aliases, servers), "alias_key")
+    return (lookup(keyed, alias_index(aliases, servers), "alias_key", measure=measure)
             .withColumn("alias_conflict", F.coalesce("alias_conflict", F.lit(False)))
             .drop("alias_key"))
 
@@ -92,32 +92,33 @@ def parsed_title(title: Column, game_version: Column) -> Column:
     return text.let(text.strip(title), shapes)
 
 
-def with_parsed(offers: DataFrame, servers: DataFrame, key: str = "alias_text") -> DataFrame:
+def with_parsed(offers: DataFrame, servers: DataFrame, key: str = "alias_text",
+                measure: bool = True) -> DataFrame:
     """Adds ``parsed_id`` from the title; rows that already have an alias are not parsed."""
     parse = parsed_title(F.col(key), F.col("game_version"))
     if "alias_id" in offers.columns:
         parse = F.when(F.col("alias_id").isNull(), parse)
     keyed = offers.withColumn("_p", parse).withColumns(
         {c: F.col(f"_p.{c}") for c in ("p_name", "p_region", "p_version")})
-    return (lookup(keyed, name_index(servers), ["p_name", "p_region", "p_version"])
+    return (lookup(keyed, name_index(servers), ["p_name", "p_region", "p_version"], measure=measure)
             .drop("_p", "p_name", "p_region", "p_version"))
 
 
-def resolved(offers: DataFrame, aliases: DataFrame, servers: DataFrame) -> DataFrame:
+def resolved(offers: DataFrame, aliases: DataFrame, servers: DataFrame, measure: bool = True) -> DataFrame:
     """Sets ``server_id``: as given, else the guarded alias, else the parsed title.
 
     Keeps ``alias_text`` and ``alias_conflict``. A conflicting alias resolves to nothing.
     """
     key = text.alias_key(F.col("source"), F.col("raw_title"), F.col("display_server"),
                          F.col("server_name"), F.col("faction"))
-    out = with_alias(offers.withColumn("alias_text", key), aliases, servers)
-    out = with_parsed(guarded(out), servers)
+    out = with_alias(offers.withColumn("alias_text", key), aliases, servers, measure=measure)
+    out = with_parsed(guarded(out), servers, measure=measure)
     found = F.when(~F.col("alias_conflict"), F.coalesce("alias_id", "parsed_id"))
     return (out.withColumn("server_id", F.coalesce(F.col("server_id"), found.cast("int")))
             .drop("alias_id", "parsed_id"))
 
 
-def enriched(offers: DataFrame, servers: DataFrame) -> DataFrame:
+def enriched(offers: DataFrame, servers: DataFrame, measure: bool = True) -> DataFrame:
     """Overwrites label, realm and realm type from the registry.
 
     Adds ``slug`` (the lower-cased label, null for unknown ids) and ``server_active``;
@@ -129,7 +130,7 @@ def enriched(offers: DataFrame, servers: DataFrame) -> DataFrame:
         F.col("region").alias("canonical_region"), F.col("version").alias("registry_version"),
         F.col("realm_type").alias("_type"), F.col("is_active").alias("server_active"))
     region = F.upper(F.regexp_extract(text.strip(F.col("display_server")), r"(?i)^\(([A-Z]{2,})\)", 1))
-    return lookup(offers.withColumn("source_region", region), registry, "server_id").withColumns({
+    return lookup(offers.withColumn("source_region", region), registry, "server_id", measure=measure).withColumns({
         "display_server": F.coalesce("_label", "display_server"),
         "slug": F.lower("_label"),
         "server_name": F.coalesce("_name", "server_name"),

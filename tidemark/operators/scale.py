@@ -36,9 +36,12 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a large table with a dimension that has one row per key."""
-    return facts.join(maybe_broadcast(dim), on, how)
+def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", measure: bool = True) -> DataFrame:
+    """Join a large table with a dimension that has one row per key.
+
+    ``measure=False`` leaves the choice to the optimizer, for facts that are small themselves.
+    """
+    return facts.join(maybe_broadcast(dim) if measure else dim, on, how)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,

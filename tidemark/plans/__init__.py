@@ -7,6 +7,8 @@ from tidemark.plans import (  # noqa: F401
     q_history,
     q_resolve,
     q_registry,
+    q_extract,
+    q_extended,
 )
 from tidemark.plans.catalog import ORACLES, QUERIES, VIEWS, run
 
