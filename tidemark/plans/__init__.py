@@ -9,6 +9,8 @@ from tidemark.plans import (  # noqa: F401
     q_registry,
     q_extract,
     q_extended,
+    q_tables,
+    q_streaming,
 )
 from tidemark.plans.catalog import ORACLES, QUERIES, VIEWS, run
 

@@ -56,8 +56,13 @@ def fitted(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _by_partition(df: DataFrame, partition: str) -> DataFrame:
+    """Rows of a partition together, so that it gets few files; a large one is split."""
+    return df.hint("rebalance", partition)
+
+
 def append(df: DataFrame, path: str, schema: StructType, partition: str = "date") -> None:
-    fitted(df, schema).write.mode("append").partitionBy(partition).parquet(path)
+    _by_partition(fitted(df, schema), partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def append_raw_prices(offers: DataFrame, path: str) -> None:
@@ -76,7 +81,7 @@ def append_group_index(index: DataFrame, ts: Column, path: str) -> None:
 def _overwrite(df: DataFrame, path: str, partition: str) -> None:
     """Stage, then replace just the partitions that occur in ``df``."""
     staged = materialize(df, "staged")
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_partition(staged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 
@@ -101,7 +106,7 @@ def insert_if_absent(batch: DataFrame, path: str, schema: StructType, keys: Sequ
     stored = read(batch.sparkSession, path, schema).select(*keys, partition)
     fresh = materialize(batch.join(stored, [*keys, partition], "left_anti")
                         .select(*schema.fieldNames()), "fresh")
-    fresh.write.mode("append").partitionBy(partition).parquet(path)
+    _by_partition(fresh, partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def index_bucket(df: DataFrame) -> DataFrame:

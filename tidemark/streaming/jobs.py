@@ -8,7 +8,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import fixed
 from tidemark.operators.indexes import server_index
@@ -112,42 +113,37 @@ def staleness(ticks: DataFrame, as_of: Column, limit: float = fixed.PROFILE_STAL
             .withColumn("is_stale", F.col("age_seconds") > limit))
 
 
-class ChangeThrottle(StatefulProcessor):
-    """Keeps a row when a value moved by more than the threshold since the last kept row."""
+def throttled(stream: DataFrame, keys: list[str], time: str, values: list[str],
+              order: list[str] | None = None, threshold: float = fixed.WRITE_THRESHOLD,
+              ttl: int = fixed.WRITE_TTL_SECONDS) -> DataFrame:
+    """Keeps a row when a value moved by more than the threshold since the last row kept.
 
-    def __init__(self, columns: list[str], time: str, values: list[str],
-                 threshold: float = fixed.WRITE_THRESHOLD, ttl: int = fixed.WRITE_TTL_SECONDS) -> None:
-        self.columns, self.time, self.values = columns, time, values
-        self.threshold, self.ttl = threshold, ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"v{i} double" for i in range(len(self.values)))
-        # the state is also removed a day after its last change, long after it has expired
-        self.last = handle.getValueState("last", f"at double, {fields}", 86_400_000)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-                        ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values([self.time, *self.values], kind="stable")
-        last = self.last.get() if self.last.exists() else None
+    One small state per key: time and values of the last row kept. It stops counting ``ttl``
+    seconds of event time later and is removed when nothing arrives for a day.
+    """
+    columns = stream.columns
+    sequence = [time, *(order or []), *values]
+
+    def moved(new: tuple, old: tuple) -> bool:
+        return any(o == 0 or abs(n - o) / o > threshold for n, o in zip(new, old))
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(parts)).sort_values(sequence, kind="stable")
+        last = state.get if state.exists else None
         kept = []
-        times = batch[self.time].astype("datetime64[us]").astype("int64") / 1e6
-        for place, (at, new) in enumerate(zip(times, batch[self.values].itertuples(index=False, name=None))):
-            if last is None or at - last[0] >= self.ttl or self._moved(new, last[1:]):
+        times = batch[time].astype("datetime64[us]").astype("int64") / 1e6
+        for place, (at, new) in enumerate(zip(times, batch[values].itertuples(index=False, name=None))):
+            if last is None or at - last[0] >= ttl or moved(new, last[1:]):
                 kept.append(place)
                 last = (float(at), *map(float, new))
-        if kept:
-            self.last.update(last)
-        yield batch.iloc[kept][self.columns]
-
-    def _moved(self, new: tuple, old: tuple) -> bool:
-        return any(o == 0 or abs(n - o) / o > self.threshold for n, o in zip(new, old))
-
-    def close(self) -> None:
-        pass
-
-
-def throttled(stream: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
-    """Streaming change throttle with one small state per key."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ChangeThrottle(stream.columns, time, values),
-        outputStructType=stream.schema, outputMode="append", timeMode="ProcessingTime")
+        if last is not None:
+            state.update(last)
+        state.setTimeoutDuration(86_400_000)
+        yield batch.iloc[kept][columns]
+
+    fields = ", ".join(f"v{i} double" for i in range(len(values)))
+    return stream.groupBy(*keys).applyInPandasWithState(
+        keep, stream.schema, f"at double, {fields}", "append", GroupStateTimeout.ProcessingTimeTimeout)
