@@ -115,11 +115,11 @@ def staleness(ticks: DataFrame, as_of: Column, limit: float = fixed.PROFILE_STAL
 
 def throttled(stream: DataFrame, keys: list[str], time: str, values: list[str],
               order: list[str] | None = None, threshold: float = fixed.WRITE_THRESHOLD,
-              ttl: int = fixed.WRITE_TTL_SECONDS) -> DataFrame:
+              ttl: int = fixed.WRITE_TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
     """Keeps a row when a value moved by more than the threshold since the last row kept.
 
     One small state per key: time and values of the last row kept. It stops counting ``ttl``
-    seconds of event time later and is removed when nothing arrives for a day.
+    seconds of event time later and is removed once the watermark has passed that moment.
     """
     columns = stream.columns
     sequence = [time, *(order or []), *values]
@@ -139,11 +139,14 @@ def throttled(stream: DataFrame, keys: list[str], time: str, values: list[str],
             if last is None or at - last[0] >= ttl or moved(new, last[1:]):
                 kept.append(place)
                 last = (float(at), *map(float, new))
-        if last is not None:
+        expires = int((last[0] + ttl) * 1000) + 1
+        if expires > state.getCurrentWatermarkMs():
             state.update(last)
-        state.setTimeoutDuration(86_400_000)
+            state.setTimeoutTimestamp(expires)
+        elif state.exists:
+            state.remove()
         yield batch.iloc[kept][columns]
 
     fields = ", ".join(f"v{i} double" for i in range(len(values)))
-    return stream.groupBy(*keys).applyInPandasWithState(
-        keep, stream.schema, f"at double, {fields}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(
+        keep, stream.schema, f"at double, {fields}", "append", GroupStateTimeout.EventTimeTimeout)
