@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed
 from tidemark.operators.indexes import price_quantiles
 from tidemark.operators.scale import cumulative, first_per_key, lookup, median
+from tidemark.session import materialize
 
 
 def volume_median(offers: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def without_outliers(offers: DataFrame, keys: list[str], multiple: float = fixed
                      ) -> DataFrame:
     """Offers at no more than ``multiple`` times the median of their group."""
     mid = median(offers, keys, "price_per_1k").drop("n")
-    return (lookup(offers, mid, keys, "inner")
+    return (lookup(offers, mid, keys, "inner", store=True)
             .filter(F.col("price_per_1k") <= F.col("median") * multiple).drop("median"))
 
 
@@ -52,7 +53,7 @@ def top_n_mean(offers: DataFrame, keys: list[str], n: int = fixed.INDEX_TOP_N) -
 
 def price_range_reason(offers: DataFrame) -> DataFrame:
     """Adds ``reason`` for prices outside [p10 / 10, p90 * 10] of their profile."""
-    q = price_quantiles(offers, {"p10": 0.10, "p90": 0.90})
+    q = materialize(price_quantiles(offers, {"p10": 0.10, "p90": 0.90}), "bounds")
     bounds = F.struct((F.col("p10") * 0.1).alias("low"), (F.col("p90") * 10.0).alias("high"))
     own = q.select("server_id", "faction", bounds.alias("_own"))
     whole = q.filter(F.col("faction") == fixed.ALL).select("server_id", bounds.alias("_whole"))
@@ -79,7 +80,7 @@ def rerouted(offers: DataFrame, servers: DataFrame, profiles: DataFrame, min_gap
             .filter(F.size("c") >= 2))
     gaps = F.transform(F.slice("c", 2, 2), lambda x, i: x["median"] > F.col("c")[i]["median"] * (1 + min_gap))
     sets = sets.filter(F.forall(gaps, lambda g: g))
-    joined = lookup(offers, sets, ["realm", "region"])
+    joined = lookup(offers, sets, ["realm", "region"], store=True)
     distance = F.transform("c", lambda x: F.struct(
         F.abs(F.col("price_per_1k") - x["median"]).alias("d"), x["server_id"].alias("server_id"),
         x["median"].alias("median")))
@@ -110,7 +111,7 @@ def spikes(ticks: DataFrame, multiple: float = fixed.OUTLIER_MULTIPLE) -> DataFr
     mids = median(days, [*keys, "day"], "index_price").drop("n")
     recent = mids.withColumn("recent_median", F.lag("median").over(
         Window.partitionBy(*keys).orderBy("day"))).drop("median")
-    return (lookup(days, recent, [*keys, "day"])
+    return (lookup(days, recent, [*keys, "day"], store=True)
             .withColumn("is_spike", F.coalesce(
                 F.col("index_price") > F.col("recent_median") * multiple, F.lit(False))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed, prices, text
 from tidemark.operators.filters import offers_matching
 from tidemark.operators.scale import lookup, median, order_statistics
+from tidemark.session import materialize
 
 
 def faction_fan_out(df: DataFrame) -> DataFrame:
@@ -118,6 +119,7 @@ def profile_stats(profiles: DataFrame, refreshed_at: Column, as_of: Column) -> D
 def with_profile(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profile of (server, faction), else of (server, All)."""
     cols = ["p25", "median", "p75", "sample_size"]
+    profiles = materialize(profiles, "profiles")
     own = profiles.select("server_id", F.col("faction"), F.struct(*cols).alias("_own"))
     whole = (profiles.filter(F.col("faction") == fixed.ALL)
              .select("server_id", F.struct(*cols).alias("_whole")))

@@ -37,9 +37,12 @@ def union_first_wins(parts: list[DataFrame], key: str = "id") -> DataFrame:
 
 def dedup_in_group_order(items: DataFrame, page: str, group: str, position: str,
                          key: str) -> DataFrame:
-    """Per page, one row per id: the first when groups are listed by first appearance."""
-    first_seen = items.groupBy(page, group).agg(F.min(position).alias("_group_at"))
-    placed = items.join(first_seen, [page, group])
+    """Per page, one row per id: the first when groups are listed by first appearance.
+
+    All windows stay inside one page, which arrived as one record, and share one shuffle.
+    """
+    group_at = F.min(position).over(Window.partitionBy(page, group))
+    placed = items.repartition(page).withColumn("_group_at", group_at)
     return first_per_key(placed, [page, key], [F.col("_group_at"), F.col(position)]).drop("_group_at")
 
 
@@ -53,7 +56,7 @@ def with_top_picks(offers: DataFrame, listing: str = "server_id") -> DataFrame:
     picks = (offers.groupBy(listing, src.alias("_s"), fac.alias("_f"))
              .agg(F.min(ranking)["id"].alias("_pick")))
     tagged = offers.withColumns({"_s": src, "_f": fac})
-    return (lookup(tagged, picks, [listing, "_s", "_f"], "left")
+    return (lookup(tagged, picks, [listing, "_s", "_f"], store=True)
             .withColumn("is_top", F.col("id") == F.col("_pick")).drop("_s", "_f", "_pick"))
 
 

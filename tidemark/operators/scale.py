@@ -36,14 +36,31 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", measure: bool = True) -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", measure: bool = True,
+           store: bool = False) -> DataFrame:
     """Join a large table with a dimension that has one row per key.
 
     ``measure=False`` leaves the choice to the optimizer, for facts that are small themselves.
+    ``store`` is for sides that are the result of a large aggregation: they are written once,
+    so that measuring and joining do not both compute them.
     """
+    if store:
+        dim = materialize(dim, "side")
     return facts.join(maybe_broadcast(dim) if measure else dim, on, how)
 
 
+def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+    """Deals out the rows of a scan that has fewer splits than the cluster has cores.
+
+    Large inputs have more splits than cores and are left alone, as are tiny ones.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) < min_bytes:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
                   rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of every key.

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.scale import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -70,7 +72,7 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._frames[name] = spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -65,9 +65,9 @@ def listing_items(pages: DataFrame, base_url: str) -> DataFrame:
                          attribute(item, "data-seller"), attribute(item, "data-user"),
                          attribute(item, "data-username")).alias("seller"),
         F.when(href != "", F.coalesce(prices.absolute_url(href, base_url), href)).alias("offer_url"),
-        prices.source_id(F.lit("funpay"), F.lit(""), href, item).alias("id"),
-        prices.is_suspicious(F.round(price * 1000.0, 6)).alias("is_suspicious"))
-    rows = rows.filter(filters.plausible_price(F.col("raw_price")))
+        prices.source_id(F.lit("funpay"), F.lit(""), href, item).alias("id"))
+    rows = rows.filter(filters.plausible_price(F.col("raw_price"))).withColumn(
+        "is_suspicious", prices.is_suspicious(F.round(F.col("raw_price") * 1000.0, 6)))
     unique = dedup_in_group_order(rows, "page_id", "display_server", "item_no", "id")
     return unique.filter(filters.is_real_realm(F.col("display_server"), F.col("game_version")))
 
