@@ -270,16 +270,6 @@ def _(t):
 
 # --- throttles --------------------------------------------------------------------------
 
-def _throttle_sql(rows: str, row: str, moved: str, kept: str) -> str:
-    """One list per series, walked in time order with the last kept row."""
-    return f"""
-SELECT server_id, faction, unnest(list_reduce(list({row} ORDER BY t, id),
-         lambda a, x: CASE WHEN x.t - a.t >= 3600 OR {moved}
-           THEN struct_update(x, out := list_append(a.out, {kept})) ELSE a END,
-         {row.replace('t := t', 't := CAST(-1e9 AS DOUBLE)')}).out, recursive := TRUE)
-FROM ({rows}) GROUP BY server_id, faction"""
-
-
 @query("w6_change_throttle")
 def _(t):
     rows = t.raw_ticks.select("server_id", "faction", "recorded_at", "event_id", "index_price")
