@@ -46,7 +46,7 @@ WITH RECURSIVE d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) >= 5
-             THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+             THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
              ELSE [array_to_string(w, ' ')] END) AS s
     FROM d WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
