@@ -11,9 +11,10 @@ that links meets in the tree of such a shingle. A tree is also cut by set size (
 by a factor of at most 1 / t) and, beyond ``CELL`` points, into pairs of blocks.
 
 Equal sets are one node. Copies that differ slightly come in large groups, whose pairs are never
-listed: first every node is compared with one leader per shingle, the verified links give
-components, and only then trees look for pairs that lie in different components. The components are
-those of all links.
+listed: first every node is compared with one leader per shingle, and the verified links give
+components. Then trees give, for every point, its best pairs across components; at last, trees that
+had more pairs than that give all that still lie in different components. No pair that could join
+two components is left untested, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ WORDS = 5
 PERCENT = 80
 CELL = 4096  # points of a block of a tree
 LEAF = 32  # points of a leaf
+BEST = 6  # pairs that a point gives at first
 
 _DIGEST = np.uint64(0x2545F4914F6CDD1D)
 
@@ -172,56 +174,89 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             .filter(links("s_a", "s_b")).select("a", "b"))
 
 
-def tree_pairs(n: np.ndarray, points: list[np.ndarray], comp: np.ndarray, block: np.ndarray, home: np.ndarray,
-               percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _room(n_a: np.ndarray, pos_a: np.ndarray, n_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair may meet here: at its first common shingle, none of the earlier ones of either
+    set is common, so the places in the prefixes bound what is."""
+    fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return fits & _may_link(n_a, n_b, np.minimum(n_a - pos_a, n_b - pos_b), percent)
+
+
+def tree_pairs(n: np.ndarray, points: list[bytes], comp: np.ndarray, block: np.ndarray, home: np.ndarray,
+               pos: np.ndarray, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs that an R-tree over the points cannot rule out: in different components, of different
     blocks where there are two, at least one of them at home in the cell.
 
-    Points are packed into leaves in order of (size, first groups); a leaf has the largest
-    coordinates and the smallest size of its points. Leaves are held against leaves, then points
-    against points.
+    Points are packed into leaves in order of size; a leaf has the largest coordinates and the
+    smallest size of its points. Leaves are held against leaves, then points against points. With
+    ``most``, every point gives its ``most`` best pairs only, and the third value says whether any
+    was left out.
     """
-    groups = min(len(p) for p in points)
-    flat = np.stack([fold(p, groups) for p in points])
-    order = np.lexsort((flat[:, 0], n))
-    n, flat, comp, block, home = n[order], flat[order], comp[order], block[order], home[order]
-    m = len(n)
+    order = np.argsort(n, kind="stable")
+    n, comp, block, home, pos = n[order], comp[order], block[order], home[order], pos[order]
+    m, none = len(n), np.zeros(0, np.int64)
+    two = block.min() != block.max()
+
+    def allowed(a: slice, b: slice) -> np.ndarray:
+        fits = (comp[a, None] != comp[None, b]) & (home[a, None] | home[None, b])
+        if two:
+            fits &= block[a, None] != block[None, b]
+        if a.start == b.start:
+            fits = np.triu(fits, 1)
+        return fits & _room(n[a, None], pos[a, None], n[None, b], pos[None, b], percent)
+
+    if m <= LEAF and not allowed(slice(0, m), slice(0, m)).any():
+        return none, none, False
+    raw = [np.frombuffer(points[i], np.uint8) for i in order]
+    groups = min(len(p) for p in raw)
+    flat = np.stack([fold(p, groups) for p in raw])
     starts = np.arange(0, m, LEAF)
     box = np.maximum.reduceat(flat, starts, axis=0)
-    least, most = n[starts], n[np.minimum(starts + LEAF, m) - 1]
-    two = block.min() != block.max()
-    left, right = [], []
+    least, greatest = n[starts], n[np.minimum(starts + LEAF, m) - 1]
+    left, right, cut = [], [], False
     for i, s in enumerate(starts):
         # leaves are in order of size: those beyond the allowed ratio end the scan
-        last = int(np.searchsorted(least, most[i] * 100 // percent, "right"))
+        last = int(np.searchsorted(least, greatest[i] * 100 // percent, "right"))
         room = np.minimum(box[i], box[i:last]).sum(axis=1)
+        a = slice(s, min(s + LEAF, m))
+        xs, ys, scores = [], [], []
         for j in i + np.flatnonzero(_may_link(least[i], least[i:last], room, percent)):
-            a, b = slice(s, min(s + LEAF, m)), slice(starts[j], min(starts[j] + LEAF, m))
-            common = np.minimum(flat[a, None, :], flat[None, b, :]).sum(axis=2)
-            fits = _may_link(n[a, None], n[None, b], common, percent)
-            fits &= (comp[a, None] != comp[None, b]) & (home[a, None] | home[None, b])
-            fits &= 100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b])
-            if two:
-                fits &= block[a, None] != block[None, b]
-            if i == j:
-                fits = np.triu(fits, 1)
-            x, y = np.nonzero(fits)
-            left.append(order[s + x])
-            right.append(order[starts[j] + y])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components, from the trees of all shared prefix shingles."""
+            b = slice(starts[j], min(starts[j] + LEAF, m))
+            x, y = np.nonzero(allowed(a, b))
+            x, y = x + a.start, y + b.start
+            common = np.minimum(flat[x], flat[y]).sum(axis=1)
+            fits = _may_link(n[x], n[y], common, percent)
+            xs.append(x[fits])
+            ys.append(y[fits])
+            scores.append(common[fits] / (n[x[fits]] + n[y[fits]]))
+        if not xs:
+            continue
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        if most is not None and len(x):
+            by = np.lexsort((-np.concatenate(scores), x))
+            x, y = x[by], y[by]
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            best = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most
+            cut |= not best.all()
+            x, y = x[best], y[best]
+        left.append(order[x])
+        right.append(order[y])
+    return (np.concatenate(left), np.concatenate(right), cut) if left else (none, none, False)
+
+
+def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, most: int | None = None,
+              only: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs a, b across components, from the trees of all shared prefix shingles.
+
+    With ``most``, rows with key and tree but without a and b name the trees that had more pairs;
+    ``only`` restricts the search to such trees.
+    """
     rows = (shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = (rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo < hi").select("key"))
     # a class of sizes and the next one hold every pair that can link
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    rows = (rows.join(mixed, "key").join(nodes.select("node", "n"), "node").withColumn("class", size_class)
-            .withColumn("place", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = (rows.withColumn("class", size_class).withColumn("place", F.explode(F.array(F.lit(0), F.lit(1))))
             .withColumn("tree", F.col("class") + F.col("place")).withColumn("home", F.col("place") == 0))
+    if only is not None:
+        rows = rows.join(only, ["key", "tree"])
     at = Window.partitionBy("key", "tree")
     rows = (rows.withColumn("size", F.count(F.lit(1)).over(at)).withColumn("at_home", F.max("home").over(at))
             .withColumn("lo", F.min("component").over(at)).withColumn("hi", F.max("component").over(at))
@@ -231,43 +266,46 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
     rows = (rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-            .select("key", "tree", "low", "high", "block", "home", "node", "component"))
+            .select("key", "tree", "low", "high", "block", "home", "node", "component", "pos"))
     rows = rows.join(nodes.select("node", "n", "point"), "node")
+    cell = ["key", "tree", "low", "high"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in (*batches, None):
             if batch is not None:
-                kept = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+                fresh = pa.Table.from_batches([batch])
+                kept = fresh if kept is None else pa.concat_tables([kept, fresh])
             if kept is None or not kept.num_rows:
                 continue
-            names = ["key", "tree", "low", "high"]
-            cols = [kept[c].to_numpy() for c in names]
+            cols = {c: kept[c].to_numpy() for c in (*cell, "n", "node", "component", "block", "pos")}
+            home, points = kept["home"].to_pandas().to_numpy(bool), kept["point"].combine_chunks()
             cut = np.zeros(kept.num_rows - 1, bool)
-            for c in cols:
-                cut |= c[1:] != c[:-1]
+            for c in cell:
+                cut |= cols[c][1:] != cols[c][:-1]
             heads = np.concatenate(([0], np.flatnonzero(cut) + 1))
-            done = heads if batch is None else heads[:-1]  # the last cell may go on in the next batch
             stops = np.append(heads[1:], kept.num_rows)
-            n, node, comp = (kept[c].to_numpy() for c in ("n", "node", "component"))
-            block, home = kept["block"].to_numpy(), kept["home"].to_pandas().to_numpy(bool)
-            points = kept["point"].to_pylist()
+            done = len(heads) if batch is None else len(heads) - 1  # the last cell may go on in the next batch
             found: set[tuple[int, int]] = set()
-            for k in range(len(done)):
-                s, e = heads[k], stops[k]
-                if e - s < 2 or comp[s:e].min() == comp[s:e].max():
+            open_trees: set[tuple[int, int]] = set()
+            for s, e in zip(heads[:done], stops[:done], strict=True):
+                comp, node = cols["component"][s:e], cols["node"][s:e]
+                if e - s < 2 or comp.min() == comp.max():
                     continue
-                x, y = tree_pairs(n[s:e], [np.frombuffer(p, np.uint8) for p in points[s:e]], comp[s:e], block[s:e],
-                                  home[s:e], percent)
-                found.update(zip(np.maximum(node[s + x], node[s + y]).tolist(),
-                                 np.minimum(node[s + x], node[s + y]).tolist(), strict=True))
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            kept = kept.slice(stops[len(done) - 1]) if len(done) else kept
+                x, y, more = tree_pairs(cols["n"][s:e], points[s:e].to_pylist(), comp, cols["block"][s:e], home[s:e],
+                                        cols["pos"][s:e], percent, most)
+                found.update(zip(np.maximum(node[x], node[y]).tolist(), np.minimum(node[x], node[y]).tolist(), strict=True))
+                if more:
+                    open_trees.add((int(cols["key"][s]), int(cols["tree"][s])))
+            pairs, trees = sorted(found), sorted(open_trees)
+            if pairs or trees:
+                column = lambda rows, i, before, after: pa.array([None] * before + [r[i] for r in rows] + [None] * after, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [column(pairs, 0, 0, len(trees)), column(pairs, 1, 0, len(trees)),
+                     column(trees, 0, len(pairs), 0), column(trees, 1, len(pairs), 0)], names=["a", "b", "key", "tree"])
+            kept = kept.slice(stops[done - 1]) if done else kept
 
-    cell = ["key", "tree", "low", "high"]
-    return (rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(search, "a long, b long").distinct())
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(search, "a long, b long, key long, tree long")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -286,17 +324,27 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     nodes = stored(nodes, "nodes")
 
     at = Window.partitionBy("key")
-    shared = (nodes.select("node", F.explode("keys").alias("key"))
+    shared = (nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
               .withColumn("leader", F.min("node").over(at)).withColumn("last", F.max("node").over(at))
               .filter("leader < last").drop("last"))
     shared = stored(shared, "shared")
+    verified = lambda pairs, name: stored(_verified(pairs, nodes, docs, size, percent), name)
+    # every node against one leader per shingle
     stars = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    near = stored(_bound(stars, nodes, percent), "stars")
-    links = stored(_verified(near, nodes, docs, size, percent), "linked")
-    groups = stored(components(links), "groups")
-    rest = stored(_searched(shared.drop("leader"), groups, nodes, percent).join(near, ["a", "b"], "left_anti"), "rest")
-    more = stored(_verified(rest, nodes, docs, size, percent), "more")
-    every = components(links.unionByName(more))
+    tested = stored(_bound(stars, nodes, percent), "stars")
+    links = verified(tested, "linked")
+    shared = shared.drop("leader")
+    # the best pairs of every tree, then all pairs of the trees that have more
+    found = stored(_searched(shared, components(links), nodes, percent, BEST), "found")
+    pairs = lambda rows: rows.filter("a is not null").select("a", "b").distinct()
+    fresh = stored(pairs(found).join(tested, ["a", "b"], "left_anti"), "fresh")
+    links = links.unionByName(verified(fresh, "more"))
+    open_trees = found.filter("key is not null").select("key", "tree").distinct()
+    every = stored(components(links), "groups")
+    if not open_trees.isEmpty():
+        rest = pairs(_searched(shared, every, nodes, percent, None, open_trees))
+        rest = stored(rest.join(tested.unionByName(fresh), ["a", "b"], "left_anti"), "rest")
+        every = components(links.unionByName(verified(rest, "rest-linked")))
 
     named = (classes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
