@@ -65,4 +65,50 @@ FROM documents LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op9_ngram_join": OP9, "op10_quality_rules": OP10}
+OP5 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+cut AS (
+  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS unit, unnest(lines) AS line FROM d),
+placed AS (
+  SELECT doc_id, unit, line,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM cut),
+long AS (
+  SELECT doc_id, unit, start, start + length(line) AS stop, len(w) AS words, array_to_string(w, ' ') AS body
+  FROM (SELECT *, {_FOLDED.replace("coalesce(text, '')", "line")} AS w FROM placed) WHERE len(w) >= 5),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(unit) OVER o AS first_unit,
+         first_value(start) OVER o AS first_start, row_number() OVER o AS k
+  FROM long WINDOW o AS (PARTITION BY body ORDER BY doc_id, unit))
+SELECT doc_id, unit::BIGINT AS unit, start::BIGINT AS start, stop::BIGINT AS stop, words::BIGINT AS words,
+       first_doc_id, first_unit::BIGINT AS first_unit, first_start::BIGINT AS first_start
+FROM ranked WHERE k > 1
+"""
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+      FROM d GROUP BY source),
+w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+-- sources that reach their cap first come first; before each, what is left for it and those after it
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, place) AS k FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND 1 PRECEDING), 0))::DOUBLE
+                / (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+      FROM o),
+level AS (SELECT level FROM l WHERE 3 * source_size >= weight * level ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size,
+             CASE WHEN 3 * source_size < weight * level.level THEN (3 * source_size)::DOUBLE
+                  ELSE weight * level.level END AS target
+      FROM w, level),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
+             (('0x' || substr(md5('mix:' || coalesce('s' || d.source, 'n')), 1, 4))::INTEGER + 0.5::DOUBLE) / 65536 AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least(floor(e * k + u) - floor(e * (k - 1) + u), 3) * size)::BIGINT AS taken
+FROM r
+"""
+
+SQL: dict[str, str] = {"op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9, "op10_quality_rules": OP10}
