@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import twins
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.ngram_join import op9_ngram_join
+from tidemark.llm.packing import op3_best_fit_packing
 from tidemark.llm.quality import op10_quality_rules
 from tidemark.llm.substrings import op5_substring_dedup
+from tidemark.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup, op6_mixing, op9_ngram_join, op10_quality_rules)
+    f.__name__: f for f in (op3_best_fit_packing, op5_substring_dedup, op6_mixing, op7_token_files, op9_ngram_join, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {name: sql for name, sql in twins.SQL.items() if name in QUERIES}
