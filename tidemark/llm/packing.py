@@ -18,6 +18,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
 from tidemark.llm.mixing import numbered
-from tidemark.llm.tokens import default_path, encoder
+from tidemark.llm.tokens import batches_of, default_path, encoder
 
 CAPACITY = 2048
 END = 0  # closes every document
@@ -182,20 +183,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                texts = part.column("text").to_pylist()
+            for rows in batches_of(batch.column("text")):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                ids, bounds = encode(part.column("text"))
                 of, number, start, length, crc, bodies = [], [], [], [], [], []
-                for i, ids in enumerate(encode(texts)):
-                    ids += closing
-                    for p, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        body = ids[a:a + 4 * capacity]
+                for i, (a, b) in enumerate(pairwise(bounds.tolist())):
+                    body = ids[a:b].tobytes() + closing
+                    for p, at in enumerate(range(0, len(body), 4 * capacity)):
+                        piece = body[at:at + 4 * capacity]
                         of.append(i)
                         number.append(p)
-                        start.append(a // 4)
-                        length.append(len(body) // 4)
-                        crc.append(zlib.crc32(body))
-                        bodies.append(body)
+                        start.append(at // 4)
+                        length.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        if with_ids:
+                            bodies.append(piece)
                 at = pa.array(of, pa.int64())
                 columns = [part.column("row").take(at), part.column("doc_id").take(at), pa.array(number, pa.int32()),
                            *(pa.array(x, pa.int64()) for x in (start, length, crc))]

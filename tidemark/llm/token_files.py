@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.tokens import default_path, encoder
+from tidemark.llm.tokens import batches_of, default_path, encoder
 from tidemark.session import new_path
 
 END = 2  # closes every document
@@ -44,13 +44,16 @@ def _width(path: str) -> int:
     return 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
-def _serial(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+def _serial(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
-def _closed(texts: Sequence[str | None], path: str) -> list[bytes]:
-    closing = np.array([END], "<u4").tobytes()
-    return [ids + closing for ids in encoder(path).encode(texts)]
+def _closed(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The ids of every text, with the closing id."""
+    ids, bounds = encoder(path).encode(texts)
+    ids = np.insert(ids, bounds[1:], END)
+    bounds = bounds + np.arange(len(bounds))
+    return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
 
 def train(docs: DataFrame, path: str) -> bytes:
@@ -64,7 +67,7 @@ def train(docs: DataFrame, path: str) -> bytes:
         serial = []
         for batch in batches:
             width = _width(path)
-            serial += [_serial(ids[:4 * SAMPLE_IDS], width) for ids in _closed(batch.column("text").to_pylist(), path)]
+            serial += [_serial(ids[:SAMPLE_IDS], width) for ids in _closed(batch.column("text"), path)]
         try:
             made = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, serial)) // 8), serial).as_bytes()
         except (zstandard.ZstdError, ValueError):
@@ -91,11 +94,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
         width = _width(path)
         press = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                ids = _closed(part.column("text").to_pylist(), path)
+            for rows in batches_of(batch.column("text")):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                ids = _closed(part.column("text"), path)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    [part.column("doc_id"), part.column("row"), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([press.compress(_serial(x, width)) for x in ids], pa.binary())],
                     names=["doc_id", "row", "n", "frame"])
 

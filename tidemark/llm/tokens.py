@@ -2,24 +2,26 @@
 
 No token of ``word_bpe_49k.json`` reaches over white space, and neither its normaliser nor its
 special tokens look across it. So a text is cut at blanks and newlines, the library encodes every
-different piece once, and the ids of the pieces are joined. ``tests/llm`` holds this against the
-library's encoding of whole texts. Runs of Latin letters, which the tokenizer lower-cases and takes as
-one word each, are encoded without case and without a closing mark, many to a call.
+different piece once, runs of letters without case and many to a call, and the ids of the pieces
+are joined.
+``tests/llm`` holds this against the library's encoding of whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
-from itertools import chain
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KNOWN = 250_000  # pieces a worker remembers, and once more those of the generation before
+TOGETHER = 4 << 20  # bytes of texts that are encoded together
 LONG = 64  # longer pieces are not remembered
 MARKS = ".,!?;:"
-# letters whose lower case is one letter
+# runs of letters whose lower case is one letter, and a mark behind them
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017f]+)([.,!?;:]?)")
 
 _encoders: dict[str, Encoder] = {}
@@ -32,7 +34,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts; remembers the ids of pieces as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
@@ -44,7 +46,7 @@ class Encoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.marks = self._pieces([*MARKS])
+        self.marks = self._pieces(MARKS)
 
     def _pieces(self, pieces: Sequence[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
@@ -64,30 +66,57 @@ class Encoder:
             out |= {w: flat[a:b] for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True)}
         return out
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN:
-            self.known, self.older = {"": b""}, self.known
-        known, older, long = self.known, self.older, []
-        plain: dict[str, tuple[str, str]] = {}
-        other = []
-        for piece in set(chain.from_iterable(cut)).difference(known):
+    def _learn(self, pieces: Sequence[str]) -> list[str]:
+        """Makes all pieces known; returns those too long to be remembered."""
+        known, older = self.known, self.older
+        plain, other = [], []
+        for piece in pieces:
+            if piece in known:
+                continue
             if piece in older:
                 known[piece] = older[piece]
             elif len(piece) <= LONG and (found := _WORD.fullmatch(piece)):
-                plain[piece] = (found[1].lower(), found[2])
+                plain.append((piece, found[1].lower(), found[2]))
             else:
                 other.append(piece)
-        if plain:
-            known.update(self._words(list({w for w, _ in plain.values()}.difference(known))))
-            known.update((piece, known[word] + self.marks[mark] if mark else known[word]) for piece, (word, mark) in plain.items())
-        if other:
-            known.update(self._pieces(other))
-            long = [p for p in other if len(p) > LONG]
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in long:
-            del known[piece]
-        return out
+        words = {word for _, word, _ in plain}
+        known.update((w, older[w]) for w in words if w in older)
+        known.update(self._words(list(words.difference(known))))
+        for piece, word, mark in plain:
+            known[piece] = known[word] + self.marks[mark] if mark else known[word]
+        known.update(self._pieces(other))
+        return [p for p in other if len(p) > LONG]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (null: none), and the n + 1 places where the texts begin and end."""
+        if len(self.known) > KNOWN:
+            self.known, self.older = {"": b""}, self.known
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        forget = self._learn(pieces)
+        bodies = [self.known[p] for p in pieces]
+        for piece in forget:
+            self.known.pop(piece, None)
+        vocabulary = np.frombuffer(b"".join(bodies), "<u4")
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = vocabulary[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        texts_at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
+        return ids, ends[texts_at]
+
+
+def batches_of(texts: pa.Array) -> Iterator[slice]:
+    """Row ranges of a batch to encode together: some thousand texts, fewer if they are long."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + TOGETHER, "right")))
+        yield slice(first, last)
+        first = last
 
 
 def encoder(path: str) -> Encoder:
