@@ -17,6 +17,8 @@ CHUNK_BYTES = 1 << 18  # texts are taken together up to this size; a longer text
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
+_NOT_ALNUM = np.ones(256, bool)
+_NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _FOLD = _SAME.copy()
 _FOLD[65:91] += 32
@@ -47,10 +49,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: byte places, hashes, and the range of words of each text."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> None:
-        """``data``: bytes of all texts; ``bounds``: n + 1 places where texts begin and end."""
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False, alnum: bool = False) -> None:
+        """``data``: bytes of all texts; ``bounds``: n + 1 places where texts begin and end. ``alnum``
+        also parts words at ASCII marks."""
         self.data, self.bounds = data, bounds
-        inside = ~_IS_SEP[data]
+        inside = ~(_NOT_ALNUM if alnum else _IS_SEP)[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -88,7 +91,7 @@ class Words:
         return mix(total)
 
 
-def chunks(texts: pa.Array, fold: bool = False) -> Iterator[tuple[int, Words]]:
+def chunks(texts: pa.Array, fold: bool = False, alnum: bool = False) -> Iterator[tuple[int, Words]]:
     """Splits a string array (null: empty) into chunks; yields the first row and the words of each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -106,10 +109,10 @@ def chunks(texts: pa.Array, fold: bool = False) -> Iterator[tuple[int, Words]]:
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, "right")) - 1)
-        yield i, Words(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], fold)
+        yield i, Words(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], fold, alnum)
         i = j
 
 
-def words_of(text: str | None, fold: bool = False) -> Words:
+def words_of(text: str | None, fold: bool = False, alnum: bool = False) -> Words:
     raw = (text or "").encode()
-    return Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), fold)
+    return Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), fold, alnum)
