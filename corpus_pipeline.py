@@ -1,35 +1,62 @@
-"""A corpus made ready for training: stages over documents, each on all that the one before kept."""
+"""A corpus made ready for training: stages over documents, each on all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; only
+the last returns the packed pieces. An empty table goes through as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.mixing import mixed
+from tidemark.llm.ngram_join import one_of_each
+from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good
+from tidemark.llm.substrings import without_repeats
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return keep_good(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    # rows of one doc_id are one group at most if their sets link; the smallest text then stays
-    first = jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, the one with the smallest doc_id."""
+    return one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go; documents of which nothing is left go too."""
+    return without_repeats(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target weight says, or not at all."""
+    return mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their ids and places in sequences."""
+    return pack(docs)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
+# a tokenizer and a packing have no SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 

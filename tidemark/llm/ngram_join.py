@@ -308,14 +308,8 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(search, "a long, b long, key long, tree long")
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    ``docs`` needs doc_id and text; other columns are not read. A null or empty text, or one without
-    words, has an empty set and links with nothing: its component is its own doc_id. Rows with equal
-    sets are linked, rows that share a doc_id too only if their sets link. A row without doc_id takes
-    part; the component of a group without any doc_id is null. An empty table gives an empty table.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, component (null: empty set), component_id; one row per row of ``docs``."""
     features = stored(_features(docs, size, percent).withColumn("row", F.monotonically_increasing_id()), "features")
     full = features.filter("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
@@ -348,11 +342,41 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
     named = (classes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    found = named.join(least, "component").select("n", "d1", "d2", "component_id")
-    return (features.select("doc_id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+    found = named.join(least, "component").select("n", "d1", "d2", "component", "component_id")
+    return (features.select("doc_id", "text_hash", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
+            .select("doc_id", "text_hash", "n", "component",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    ``docs`` needs doc_id and text; other columns are not read. A null or empty text, or one without
+    words, has an empty set and links with nothing: its component is its own doc_id. Rows with equal
+    sets are linked, rows that share a doc_id too only if their sets link. A row without doc_id takes
+    part; the component of a group without any doc_id is null. An empty table gives an empty table.
+    """
+    return _grouped(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of every component, the one with the smallest doc_id (null last; then
+    the smallest hash of its text). Of rows that repeat doc_id and text one stays. Texts without words
+    all stay. Columns are kept."""
+    rows = stored(_grouped(docs, size, percent), "grouped")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    # the rows that are equal to the first of a component are counted, so that only these are held against each other
+    firsts = (rows.filter("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
+              .select("component", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
+    counts = rows.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_same"))
+    counts = counts.join(firsts, "component").filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    blank = rows.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(1).alias("_same")).distinct()
+    keep = counts.select("_id", "_hash", "_same").unionByName(blank)
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
+    kept = kept.select(*(docs[c] for c in docs.columns), "_hash", "_same")
+    single, several = kept.filter("_same = 1"), kept.filter("_same > 1").dropDuplicates(["doc_id", "_hash"])
+    return single.unionByName(several).select(*docs.columns)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -111,4 +111,16 @@ SELECT doc_id, size, source_size, target, (least(floor(e * k + u) - floor(e * (k
 FROM r
 """
 
-SQL: dict[str, str] = {"op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9, "op10_quality_rules": OP10}
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op2_exact_top_k": OP2, "op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9, "op10_quality_rules": OP10}
