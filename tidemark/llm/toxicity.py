@@ -67,14 +67,36 @@ def _sum_of(text: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, weights=weight, minlength=n)
 
 
-def fit(text: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Model:
-    """Logistic regression with a ridge. text, feature: pairs without repeats; earlier: n x categories."""
+def _slices(ends: np.ndarray, values: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place in ``rows`` and feature of the stored pairs, some hundred texts at a time."""
+    for s in range(0, len(rows), 500):
+        part = rows[s:s + 500]
+        yield (np.repeat(np.arange(s, s + len(part)), ends[part + 1] - ends[part]),
+               np.concatenate([values[ends[r]:ends[r + 1]] for r in part]))
+
+
+def _held(ends: np.ndarray, values: np.ndarray, rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose feature has a place, with that place."""
+    texts, columns = [], []
+    for text, feature in _slices(ends, values, rows):
+        column = place[feature]
+        texts.append(text[column >= 0])
+        columns.append(column[column >= 0])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(texts) if texts else none, np.concatenate(columns) if columns else none
+
+
+def fit(ends: np.ndarray, values: np.ndarray, use: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Model:
+    """Logistic regression with a ridge over the rows ``use``. values[ends[r]:ends[r + 1]] are the
+    features of row r, without repeats; earlier (n x categories) and y are of the rows ``use``."""
     n, positive = len(y), float(y.sum())
     if positive in (0.0, float(n)):
         certain = 0.0 if not n else (1.0 if positive else 0.0)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), float(log_odds(np.array([certain]))[0]))
-    rows = np.bincount(feature, minlength=1 << BITS)
-    hits = np.bincount(feature, weights=y[text], minlength=1 << BITS)
+    rows, hits = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for text, feature in _slices(ends, values, use):
+        rows += np.bincount(feature, minlength=1 << BITS)
+        hits += np.bincount(feature, weights=y[text], minlength=1 << BITS)
     share = positive / n
     spread = np.sqrt(np.maximum(rows * share * (1 - share) * (1 - rows / n), 0.25))
     far = np.where(rows >= LEAST_ROWS, np.abs(hits - rows * share) / spread, 0)
@@ -82,8 +104,7 @@ def fit(text: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarra
     chosen = chosen[far[chosen] > 4]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    held = place[feature] >= 0
-    text, column = text[held], place[feature[held]]
+    text, column = _held(ends, values, use, place)
     before = log_odds(earlier)
     w, g, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share)))
     vw, vg, vb = np.zeros_like(w), np.zeros_like(g), 0.0
@@ -142,17 +163,18 @@ def _fitter(category: str, names: tuple[str, ...]):
     def work(key: tuple, rows: pa.Table) -> pa.Table:
         of = key[0].as_py()
         column = rows["features"].combine_chunks()
-        text = np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
-        feature = column.flatten().to_numpy().astype(np.int64)
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
         earlier = np.column_stack([rows[c].to_numpy() for c in names]) if names else np.zeros((rows.num_rows, 0))
         y, apart = rows[category].to_numpy(), rows["fold"].to_numpy() == of
-        seen, renamed = ~apart, np.cumsum(~apart) - 1
-        inside = seen[text]
-        model = fit(renamed[text[inside]], feature[inside], earlier[seen], y[seen])
+        use = np.flatnonzero(~apart)
+        model = fit(ends, values, use, earlier[use], y[use])
         if of == FOLDS:
             return pa.table({"row": pa.array([None], pa.int64()), "p": pa.array([None], pa.float64()),
                              "model": pa.array([model.pack()], pa.binary())})
-        p = predict(model, text, feature, earlier)[apart]
+        held_out = np.flatnonzero(apart)
+        place = np.full(1 << BITS, -1)
+        place[model.features] = model.features
+        p = predict(model, *_held(ends, values, held_out, place), earlier[held_out])
         return pa.table({"row": rows["row"].combine_chunks().filter(pa.array(apart)), "p": pa.array(p),
                          "model": pa.nulls(len(p), pa.binary())})
 
@@ -171,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> tupl
                         .groupBy("of").applyInArrow(_fitter(category, tuple(names)), "row long, p double, model binary"), "fitted")
         raw = fitted.filter("model is not null").select("model").first()
         if raw is None:
-            models.append(fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(names))), np.zeros(0)))
+            none = np.zeros(0, np.int64)
+            models.append(fit(none, none, none, np.zeros((0, len(names))), np.zeros(0)))
         else:
             models.append(Model.unpack(bytes(raw[0])))
         name = f"p_{category}"
