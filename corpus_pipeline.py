@@ -37,8 +37,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and places in sequences."""
-    return pack(docs)
+    """Pieces of documents with their places in sequences; the ids follow from doc_id, start and length."""
+    return pack(docs, with_ids=False)
 
 
 STAGES = [

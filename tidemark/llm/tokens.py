@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN = 250_000  # pieces a worker remembers, and once more those of the generation before
-TOGETHER = 4 << 20  # bytes of texts that are encoded together
+KNOWN = 200_000  # pieces a worker remembers, and once more those of the generation before
+TOGETHER = 2 << 20  # bytes of texts that are encoded together
 LONG = 64  # longer pieces are not remembered
 MARKS = ".,!?;:"
 # runs of letters whose lower case is one letter, and a mark behind them
@@ -105,6 +105,8 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = vocabulary[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
         texts_at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
+        del cut, coded
+        pa.default_memory_pool().release_unused()
         return ids, ends[texts_at]
 
 
