@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN = 200_000  # pieces a worker remembers, and once more those of the generation before
-TOGETHER = 2 << 20  # bytes of texts that are encoded together
+KNOWN = 300_000  # pieces a worker remembers, and once more those of the generation before
+TOGETHER = 6 << 20  # bytes of texts that are encoded together
 LONG = 64  # longer pieces are not remembered
 MARKS = ".,!?;:"
 # runs of letters whose lower case is one letter, and a mark behind them
