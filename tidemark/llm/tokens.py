@@ -23,6 +23,7 @@ LONG = 64  # longer pieces are not remembered
 MARKS = ".,!?;:"
 # runs of letters whose lower case is one letter, and a mark behind them
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017f]+)([.,!?;:]?)")
+_TOUCHING = r"[.,][^\pL\pN\s]|[^\pL\pN\s][.,]|<\|"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -33,6 +34,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _simpler(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer different pieces.
+
+    A full stop or comma that touches no other mark is a token of its own, so a blank may go before
+    it, and A-Z are lower-cased anyway. Texts with touching marks, or with what could be a special
+    token, stay as they are.
+    """
+    plain = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), ".", " ."), ",", " ,")
+    return pc.if_else(pc.match_substring_regex(texts, _TOUCHING), texts, plain)
+
+
 class Encoder:
     """Encodes texts; remembers the ids of pieces as little-endian unsigned 32-bit numbers."""
 
@@ -70,12 +82,11 @@ class Encoder:
         """Makes all pieces known; returns those too long to be remembered."""
         known, older = self.known, self.older
         plain, other = [], []
-        for piece in pieces:
-            if piece in known:
-                continue
-            if piece in older:
-                known[piece] = older[piece]
-            elif len(piece) <= LONG and (found := _WORD.fullmatch(piece)):
+        new = set(pieces).difference(known)
+        back = new.intersection(older)
+        known.update((piece, older[piece]) for piece in back)
+        for piece in new - back:
+            if len(piece) <= LONG and (found := _WORD.fullmatch(piece)):
                 plain.append((piece, found[1].lower(), found[2]))
             else:
                 other.append(piece)
@@ -83,7 +94,8 @@ class Encoder:
         known.update((w, older[w]) for w in words if w in older)
         known.update(self._words(list(words.difference(known))))
         for piece, word, mark in plain:
-            known[piece] = known[word] + self.marks[mark] if mark else known[word]
+            if piece != word:
+                known[piece] = known[word] + self.marks[mark] if mark else known[word]
         known.update(self._pieces(other))
         return [p for p in other if len(p) > LONG]
 
@@ -91,7 +103,7 @@ class Encoder:
         """All ids of some texts (null: none), and the n + 1 places where the texts begin and end."""
         if len(self.known) > KNOWN:
             self.known, self.older = {"": b""}, self.known
-        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        cut = pc.split_pattern(pc.replace_substring(_simpler(pc.fill_null(texts, "")), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         forget = self._learn(pieces)
@@ -103,7 +115,8 @@ class Encoder:
         first = np.cumsum(sizes) - sizes
         n = sizes[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = vocabulary[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        small = np.int32 if max(ends[-1], len(vocabulary)) < 1 << 31 else np.int64
+        ids = vocabulary[np.repeat((first[at] - ends[:-1]).astype(small), n) + np.arange(ends[-1], dtype=small)]
         texts_at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
         del cut, coded
         pa.default_memory_pool().release_unused()
