@@ -87,8 +87,12 @@ def test_moving_average_across_slices(spark):
             assert abs(got[k, r[1]] - sum(around) / len(around)) < 1e-9
 
 
-def test_large_sides_are_not_broadcast(spark):
-    small = spark.range(10).withColumn("s", F.lit("x"))
-    assert scale.fits_broadcast(small)
-    assert not scale.fits_broadcast(small, max_rows=9)
-    assert not scale.fits_broadcast(small.withColumn("s", F.repeat(F.lit("x"), 100)), max_bytes=900)
+def test_null_keys_and_values(spark):
+    rows = [(None, 1.0, 0), (None, 3.0, 1), ("a", 1.0, 2), ("a", 2.0, 3), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    assert scale.number_rows(df, ["k"], ["v", "i"]).count() == 5
+    mid = {r["k"]: (r["median"], r["n"]) for r in scale.median(df, ["k"], "v").collect()}
+    assert mid == {None: (2.0, 2), "a": (1.5, 2)}
+    stamped = df.withColumn("t", F.timestamp_seconds(F.col("i").cast("long") * 90000 + 1))
+    assert scale.with_neighbours(stamped, ["k"], "t", "v").count() == 5
+    assert {r["k"] for r in throttle.significant_changes(stamped, ["k"], "t", ["v"]).collect()} == {None, "a"}

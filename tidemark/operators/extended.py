@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 from tidemark.operators.indexes import price_quantiles
-from tidemark.operators.scale import cumulative, first_per_key, lookup, median
+from tidemark.operators.scale import cumulative, first_per_key, lookup, median, same_key
 from tidemark.session import materialize
 
 
+def _priced(offers: DataFrame) -> DataFrame:
+    return offers.filter("price_per_1k > 0")
+
+
 def volume_median(offers: DataFrame, keys: list[str]) -> DataFrame:
     """Price at which the cumulative amount reaches half of the total."""
     half = F.col("total") / 2
-    cum = cumulative(offers, keys, "price_per_1k", F.col("amount_gold"),
+    cum = cumulative(_priced(offers), keys, "price_per_1k", F.col("amount_gold"),
                      (F.col("bin_upto") >= half) & (F.col("bin_before") < half))
     return cum.filter(F.col("upto") >= half).groupBy(*keys).agg(F.min("v").alias("volume_median"))
 
 
 def capped_vwap(offers: DataFrame, keys: list[str], cap: float = fixed.VWAP_VOLUME_CAP) -> DataFrame:
     """Mean price weighted by amount over the cheapest ``cap`` units; the last lot is clipped."""
-    cum = cumulative(offers, keys, "price_per_1k", F.col("amount_gold"), F.col("bin_before") < cap)
+    cum = cumulative(_priced(offers), keys, "price_per_1k", F.col("amount_gold"), F.col("bin_before") < cap)
     taken = F.least(F.col("w"), F.lit(cap) - F.col("before"))
     return (cum.filter(F.col("before") < cap).groupBy(*keys)
             .agg((F.sum(F.col("v") * taken) / F.sum(taken)).alias("vwap"),
@@ -30,7 +34,7 @@ def capped_vwap(offers: DataFrame, keys: list[str], cap: float = fixed.VWAP_VOLU
 
 def liquid_ask(offers: DataFrame, keys: list[str], volume: float = fixed.LIQUID_VOLUME) -> DataFrame:
     """Price at which ``volume`` units can be bought; groups that never reach it are absent."""
-    cum = cumulative(offers, keys, "price_per_1k", F.col("amount_gold"),
+    cum = cumulative(_priced(offers), keys, "price_per_1k", F.col("amount_gold"),
                      (F.col("bin_upto") >= volume) & (F.col("bin_before") < volume))
     return cum.filter(F.col("upto") >= volume).groupBy(*keys).agg(F.min("v").alias("liquid_ask"))
 
@@ -38,8 +42,8 @@ def liquid_ask(offers: DataFrame, keys: list[str], volume: float = fixed.LIQUID_
 def without_outliers(offers: DataFrame, keys: list[str], multiple: float = fixed.OUTLIER_MULTIPLE
                      ) -> DataFrame:
     """Offers at no more than ``multiple`` times the median of their group."""
-    mid = median(offers, keys, "price_per_1k").drop("n")
-    return (lookup(offers, mid, keys, "inner", store=True)
+    mid = median(_priced(offers), keys, "price_per_1k").drop("n")
+    return (same_key(_priced(offers), materialize(mid, "side"), keys)
             .filter(F.col("price_per_1k") <= F.col("median") * multiple).drop("median"))
 
 

@@ -67,8 +67,10 @@ def from_sources(offers: DataFrame, enabled: Sequence[str] | None) -> DataFrame:
 
 
 def since(df: DataFrame, time: str, as_of, hours: int) -> DataFrame:
-    """Rows strictly newer than ``as_of`` minus ``hours``."""
+    """Rows strictly newer than ``as_of`` minus ``hours``; a table by ``date`` is read from that day on."""
     cut = (as_of if isinstance(as_of, Column) else F.lit(as_of)) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    if "date" in df.columns:
+        df = df.filter(F.col("date") >= F.to_date(cut))
     return df.filter(F.col(time) > cut)
 
 

@@ -28,6 +28,8 @@ def rollup(ticks: DataFrame, tier: str, as_of: Column | None = None) -> DataFram
     if as_of is not None:
         start = as_of - F.expr(f"INTERVAL {LOOK_BACK[tier]}")
         cut = floor_minutes(start, 5) if tier == "5m" else floor(start)
+        if "date" in ticks.columns:
+            ticks = ticks.filter(F.col("date") >= F.to_date(cut))
         ticks = ticks.filter(F.col("recorded_at") >= cut)
     return (ticks.groupBy("server_id", "faction", floor(F.col("recorded_at")).alias("bucket"))
             .agg(F.avg("index_price").alias("index_price"), F.min("best_ask").alias("best_ask"),

@@ -25,10 +25,12 @@ def server_index(offers: DataFrame) -> DataFrame:
     """Index per (server_id, faction or All), prices per unit.
 
     Cheapest offer per (source, faction); sources whose mean is above twice the lowest mean
-    are left out; mean, min, max and count of the rest. The minimum is taken before the
+    are left out; mean, min, max and count of the rest. Offers belong to a faction whatever the
+    case, picks are per exact name. The minimum is taken before the
     'All' fan-out, so the shuffle carries one row per (server, source, faction) and task.
     """
-    picks = faction_fan_out(_cheapest(offers.filter("server_id IS NOT NULL"), ["server_id"]))
+    picks = _cheapest(offers.filter("server_id IS NOT NULL"), ["server_id"]).withColumn(
+        "group_faction", F.explode(F.array(text.stored_faction(F.col("faction")), F.lit(fixed.ALL))))
     per_source = picks.groupBy("server_id", "group_faction", "source").agg(
         F.sum("price").alias("total"), F.count("price").alias("n"),
         F.min("price").alias("low"), F.max("price").alias("high"))

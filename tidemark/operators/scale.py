@@ -10,55 +10,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-                   max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and text bytes of at most ``max_rows`` + 1 rows of ``df``."""
-    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType)
-                 else F.lit(16) for f in df.schema.fields), F.lit(0))
-    rows, size = (df.limit(max_rows + 1)
-                  .agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first())
-    return rows <= max_rows and size <= max_bytes
-
-
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose measured size is small.
-
-    A larger side is left to a shuffled join, whose hot partitions adaptive execution splits.
-    """
-    return F.broadcast(df) if fits_broadcast(df) else df
-
-
-def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", measure: bool = True,
-           store: bool = False) -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", store: bool = False) -> DataFrame:
     """Join a large table with a dimension that has one row per key.
 
-    ``measure=False`` leaves the choice to the optimizer, for facts that are small themselves.
-    ``store`` is for sides that are the result of a large aggregation: they are written once,
-    so that measuring and joining do not both compute them.
+    The kind of join is left to adaptive execution, which knows sizes at run time. ``store`` is for
+    sides that are the result of a large aggregation: they are written once.
     """
     if store:
         dim = materialize(dim, "side")
-    return facts.join(maybe_broadcast(dim) if measure else dim, on, how)
+    return facts.join(dim, on, how)
 
 
-def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
-    """Deals out the rows of a scan that has fewer splits than the cluster has cores.
-
-    Large inputs have more splits than cores and are left alone, as are tiny ones.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) < min_bytes:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on all keys where null equals null; the keys come from the left side."""
+    names = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    condition = None
+    for k, name in names.items():
+        equal = left[k].eqNullSafe(other[name])
+        condition = equal if condition is None else condition & equal
+    return left.join(other, condition, how).drop(*names.values())
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
@@ -83,14 +58,14 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
                needed: Column | None = None) -> DataFrame:
     """Running weight over the distinct values of every key, in value order.
 
-    Returns keys, ``v``, ``w`` (weight at v), ``before``, ``upto`` and ``total``. Equal
+    Null values count nowhere; a null key is a key. Returns keys, ``v``, ``w`` (weight at v), ``before``, ``upto`` and ``total``. Equal
     values are summed ahead of the shuffle; the running sum is taken over bins first and
     then inside each bin, so no window holds more than the distinct values of one bin.
     ``needed`` (a condition on bin_before, bin_upto, total) drops bins that cannot matter.
     """
     keys = list(keys)
     w = F.lit(1) if weight is None else weight
-    per_value = (df.groupBy(*keys, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
+    per_value = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
                  .withColumn("bin", value_bin(F.col("v"))))
     bins = per_value.groupBy(*keys, "bin").agg(F.sum("w").alias("bin_w"))
     by_key = Window.partitionBy(*keys)
@@ -100,7 +75,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     if needed is not None:
         bins = bins.filter(needed)
     in_bin = Window.partitionBy(*keys, "bin").orderBy("v")
-    return (per_value.join(bins.drop("bin_w", "bin_upto"), [*keys, "bin"])
+    return (same_key(per_value, bins.drop("bin_w", "bin_upto"), [*keys, "bin"])
             .withColumn("upto", F.col("bin_before") + F.sum("w").over(in_bin))
             .withColumn("before", F.col("upto") - F.col("w"))
             .select(*keys, "v", "w", "before", "upto", "total"))
@@ -152,7 +127,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (pieces.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
               .drop("_rows"))
-    return (stored.join(pieces, [*keys, "_part"])
+    return (same_key(stored, pieces, [*keys, "_part"])
             .withColumn(name, F.col("_place") - F.col("_first") + F.col("_offset") + 1)
             .drop("_part", "_place", "_first", "_offset"))
 
@@ -174,7 +149,7 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], time: str, value: str,
              .withColumn("_after", F.lead("_head").over(along))
              .select(*keys, "_slice", "_before", "_after"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
-    return (sliced.join(edges, [*keys, "_slice"])
+    return (same_key(sliced, edges, [*keys, "_slice"])
             .withColumn("prev_value", F.coalesce(F.lag(value).over(inside), F.col("_before")))
             .withColumn("next_value", F.coalesce(F.lead(value).over(inside), F.col("_after")))
             .drop("_slice", "_before", "_after"))

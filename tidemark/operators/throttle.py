@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
-from tidemark.operators.scale import number_rows
+from tidemark.operators.scale import number_rows, same_key
 from tidemark.session import materialize
 
 
@@ -59,12 +59,12 @@ def significant_changes(df: DataFrame, keys: list[str], time: str, values: list[
         stale = found.filter(~F.col("found").eqNullSafe(F.col("entry")))
         if stale.isEmpty():
             break
-        again = (slices.join(stale.select(*at, "found"), at)
+        again = (same_key(slices, stale.select(*at, "found"), at)
                  .select(*at, F.col("found").alias("entry"), fold(F.col("found")).alias("exit")))
         settled = found.filter(F.col("found").eqNullSafe(F.col("entry"))).select(*at, "entry", "exit")
         states = materialize(settled.unionByName(again), "states")
 
-    joined = slices.join(states.select(*at, "entry"), at)
+    joined = same_key(slices, states.select(*at, "entry"), at)
     row_type = joined.schema["_rows"].dataType.simpleString()
     start = F.struct(F.col("entry").alias("state"), F.array().cast(row_type).alias("kept"))
     walked = F.aggregate("_rows", start, lambda acc, r: F.when(

@@ -6,7 +6,6 @@ operator are built with that operator on Spark.
 
 from tidemark.functions import prices
 from tidemark.operators import registry
-from tidemark.operators.scale import maybe_broadcast
 from tidemark.plans.catalog import VIEWS, view
 
 view("servers", """
@@ -40,7 +39,7 @@ FROM servers WHERE id % 5 <> 0 AND (region IN ('EU', 'RU', 'US') OR (region = 'O
 view("server_names", """
 SELECT id AS sv_id, name AS sv_name, region AS sv_region, version AS sv_version, realm_type AS sv_type,
        notes AS sv_notes FROM servers
-""", lambda t: maybe_broadcast(t.derive(VIEWS["server_names"])))
+""")
 
 view("raw_offers", """
 SELECT concat(CASE l_returnflag WHEN 'A' THEN 'fp_' WHEN 'N' THEN 'g2g_' ELSE 'pa_' END,

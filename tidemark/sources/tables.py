@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from tidemark import schemas
 from tidemark.functions import fixed, text
 from tidemark.functions.prices import with_prices
-from tidemark.operators.scale import first_per_key, maybe_broadcast
+from tidemark.operators.scale import first_per_key
 from tidemark.session import materialize
 
 INDEX_BUCKETS = 64
@@ -93,7 +93,7 @@ def upsert(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
     the key.
     """
     batch = materialize(first_per_key(fitted(batch, schema), keys, newest), "batch")
-    touched = maybe_broadcast(batch.select(partition).distinct())
+    touched = batch.select(partition).distinct()
     stored = read(batch.sparkSession, path, schema).join(touched, partition, "left_semi")
     kept = stored.join(batch.select(*keys, partition), [*keys, partition], "left_anti")
     _overwrite(kept.unionByName(batch).select(*schema.fieldNames()), path, partition)
@@ -101,9 +101,13 @@ def upsert(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
 
 def insert_if_absent(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
                      first: Sequence[Column], partition: str) -> None:
-    """Insert rows with a new key; running it again changes nothing."""
-    batch = first_per_key(fitted(batch, schema), keys, first)
-    stored = read(batch.sparkSession, path, schema).select(*keys, partition)
+    """Insert rows with a new key; running it again changes nothing.
+
+    Only partitions with a batch row are read; ``partition`` must follow from the key.
+    """
+    batch = materialize(first_per_key(fitted(batch, schema), keys, first), "batch")
+    touched = batch.select(partition).distinct()
+    stored = read(batch.sparkSession, path, schema).select(*keys, partition).join(touched, partition, "left_semi")
     fresh = materialize(batch.join(stored, [*keys, partition], "left_anti")
                         .select(*schema.fieldNames()), "fresh")
     _by_partition(fresh, partition).write.mode("append").partitionBy(partition).parquet(path)
@@ -143,12 +147,13 @@ def apply_retention(spark: SparkSession, path: str, schema: StructType, time: st
     the cut keeps its newer rows.
     """
     moment = F.lit(cut).cast("timestamp")
-    old = materialize(read(spark, path, schema).filter(F.col("date") <= F.to_date(moment)), "old")
-    kept = old.filter(F.col(time) >= moment)
-    deleted = old.filter(F.col(time) < moment).count()
+    old = read(spark, path, schema).filter(F.col("date") <= F.to_date(moment))
+    # one row per day
+    counts = {r[0]: r[1] for r in old.groupBy("date").agg(F.count_if(F.col(time) < moment)).collect()}
+    deleted = sum(counts.values())
     if deleted:
         # a day without kept rows is dropped, the day of the cut is rewritten
-        days = [r[0] for r in old.select("date").distinct().collect()]  # one value per day
+        days = list(counts)
         hadoop = spark._jsc.hadoopConfiguration()
         last = spark.sql(f"SELECT to_date('{cut}')").first()[0]
         for day in days:
@@ -156,7 +161,7 @@ def apply_retention(spark: SparkSession, path: str, schema: StructType, time: st
                 folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
                 folder.getFileSystem(hadoop).delete(folder, True)
         if last in days:
-            _replace_day(kept, path, last)
+            _replace_day(old.filter((F.col("date") == F.lit(last)) & (F.col(time) >= moment)), path, last)
     return deleted
 
 
