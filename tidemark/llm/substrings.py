@@ -87,7 +87,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out = []
         for text, units_ in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
             drop = set(units_)
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+            # the engine also passes rows that lose nothing, null texts among them
+            out.append(text and "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
         return pa.array(out, pa.string())
 
     gone = (repeats(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set("unit").alias("_gone"))
