@@ -267,7 +267,10 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
             .select("key", "tree", "low", "high", "block", "home", "node", "component", "pos"))
-    rows = rows.join(nodes.select("node", "n", "point"), "node")
+    # where all pairs are asked for, a pair is given by the tree of its first common shingle alone: that
+    # tree is searched here too, or it gave all its pairs before
+    first_only = most is None
+    rows = rows.join(nodes.select("node", "n", "point", *(["keys"] if first_only else [])), "node")
     cell = ["key", "tree", "low", "high"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +297,10 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
                     continue
                 x, y, more = tree_pairs(cols["n"][s:e], points[s:e].to_pylist(), comp, cols["block"][s:e], home[s:e],
                                         cols["pos"][s:e], percent, most)
+                if first_only and len(x):
+                    before = [set(k[:p]) for k, p in zip(kept["keys"][s:e].to_pylist(), cols["pos"][s:e].tolist(), strict=True)]
+                    first = np.array([before[i].isdisjoint(before[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+                    x, y = x[first], y[first]
                 found.update(zip(np.maximum(node[x], node[y]).tolist(), np.minimum(node[x], node[y]).tolist(), strict=True))
                 if more:
                     open_trees.add((int(cols["key"][s]), int(cols["tree"][s])))
