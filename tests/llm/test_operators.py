@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (licenses, mixing, ngram_join, packing, quality, substrings, token_files, tokens, tool_calls,
                           toxicity, vector_search)
+from tidemark.llm.components import components, joined_up
 from tidemark.session import new_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,6 +92,17 @@ def test_join_against_brute_force(docs, rows, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_groups_grow_by_links_between_them(spark):
+    links = [(2, 1), (3, 2), (11, 10), (21, 20), (21, 22)]
+    more = [(3, 40), (40, 11), (50, 51), (20, 22), (None, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    both = {tuple(r) for r in joined_up(components(frame(links)), frame(more)).collect()}
+    assert both == {tuple(r) for r in components(frame(links + more)).collect()}
+    none = frame([])
+    assert {tuple(r) for r in joined_up(components(none), frame(links)).collect()} == {
+        tuple(r) for r in joined_up(components(frame(links)), none).collect()}
+
+
 def test_tree_keeps_every_pair():
     rnd = np.random.default_rng(5)
     base = [np.unique(rnd.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(40)]

@@ -50,3 +50,16 @@ def components(links: DataFrame) -> DataFrame:
         state = stored(_small_star(_large_star(state).distinct()).distinct(), "links")
     roots = state.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined_up(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: every group counts as one node, so the links inside groups are not
+    walked again. ``groups`` as from ``components``; returns the same columns."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    roots = components(between)
+    moved = roots.select(F.col("node").alias("component"), F.col("component").alias("_root"))
+    fresh = roots.join(groups.select("node"), "node", "left_anti")
+    return (groups.join(moved, "component", "left").select("node", F.coalesce("_root", "component").alias("component"))
+            .unionByName(fresh))

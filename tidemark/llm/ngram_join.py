@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined_up
 from tidemark.llm.words import Words, chunks, mix
 
 WORDS = 5
@@ -333,19 +333,18 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # every node against one leader per shingle
     stars = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     tested = stored(_bound(stars, nodes, percent), "stars")
-    links = verified(tested, "linked")
+    every = stored(components(verified(tested, "linked")), "groups")
     shared = shared.drop("leader")
     # the best pairs of every tree, then all pairs of the trees that have more
-    found = stored(_searched(shared, components(links), nodes, percent, BEST), "found")
+    found = stored(_searched(shared, every, nodes, percent, BEST), "found")
     pairs = lambda rows: rows.filter("a is not null").select("a", "b").distinct()
     fresh = stored(pairs(found).join(tested, ["a", "b"], "left_anti"), "fresh")
-    links = links.unionByName(verified(fresh, "more"))
+    every = stored(joined_up(every, verified(fresh, "more")), "groups")
     open_trees = found.filter("key is not null").select("key", "tree").distinct()
-    every = stored(components(links), "groups")
     if not open_trees.isEmpty():
         rest = pairs(_searched(shared, every, nodes, percent, None, open_trees))
         rest = stored(rest.join(tested.unionByName(fresh), ["a", "b"], "left_anti"), "rest")
-        every = components(links.unionByName(verified(rest, "rest-linked")))
+        every = joined_up(every, verified(rest, "rest-linked"))
 
     named = (classes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
