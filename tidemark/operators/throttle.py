@@ -24,7 +24,10 @@ def moved(new: Column, old: Column, threshold: float = fixed.WRITE_THRESHOLD) ->
 def significant_changes(df: DataFrame, keys: list[str], time: str, values: list[str],
                         order: list[str] | None = None, threshold: float = fixed.WRITE_THRESHOLD,
                         ttl_seconds: int = fixed.WRITE_TTL_SECONDS, slice_rows: int = 2000) -> DataFrame:
-    """Rows to write: the first of a key, or any value moved, or the last write is too old."""
+    """Rows to write: the first of a key, or any value moved, or the last write is too old.
+
+    A null value has not moved; after a row kept with a null value, the next row is kept.
+    """
     columns = df.columns
     sequence = [F.col(c) for c in [time, *(order or []), *values]]
     placed = number_rows(df, keys, sequence, "_pos")

@@ -411,14 +411,13 @@ def _(t):
 @query("n20_alias_key", """
 SELECT id, faction, CASE
     WHEN source = 'g2g' THEN CASE WHEN raw_title <> '' THEN raw_title END
-    WHEN source = 'funpay' AND display_server LIKE '(%) %'
+    WHEN source IN ('funpay', 'playerauctions') AND display_server LIKE '(%) %'
       THEN concat(replace(display_server, '’', chr(39)), ' - x')
     END AS alias_key FROM listings""")
 def _(t):
     key = text.alias_key(F.col("source"), F.col("raw_title"), F.col("display_server"), F.lit("x"),
                          F.col("faction"))
-    named = F.when(F.col("source") == "playerauctions", F.lit(None)).otherwise(key)
-    return t.listings.select("id", "faction", named.alias("alias_key"))
+    return t.listings.select("id", "faction", key.alias("alias_key"))
 
 
 @query("n21_server_slug", """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import times
+from tidemark.functions import fixed, times
 from tidemark.operators import history, series, throttle
 from tidemark.plans.catalog import query, view
 from tidemark.streaming import jobs
@@ -270,17 +270,41 @@ def _(t):
 
 # --- throttles --------------------------------------------------------------------------
 
-@query("w6_change_throttle")
+def _walk(rows: str, order: str, values: list[str], columns: str) -> str:
+    """Steps along every series and carries time and values of the last row kept."""
+    kept = f"epoch(o.recorded_at) - epoch(w.at) >= {fixed.WRITE_TTL_SECONDS}"
+    for v in values:
+        kept += f" OR w.last_{v} IS NULL OR w.last_{v} = 0 OR abs(o.{v} - w.last_{v}) / w.last_{v} > {fixed.WRITE_THRESHOLD}"
+    first = ", ".join(f"{v} AS last_{v}" for v in values)
+    carried = ", ".join(f"CASE WHEN {kept} THEN o.{v} ELSE w.last_{v} END" for v in values)
+    return f"""SELECT server_id, faction, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, {columns} FROM (
+  WITH RECURSIVE o AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY server_id, faction ORDER BY {order}) AS rn FROM {rows}),
+  w AS (
+    SELECT server_id, faction, rn, recorded_at AS at, {first}, TRUE AS kept FROM o WHERE rn = 1
+    UNION ALL
+    SELECT o.server_id, o.faction, o.rn, CASE WHEN {kept} THEN o.recorded_at ELSE w.at END, {carried},
+           coalesce({kept}, FALSE)
+    FROM w JOIN o ON o.server_id = w.server_id AND o.faction = w.faction AND o.rn = w.rn + 1)
+  SELECT o.* FROM w JOIN o USING (server_id, faction, rn) WHERE kept)"""
+
+
+THROTTLED = _walk("raw_ticks", "recorded_at, event_id, index_price", ["index_price"],
+                  "event_id, round(index_price, 8) AS index_price")
+
+
+@query("w6_change_throttle", THROTTLED)
 def _(t):
     rows = t.raw_ticks.select("server_id", "faction", "recorded_at", "event_id", "index_price")
     return shown(throttle.significant_changes(rows, ["server_id", "faction"], "recorded_at", ["index_price"],
                                               ["event_id"]))
 
 
-@query("w7_two_value_throttle")
+@query("w7_two_value_throttle", _walk(
+    "ticks", "recorded_at, index_price, best_ask NULLS FIRST", ["index_price", "best_ask"],
+    "round(index_price, 8) AS index_price, round(best_ask, 8) AS best_ask"))
 def _(t):
-    rows = t.ticks.filter("best_ask IS NOT NULL").select("server_id", "faction", "recorded_at", "index_price",
-                                                         "best_ask")
+    rows = t.ticks.select("server_id", "faction", "recorded_at", "index_price", "best_ask")
     return shown(throttle.significant_changes(rows, ["server_id", "faction"], "recorded_at",
                                               ["index_price", "best_ask"]))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.plans.catalog import VIEWS, query
-from tidemark.plans.q_history import shown
+from tidemark.plans.q_history import THROTTLED, shown
 from tidemark.session import new_path
 from tidemark.sources import tables
 from tidemark.sources.tables import normal_offers
@@ -33,6 +33,14 @@ def files(t, path: str, schema) -> DataFrame:
     return t.spark.readStream.schema(schema).parquet(path)
 
 
+def in_loads(t, rows: DataFrame, conditions: list[str], start) -> None:
+    """Lands the rows load by load; after each, the job goes on from its checkpoint."""
+    landed, checkpoint = new_path(t.spark, "landed"), new_path(t.spark, "cp")
+    for condition in conditions:
+        rows.filter(condition).write.mode("append").parquet(landed)
+        done(start(files(t, landed, rows.schema), checkpoint))
+
+
 _TICK_TEXT = """server_id, faction, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at,
        round(index_price, 8) AS index_price, round(best_ask, 8) AS best_ask, sample_size"""
 
@@ -69,15 +77,31 @@ def _(t):
     return good.unionByName(bad)
 
 
-@query("st2_tick_writer", """
-SELECT server_id, faction, strftime((SELECT date_trunc('minute', max(fetched_at)) FROM offers),
-         '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, index_price, best_ask, CAST(sample_size AS INT) AS sample_size
-FROM sql_server_index""")
+# the offers arrive in three loads; every load gives ticks over all offers seen by then, the newest of an id
+_SEEN = """(SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY fetched_at DESC, price_per_1k, faction,
+                                     server_id) AS place FROM offers) WHERE place = 1)
+      JOIN (VALUES (0), (1), (2)) AS p(load) ON order_no % 3 <= load"""
+
+
+@query("st2_tick_writer", f"""
+SELECT server_id, faction, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, index_price, best_ask,
+       CAST(sample_size AS INT) AS sample_size
+FROM (SELECT *, row_number() OVER (PARTITION BY server_id, faction, moment ORDER BY load) AS rn FROM (
+  SELECT load, server_id, gf AS faction, round(sum(total) / sum(n) / 1000, 8) AS index_price,
+         round(min(low) / 1000, 8) AS best_ask, sum(n) AS sample_size
+  FROM (SELECT *, min(mean) OVER (PARTITION BY load, server_id, gf) AS lowest FROM (
+    SELECT load, server_id, gf, source, sum(price) AS total, count(*) AS n, avg(price) AS mean, min(price) AS low
+    FROM (SELECT load, server_id, source, price, unnest([faction, 'All']) AS gf FROM (
+      SELECT load, server_id, source, faction, min(price_per_1k) AS price FROM {_SEEN}
+      WHERE price_per_1k > 0 GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3, 4))
+  WHERE mean <= 2 * lowest GROUP BY 1, 2, 3)
+  JOIN (SELECT load, date_trunc('minute', max(fetched_at)) AS moment FROM {_SEEN} GROUP BY 1) USING (load))
+WHERE rn = 1""")
 def _(t):
-    raw = t.derive(VIEWS["raw_offers"], lineitem=stream_of(t, "lineitem"))
-    offers = tables.with_prices(raw.withColumnRenamed("given_price", "price_per_1k"))
-    path = new_path(t.spark, "ticks")
-    done(jobs.start_tick_writer(offers, path, new_path(t.spark, "cp"), NOW))
+    path, current = new_path(t.spark, "ticks"), new_path(t.spark, "market")
+    in_loads(t, t.offers, [f"order_no % 3 = {load}" for load in range(3)],
+             lambda offers, checkpoint: jobs.start_tick_writer(offers, current, path, checkpoint, NOW))
     return shown(tables.read(t.spark, path, schemas.TICKS).select(*TICK))
 
 
@@ -99,7 +123,10 @@ def _(t):
 @query("st3_open_buckets", f"SELECT {_TICK_TEXT} FROM ({_rolled('raw_ticks', _FLOOR_5)})")
 def _(t):
     path = new_path(t.spark, "open")
-    done(jobs.start_open_buckets(tick_stream(t), "5m", path, new_path(t.spark, "cp"), NOW))
+    # the cut lies inside a bucket, whose state goes from one load to the next
+    cut = "TIMESTAMP '2024-01-15 12:02:00'"
+    in_loads(t, t.raw_ticks, [f"recorded_at < {cut}", f"recorded_at >= {cut}"],
+             lambda ticks, checkpoint: jobs.start_open_buckets(ticks, "5m", path, checkpoint, NOW))
     return shown(tables.read(t.spark, path, schemas.TICKS).select(*TICK))
 
 
@@ -122,7 +149,7 @@ def _(t):
     return shown(t.spark.read.parquet(path).select(*TICK))
 
 
-@query("st5_stateful_throttle")
+@query("st5_stateful_throttle", THROTTLED)
 def _(t):
     stream = tick_stream(t).select("server_id", "faction", "recorded_at", "event_id", "index_price")
     path = new_path(t.spark, "throttled")
@@ -144,14 +171,15 @@ def _(t):
 
 @query("st10_current_index", f"""
 SELECT server_id, faction, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS computed_at, index_price, best_ask FROM (
-  SELECT *, row_number() OVER (PARTITION BY server_id, faction ORDER BY recorded_at DESC, index_price,
-                               best_ask NULLS FIRST) AS rn FROM raw_ticks) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY server_id, faction ORDER BY recorded_at DESC,
+                               (event_id % 3) DESC, index_price, best_ask NULLS FIRST) AS rn FROM raw_ticks) WHERE rn = 1""")
 def _(t):
-    index = tick_stream(t).select(
-        "server_id", "faction", F.col("recorded_at").alias("computed_at"), "index_price", "best_ask",
+    index = t.raw_ticks.select(
+        "event_id", "server_id", "faction", F.col("recorded_at").alias("computed_at"), "index_price", "best_ask",
         F.col("sample_size").cast("long"), F.col("index_price").alias("min_price"),
         F.col("index_price").alias("max_price"))
     path = new_path(t.spark, "current")
-    done(jobs.start_current_index(index, path, new_path(t.spark, "cp"), NOW))
+    in_loads(t, index, [f"event_id % 3 = {load}" for load in range(3)],
+             lambda ticks, checkpoint: jobs.start_current_index(ticks, path, checkpoint, NOW))
     return shown(tables.read(t.spark, path, schemas.CURRENT_INDEX).select(
         "server_id", "faction", "computed_at", "index_price", "best_ask"), "computed_at")

@@ -174,8 +174,9 @@ FROM events
 # one rate per currency and day, on days with orders of the priority that stands for the currency
 view("rates", """
 SELECT code, valid_from, round(avg(o_totalprice) / 200000, 3) AS rate FROM (
-  SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'EUR' ELSE 'GBP' END AS code,
+  SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'EUR' WHEN '2' THEN 'GBP' WHEN '3' THEN 'UAH'
+           WHEN '4' THEN 'PLN' ELSE 'RUB' END AS code,
          CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' MINUTE * 600 AS valid_from, o_totalprice
-  FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') GROUP BY code, valid_from
+  FROM orders) GROUP BY code, valid_from
 """)
 

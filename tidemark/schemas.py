@@ -42,6 +42,10 @@ TICKS = _schema("""
     server_id int, faction string, recorded_at timestamp, index_price double, best_ask double,
     sample_size int, date date""")
 
+CURRENT_OFFERS = _schema("""
+    source string, id string, server_id int, faction string, price_per_1k double, fetched_at timestamp,
+    bucket int""")
+
 CURRENT_INDEX = _schema("""
     server_id int, faction string, computed_at timestamp, index_price double, best_ask double,
     sample_size bigint, min_price double, max_price double, bucket int""")

@@ -124,6 +124,16 @@ def upsert_index(index: DataFrame, path: str) -> None:
            [F.col("computed_at").desc(), F.col("index_price"), F.col("best_ask")], "bucket")
 
 
+def upsert_offers(offers: DataFrame, path: str) -> None:
+    """The current offers: one row per (source, id), the newest; an older one that comes late is ignored."""
+    rows = offers.withColumn("bucket", F.pmod(F.hash("source", "id"), F.lit(INDEX_BUCKETS)))
+    known = (read(offers.sparkSession, path, schemas.CURRENT_OFFERS)
+             .select("source", "id", "bucket", F.col("fetched_at").alias("_at")))
+    newer = rows.join(known, ["source", "id", "bucket"], "left").filter("_at IS NULL OR fetched_at >= _at")
+    upsert(newer, path, schemas.CURRENT_OFFERS, ["source", "id"],
+           [F.col("fetched_at").desc(), F.col("price_per_1k"), F.col("faction"), F.col("server_id")], "bucket")
+
+
 def _dated(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("date", F.to_date("recorded_at"))
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark import schemas
 from tidemark.functions import fixed
+from tidemark.operators.filters import since
 from tidemark.operators.indexes import server_index
 from tidemark.operators.quality import normalize
 from tidemark.sources import tables
@@ -37,16 +39,24 @@ def start_normalizer(listings: DataFrame, aliases: DataFrame, servers: DataFrame
     return _start(listings, each, checkpoint, trigger)
 
 
-def start_tick_writer(offers: DataFrame, path: str, checkpoint: str,
-                      trigger: dict | None = None) -> StreamingQuery:
-    """Per micro-batch the index of every (server, faction or All), one time for all rows."""
+def start_tick_writer(offers: DataFrame, current_path: str, path: str, checkpoint: str,
+                      trigger: dict | None = None, hours: int | None = None) -> StreamingQuery:
+    """Per micro-batch the index of every (server, faction or All) over the whole market.
+
+    The micro-batch goes into the table of current offers first; the index is taken over that table, at
+    the minute of its newest offer. With ``hours``, offers not seen for that long before the newest one
+    no longer count.
+    """
     def each(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        at = batch.agg(F.date_trunc("minute", F.max("fetched_at"))).first()[0]
-        if at is not None:
-            ticks = server_index(batch).withColumn("recorded_at", F.lit(at))
-            tables.insert_ticks(ticks, path)
-        batch.unpersist()
+        tables.upsert_offers(batch, current_path)
+        market = tables.read(batch.sparkSession, current_path, schemas.CURRENT_OFFERS)
+        newest = market.agg(F.max("fetched_at")).first()[0]
+        if newest is None:
+            return
+        if hours is not None:
+            market = since(market, "fetched_at", newest, hours)
+        ticks = server_index(market).withColumn("recorded_at", F.date_trunc("minute", F.lit(newest)))
+        tables.insert_ticks(ticks, path)
     return _start(offers, each, checkpoint, trigger or {"processingTime": "60 seconds"})
 
 
