@@ -225,6 +225,58 @@ def test_vectors(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
 
 
+def fold(word):
+    return "".join(x.lower() if x < "\x80" else x for x in word)
+
+
+def _passages(rows, n=50):
+    """Brute force: (id, start, stop) of the spans that go."""
+    first, out = {}, set()
+    for r in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        w, spans = list(WORD.finditer(r[1] or "")), []
+        folded = [fold(x.group()) for x in w]
+        for k in range(len(w) - n + 1):
+            body, start, stop = tuple(folded[k:k + n]), w[k].start(), w[k + n - 1].end()
+            if body in first:
+                doc, end = first[body]
+                spans.append((max(start, end) if doc == r[0] else start, stop))
+            else:
+                first[body] = r[0], stop
+        while spans:
+            start, stop = spans.pop(0)
+            while spans and spans[0][0] <= stop:
+                stop = max(stop, spans.pop(0)[1])
+            out.add((r[0], start, stop))
+    return out
+
+
+def test_passages_inside_lines(spark, rows, empty):
+    passage = prose(20, 60)
+    broken = "\n".join(" ".join(passage.split()[i:i + 3]) for i in range(0, 60, 3))
+    texts = [(100, f"{prose(21, 30)} {passage} {prose(22, 30)}\n{prose(23, 9)}"), (101, f"é {prose(24, 11)} {passage.upper()} {prose(25, 8)}"),
+             (102, f"{prose(26, 10)}\n{broken}\n{prose(27, 10)}"), (103, f"{passage} {prose(28, 3)}"), (104, " ".join(passage.split()[:49])),
+             (105, "word " * 300), (106, f"{prose(29, 70)} {prose(29, 70)}")]
+    made = [*rows, *((i, t, "en", "a", len(t), "x", "y") for i, t in texts)]
+    docs = spark.createDataFrame(made, SCHEMA)
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in substrings.passages(docs).collect()}
+    assert got == _passages(made) and {101, 102, 103, 105, 106} <= {x[0] for x in got} and not {100, 104} & {x[0] for x in got}
+    out = substrings.without_passages(docs)
+    left = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and left[101]["text"] == f"é {prose(24, 11)} {prose(25, 8)}"
+    assert left[101]["n_chars"] == len(left[101]["text"]) and left[102]["text"] == f"{prose(26, 10)}\n{prose(27, 10)}"
+    assert left[103]["text"] == prose(28, 3)
+    assert substrings.passages(empty).count() == 0 and substrings.without_passages(empty).count() == 0
+
+
+def test_pipeline_cuts_passages_inside_lines(spark):
+    import corpus_pipeline
+
+    passage = prose(20, 60)
+    docs = spark.createDataFrame([(i, f"{prose(30 + i, 12)} {passage} {prose(40 + i, 12)}", "en", "a", 0, "x", "y") for i in range(2)], SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    assert passage in left[0] and left[1] == f"{prose(31, 12)} {prose(41, 12)}"
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs, list(licenses.NOTICES.items())).collect()
     assert ("apache-2.0", 100, 13) in {(r["template"], r["coverage"], r["doc_id"]) for r in got}

@@ -6,6 +6,13 @@ all later ones go. Ranks follow doc_id (null last), then the hash of the text, t
 Places are kept as offsets, in code points, into the text as it was.
 
 Rows that agree in doc_id and text are one document and lose the same lines.
+
+Passages that begin or end inside a line are found by windows of ``PASSAGE_WORDS`` words, every one of
+them, across lines. A window's smallest gram of ``GRAM`` words names it; equal windows have equal
+names, so windows with a name of their own are left alone. Windows in a row with one name are a run:
+of runs that agree word for word the later ones go whole, and where a name has several runs, the
+windows of each first one are digested and grouped. The window that ranks first stays, the spans of
+all later ones are united per text.
 """
 
 from __future__ import annotations
@@ -21,11 +28,26 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.words import _power, chunks, mix
 
 MIN_WORDS = 5  # lines with fewer words always stay
+PASSAGE_WORDS = 50  # words of a window
+GRAM = 12  # words of the grams that name windows; only cost depends on it
 
 _Q, _Q_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_SPANS = "doc_id long, text_hash long, start long, stop long"
+_WINDOWS = _SPANS + ", d1 long, d2 long"
 _UNITS = "doc_id long, text_hash long, unit long, start long, stop long, words long, d1 long, d2 long"
 
 
+def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """128 bits, as two numbers, of each run of words first .. last - 1."""
+    digests = []
+    for salt in (0, 0x2545F4914F6CDD1D):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(hashes ^ np.uint64(salt)) * _power(_Q, len(hashes)), out=sums[1:])
+        raw = (sums[last] - sums[first]) * _power(_Q_INVERSE, len(sums))[first]
+        digests.append(mix(raw + (last - first).astype(np.uint64)).view(np.int64))
+    return digests
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per line with at least ``min_words`` words: line number, start and stop (code points,
     without the newline), number of words, digest."""
@@ -46,12 +68,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 starts, ends, first, last, text, line = (x[long] for x in (starts, ends, first, last, text, line))
                 places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
                 base = places[words.bounds[text]]
-                digests = []
-                for salt in (0, 0x2545F4914F6CDD1D):
-                    sums = np.zeros(len(words.hashes) + 1, np.uint64)
-                    np.cumsum(mix(words.hashes ^ np.uint64(salt)) * _power(_Q, len(words.hashes)), out=sums[1:])
-                    raw = (sums[last] - sums[first]) * _power(_Q_INVERSE, len(sums))[first]
-                    digests.append(mix(raw + (last - first).astype(np.uint64)).view(np.int64))
+                digests = _digests(words.hashes, first, last)
                 at = pa.array(row + text)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), hashes.take(at), *(pa.array(x.astype(np.int64)) for x in (
@@ -95,6 +112,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"))
     rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cut(docs["text"], F.coalesce("_gone", F.array().cast("array<long>")))))
+    return _renewed(docs, rows)
+
+
+def _renewed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``docs``, the text from ``_text`` where there is one."""
     rows = rows.filter(F.col("_text").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.coalesce("_text", docs["text"])}
     if "n_chars" in docs.columns:
@@ -103,5 +125,160 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _runs(docs: DataFrame, n: int) -> DataFrame:
+    """One row per gram that is the smallest (leftmost of equals) of some windows of ``n`` words, which
+    follow each other: its hash, a hash of the words of all these windows, and in code points where
+    the first window starts (start) and ends (head) and the last one ends (stop)."""
+    gram = min(GRAM, n)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            for row, words in chunks(batch.column("text"), fold=True):
+                count = len(words.hashes)
+                if count < n:
+                    continue
+                at = np.arange(count - gram + 1)
+                grams = _digests(words.hashes, at, at + gram)[0]
+                # the place of the smallest of n - gram + 1 grams in a row, by doubling
+                least, width = at, 1
+                while width < n - gram + 1:
+                    step = min(width, n - gram + 1 - width)
+                    a, b = least[:-step], least[step:]
+                    least, width = np.where(grams[a] <= grams[b], a, b), width + step
+                text = np.searchsorted(words.of_text, np.arange(len(least)), "right") - 1
+                inside = np.flatnonzero(np.arange(len(least)) + n <= words.of_text[text + 1])
+                if not len(inside):
+                    continue
+                new = np.flatnonzero(np.append(True, np.diff(least[inside]) != 0))
+                first, last = inside[new], inside[np.append(new[1:], len(inside)) - 1]
+                places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+                base, rows = places[words.bounds[text[first]]], pa.array(row + text[first])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), hashes.take(rows), *map(pa.array, (
+                        grams[least[first]], _digests(words.hashes, first, last + n)[1], places[words.starts[first]] - base,
+                        places[words.ends[first + n - 1]] - base, places[words.ends[last + n - 1]] - base))],
+                    names=["doc_id", "text_hash", "name", "body", "start", "head", "stop"])
+
+    return _keyed(docs).mapInArrow(work, "doc_id long, text_hash long, name long, body long, start long, head long, stop long")
+
+
+def _windows(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """The windows of ``n`` words in the given spans: start and stop (code points), digest."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, runs = (batch.column(x) for x in ("doc_id", "text_hash", "runs"))
+            for row, words in chunks(batch.column("text"), fold=True):
+                part = runs.slice(row, len(words))
+                text = np.repeat(np.arange(len(words)), part.value_lengths().to_numpy(zero_copy_only=False))
+                places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+                base = places[words.bounds[text]]
+                start, stop = (part.flatten().field(x).to_numpy() + base for x in (0, 1))
+                low, last = np.searchsorted(places[words.starts], start), np.searchsorted(places[words.ends], stop)
+                size = last - low - n + 2
+                first = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                if not len(first):
+                    continue
+                base, rows = np.repeat(base, size), pa.array(row + np.repeat(text, size))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), hashes.take(rows), pa.array(places[words.starts[first]] - base),
+                     pa.array(places[words.ends[first + n - 1]] - base),
+                     *map(pa.array, _digests(words.hashes, first, first + n))],
+                    names=["doc_id", "text_hash", "start", "stop", "d1", "d2"])
+
+    texts = _keyed(docs)
+    runs = (runs.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+            .agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
+    return (texts.join(runs, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+            .select("doc_id", "text_hash", "text", "runs").mapInArrow(work, _WINDOWS))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column("spans")
+        text = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+        start, stop = (spans.flatten().field(x).to_numpy() for x in (0, 1))
+        order = np.lexsort((start, text))
+        text, start, stop = text[order], start[order], stop[order]
+        # texts are laid end to end, so that one running maximum serves all
+        shift = text * (int(stop.max(initial=0)) + 2)
+        reach = np.maximum.accumulate(stop + shift)
+        new = np.flatnonzero(np.append(True, (start + shift)[1:] > reach[:-1])[:len(start)])
+        at = pa.array(text[new])
+        stops = (reach - shift)[np.append(new[1:], len(start)) - 1] if len(new) else stop
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(start[new]), pa.array(stops)],
+            names=["doc_id", "text_hash", "start", "stop"])
+
+
+def passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """The spans that go because every word of them stands in a window of ``min_words`` words that
+    occurs before: doc_id, text_hash, start, stop (code points), spans of a text apart.
+
+    ``docs`` needs doc_id and text. Lines do not matter. Where a window overlaps its own first
+    occurrence, that one stays whole. Null and empty texts have no windows.
+    """
+    runs = stored(_runs(docs, min_words), "window-runs")
+    runs = stored(runs.join(runs.groupBy("name").count().filter("count > 1").select("name"), "name"), "named-runs")
+    place = (F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "start")
+    # a run that repeats another word for word goes whole; every window's first place is in a first run
+    firsts = stored(runs.groupBy("name", "body").agg(F.min(F.struct(*place, "head", "stop")).alias("first")), "first-runs")
+    copies = _later(runs, firsts, F.struct(*place, "head", "stop"), ["name", "body"], "first.head")
+    several = firsts.groupBy("name").agg((F.min("body") < F.max("body")).alias("several")).filter("several").select("name")
+    spans = stored(_windows(docs, firsts.join(several, "name").select("first.*"), min_words), "windows")
+    rank = F.struct(*place, "stop")
+    windows = (spans.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+               .filter("first < last").drop("last"))
+    return (copies.unionByName(_later(spans, windows, rank, ["d1", "d2"], "first.stop"))
+            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+            .mapInArrow(_united, _SPANS))
+
+
+def _later(rows: DataFrame, firsts: DataFrame, rank: F.Column, key: list[str], end: str) -> DataFrame:
+    """Spans of the rows that are not the first of their key, from the end of the first on if in the same text."""
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return (rows.join(firsts, key).filter(rank > F.col("first"))
+            .select("doc_id", "text_hash", F.when(same, F.greatest("start", end)).otherwise(F.col("start")).alias("start"), "stop"))
+
+
+def without_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with the spans of ``passages`` cut out of text, and n_chars, where there is one, made
+    anew. Documents of which no word is left go; other columns stay as they are."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for text, spans in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            left, at = "", 0
+            for start, stop in sorted((x["start"], x["stop"]) for x in spans or ()):
+                left, at = _joined(left, text[at:start]), stop
+            out.append(text and _joined(left, text[at:]))
+        return pa.array(out, pa.string())
+
+    gone = (passages(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
+            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"))
+    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
+    rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cut(docs["text"], F.col("_gone"))))
+    return _renewed(docs, rows)
+
+
+def _joined(left: str, right: str) -> str:
+    """Without doubled blanks where a span was cut out."""
+    if not left or left[-1] in " \t\n":
+        right = right.lstrip(" \t")
+        if right[:1] == "\n" and left[-1:] in ("", "\n"):
+            right = right[1:]
+    return left + right
+
+
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).drop("text_hash")
