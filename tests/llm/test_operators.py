@@ -285,6 +285,17 @@ def test_licenses(docs, empty):
     assert licenses.align(template, text, -8, 8) == (5, 0, 5)
 
 
+def test_licenses_repeated_short_notices(spark):
+    notice, partial = "Released under the MIT License.", "Released under MIT License."
+    texts = ["\n".join([notice] * n) for n in (1, 2, 3, 9, 40)] + [f"{partial} {notice} {prose(50, 4)} {notice}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs, [("mit", notice)]).collect():
+        got.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start"]:r["stop"]])
+    assert [len(got[i]) for i in range(6)] == [1, 2, 3, 9, 40, 2]
+    assert {x for i in range(6) for x in got[i]} == {notice[:-1]}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(4)
     made = []

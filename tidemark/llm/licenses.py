@@ -13,6 +13,7 @@ templates are scanned set by set.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -95,6 +96,16 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return matched, first, last
 
 
+def _tight(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """``align``, with the match that ends first and, of those, begins last."""
+    got, _, last = align(template, text, low, high)
+    if not got:
+        return got, -1, -1
+    shift = last + 1 - len(template)
+    _, _, back = align(template[::-1], text[last::-1], shift - high, shift - low)
+    return got, last - back, last
+
+
 def _sets(templates: Sequence[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
     held, size = [], 0
     for name, text in templates:
@@ -136,15 +147,27 @@ def _matcher(templates: list[tuple[str, str]], min_percent: int):
         for (text, t), found in sorted(grouped.items()):
             found.sort()
             cluster: list[tuple[int, int]] = []
+            a, b = int(words.of_text[text]), int(words.of_text[text + 1])
+            spans: list[tuple[int, int]] = []
             for place, diagonal in (*found, (None, None)):
                 # the next hit belongs to another occurrence if its diagonal or its place is too far off
                 if cluster and (place is None or abs(diagonal - cluster[-1][1]) > BAND or place - cluster[0][0] > 2 * short[t] + BAND):
-                    a, b = int(words.of_text[text]), int(words.of_text[text + 1])
-                    diagonals = [d - a for _, d in cluster]
-                    got, first, last = align(known[t], words.hashes[a:b], min(diagonals) - BAND, max(diagonals) + BAND)
-                    if 100 * got >= min_percent * short[t]:
-                        yield text, t, got, a + first, a + last
-                    cluster = []
+                    todo, cluster = [cluster], []
+                    while todo:
+                        # hits between the occurrences found so far, until none yields another
+                        apart: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                        for hit in todo.pop():
+                            k = bisect_right(spans, (hit[0], b))
+                            low, high = spans[k - 1][1] + 1 if k else a, spans[k][0] if k < len(spans) else b
+                            if low <= hit[0]:
+                                apart.setdefault((low, high), []).append(hit)
+                        for (low, high), hits_ in apart.items():
+                            diagonals = [d - low for _, d in hits_]
+                            got, first, last = _tight(known[t], words.hashes[low:high], min(diagonals) - BAND, max(diagonals) + BAND)
+                            if 100 * got >= min_percent * short[t]:
+                                insort(spans, (low + first, low + last))
+                                yield text, t, got, low + first, low + last
+                                todo.append(hits_)
                 if place is not None:
                     cluster.append((place, diagonal))
 
