@@ -268,6 +268,17 @@ def test_passages_inside_lines(spark, rows, empty):
     assert substrings.passages(empty).count() == 0 and substrings.without_passages(empty).count() == 0
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    verse = "roses are red\nviolets are\nblue my\ndear"
+    chinese, link = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽", "https://example.org/a/rather/long/way/to/go"
+    texts = [f"{prose(60, 7)}\n{verse}\n{chinese}\n{link}\nyes", f"{prose(61, 7)}\n{verse}\n{prose(62, 7)}",
+             f"é {prose(63, 7)}\n{chinese}\n{prose(64, 7)}", f"{link}\n{prose(65, 7)}", f"{prose(66, 7)}\nyes", "blue my", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substrings.without_passages(docs).collect()}
+    assert left[0] == texts[0] and left[1] == f"{prose(61, 7)}\n{prose(62, 7)}" and left[2] == f"é {prose(63, 7)}\n{prose(64, 7)}"
+    assert left[3] == prose(65, 7) and left[4] == texts[4] and left[5] == texts[5]
+
+
 def test_pipeline_cuts_passages_inside_lines(spark):
     import corpus_pipeline
 

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.words import _power, chunks, mix
+from tidemark.llm.words import Words, _power, chunks, mix
 
 MIN_WORDS = 5  # lines with fewer words always stay
 PASSAGE_WORDS = 50  # words of a window
+LONG_LINE = 30  # code points from which a line of fewer words is one to look for
 GRAM = 12  # words of the grams that name windows; only cost depends on it
 
 _Q, _Q_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
@@ -48,6 +49,50 @@ def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np
     return digests
 
 
+def _lines(words: Words) -> tuple[np.ndarray, ...]:
+    """Of each line: bytes, words, text and number in its text."""
+    cuts = np.flatnonzero(words.data == 10)
+    starts = np.union1d(words.bounds[:-1], cuts + 1)
+    starts = starts[starts < len(words.data)]
+    ends = np.minimum(words.bounds[np.searchsorted(words.bounds, starts, "right")],
+                      np.append(cuts, len(words.data))[np.searchsorted(cuts, starts)])
+    first, last = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
+    text = np.searchsorted(words.bounds, starts, "right") - 1
+    line = np.arange(len(starts)) - np.searchsorted(starts, words.bounds[text])
+    return starts, ends, first, last, text, line
+
+
+def _short_lines(docs: DataFrame) -> DataFrame:
+    """Lines under ``MIN_WORDS`` words: with as many lines behind, or ahead, as make up ``MIN_WORDS``
+    words, and by themselves from ``LONG_LINE`` code points on. Start and stop (code points), digest."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            for row, words in chunks(batch.column("text"), fold=True):
+                _, _, first, last, text, _ = _lines(words)
+                filled = last > first
+                first, last, text = first[filled], last[filled], text[filled]
+                at = np.arange(len(first))
+                short = at[last - first < MIN_WORDS]
+                if not len(short):
+                    continue
+                places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+                behind = np.minimum(np.searchsorted(last, first[short] + MIN_WORDS), len(first) - 1)
+                ahead = np.maximum(np.searchsorted(first, last[short] - MIN_WORDS, "right") - 1, 0)
+                low, high = np.concatenate((short, ahead, short)), np.concatenate((behind, short, short))
+                size = places[words.ends[last[high] - 1]] - places[words.starts[first[low]]]
+                good = (text[low] == text[high]) & ((last[high] - first[low] >= MIN_WORDS) | (low == high) & (size >= LONG_LINE))
+                low, high = np.unique(np.stack((low, high))[:, good], axis=1)
+                base, rows = places[words.bounds[text[low]]], pa.array(row + text[low])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), hashes.take(rows), pa.array(places[words.starts[first[low]]] - base),
+                     pa.array(places[words.ends[last[high] - 1]] - base), *map(pa.array, _digests(words.hashes, first[low], last[high]))],
+                    names=["doc_id", "text_hash", "start", "stop", "d1", "d2"])
+
+    return _keyed(docs).mapInArrow(work, _WINDOWS)
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per line with at least ``min_words`` words: line number, start and stop (code points,
     without the newline), number of words, digest."""
@@ -56,14 +101,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for row, words in chunks(batch.column("text"), fold=True):
-                cuts = np.flatnonzero(words.data == 10)
-                starts = np.union1d(words.bounds[:-1], cuts + 1)
-                starts = starts[starts < len(words.data)]
-                ends = np.minimum(words.bounds[np.searchsorted(words.bounds, starts, "right")],
-                                  np.append(cuts, len(words.data))[np.searchsorted(cuts, starts)])
-                first, last = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
-                text = np.searchsorted(words.bounds, starts, "right") - 1
-                line = np.arange(len(starts)) - np.searchsorted(starts, words.bounds[text])
+                starts, ends, first, last, text, line = _lines(words)
                 long = last - first >= max(1, min_words)
                 starts, ends, first, last, text, line = (x[long] for x in (starts, ends, first, last, text, line))
                 places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
@@ -216,7 +254,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_hash", "start", "stop"])
 
 
-def passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
+def passages(docs: DataFrame, min_words: int = PASSAGE_WORDS, short_lines: bool = False) -> DataFrame:
     """The spans that go because every word of them stands in a window of ``min_words`` words that
     occurs before: doc_id, text_hash, start, stop (code points), spans of a text apart.
 
@@ -230,7 +268,8 @@ def passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
     firsts = stored(runs.groupBy("name", "body").agg(F.min(F.struct(*place, "head", "stop")).alias("first")), "first-runs")
     copies = _later(runs, firsts, F.struct(*place, "head", "stop"), ["name", "body"], "first.head")
     several = firsts.groupBy("name").agg((F.min("body") < F.max("body")).alias("several")).filter("several").select("name")
-    spans = stored(_windows(docs, firsts.join(several, "name").select("first.*"), min_words), "windows")
+    spans = _windows(docs, firsts.join(several, "name").select("first.*"), min_words)
+    spans = stored(spans.unionByName(_short_lines(docs)) if short_lines else spans, "windows")
     rank = F.struct(*place, "stop")
     windows = (spans.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
                .filter("first < last").drop("last"))
@@ -247,7 +286,7 @@ def _later(rows: DataFrame, firsts: DataFrame, rank: F.Column, key: list[str], e
 
 
 def without_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
-    """``docs`` with the spans of ``passages`` cut out of text, and n_chars, where there is one, made
+    """``docs`` with the spans of ``passages``, short lines too, cut out of text, and n_chars, where there is one, made
     anew. Documents of which no word is left go; other columns stay as they are."""
 
     @F.arrow_udf("string")
@@ -260,7 +299,7 @@ def without_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFra
             out.append(text and _joined(left, text[at:]))
         return pa.array(out, pa.string())
 
-    gone = (passages(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
+    gone = (passages(docs, min_words, True).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"))
     rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cut(docs["text"], F.col("_gone"))))
@@ -277,7 +316,7 @@ def _joined(left: str, right: str) -> str:
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents")).drop("text_hash")
+    return passages(table(spark, sf_dir, "documents"), short_lines=True).drop("text_hash")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
