@@ -66,4 +66,23 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store through Spark's own file system; a missing one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*frames) -> None:
+    """Deletes the folders of staged frames once everything made from them is stored itself.
+
+    Frames that were not staged are left alone, so callers need not know what they were given.
+    """
+    for frame in frames:
+        path = getattr(frame, "staged_at", None)
+        if path:
+            remove_path(frame.sparkSession, path)
