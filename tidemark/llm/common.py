@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.session import new_path, release
 
-from tidemark.session import new_path
+__all__ = ["buckets", "numbered", "release", "stable_hash", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +21,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the folder in spark.checkpoint.dir and reads it back.
 
     What follows has no lineage into the work before, so a lost executor repeats nothing of it
-    and never sees other rows.
+    and never sees other rows. ``release`` deletes it again.
     """
     path = new_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "idx", size: str = "n") -> DataFrame:
+    """``rows`` with their place from 0 inside their group (``name``) and the group's rows (``size``).
+
+    Rows are range-partitioned by (group, order), so a hot group spreads over partitions; only one row
+    per group and partition is gathered to find where each partition begins. ``order`` should be total:
+    rows that tie change places with each other. ``group`` must not be null. The columns _part and
+    _place are used in between.
+    """
+    keys = [group, *order]
+    placed = (rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
+    placed = stored(placed, "numbered")
+    pieces = placed.groupBy(group, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    at = Window.partitionBy(group)
+    earlier = at.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (pieces.withColumn(size, F.sum("_rows").over(at))
+              .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"))
+              .select(group, "_part", size, "_shift"))
+    out = stored(placed.join(pieces, [group, "_part"]).withColumn(name, F.col("_place") + F.col("_shift"))
+                 .select(*rows.columns, name, size), "places")
+    release(placed)
+    return out
 
 
-def stable_hash(*columns: str) -> F.Column:
+def stable_hash(*columns: str) -> Column:
     """63-bit hash of the columns, for salts and buckets."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
 

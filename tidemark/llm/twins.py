@@ -123,4 +123,98 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op2_exact_top_k": OP2, "op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9, "op10_quality_rules": OP10}
+# crc32 by its definition: the table by the polynomial, then byte after byte of the UTF-8 text
+_CRC = r"""crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+              lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of a text, in a query over the table crc."""
+    octets = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC},
+occurring AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, k, CASE WHEN doc_id IS NOT NULL THEN {_crc32("doc_id::VARCHAR || ':' || run")} END AS h FROM occurring, crc),
+spelt AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT v.word, cut.word, cut.n FROM v JOIN cut ON v.word = cut.head || cut.tail
+  UNION SELECT cut.word, v.word, v.n FROM v JOIN cut ON v.word = cut.head || cut.tail),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM pairs GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b[1] >= 10 * n THEN b[2] END AS form,
+         CASE WHEN -b[1] >= 10 * n THEN -b[1] END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root, 0 AS steps FROM judged
+  UNION ALL SELECT walk.word, judged.form, steps + 1 FROM walk JOIN judged ON walk.root = judged.word WHERE judged.form IS NOT NULL),
+ends AS (SELECT word, max_by(root, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM judged JOIN ends USING (word)
+"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _row_digest(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('.' || lang, '') AS grp, {_row_digest("text")} AS leaf, {_row_digest("changed")} AS seen
+  FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_crc32("coalesce(doc_id, 0)::VARCHAR")} % 3 = 0
+                       THEN translate(text, {_AZ}) ELSE text END AS changed FROM documents, crc)),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS LAST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM d),
+low AS (
+  SELECT grp, 0 AS lvl, idx, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT grp, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY grp, lvl, idx // 8, n),
+subroots AS MATERIALIZED (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, idx, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY lvl, idx // 8, n),
+-- the upper tree goes on where a group's tree ends
+nodes AS (SELECT grp, lvl, idx, h, n FROM low UNION ALL SELECT '*', lvl, idx, h, n FROM high),
+sides AS MATERIALIZED (
+  SELECT grp, lvl, idx, coalesce(string_agg(h, '') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WHERE n > 1 WINDOW o AS (PARTITION BY grp, lvl, idx // 8 ORDER BY idx)),
+climb AS (
+  SELECT r, grp, 0 AS lvl, idx, seen AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT r, grp, lvl + 1, idx // 8, sha256(before || h || after), proof || before || after FROM climb JOIN sides USING (grp, lvl, idx)),
+inner_end AS (SELECT r, grp, max_by(h, lvl) AS h, max_by(proof, lvl) AS proof FROM climb GROUP BY r, grp),
+upward AS (
+  SELECT r, 0 AS lvl, s.idx, e.h, proof FROM inner_end e JOIN subroots s USING (grp)
+  UNION ALL
+  SELECT r, u.lvl + 1, u.idx // 8, sha256(before || h || after), proof || before || after
+  FROM upward u JOIN sides s ON s.grp = '*' AND s.lvl = u.lvl AND s.idx = u.idx),
+ends AS (SELECT r, max_by(h, lvl) AS folded_root, max_by(proof, lvl) AS proof FROM upward GROUP BY r)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM high WHERE n = 1) AS verified
+FROM leaves JOIN ends USING (r) JOIN subroots s USING (grp)
+"""
+
+SQL: dict[str, str] = {"op2_exact_top_k": OP2, "op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9,
+                       "op10_quality_rules": OP10,
+                       "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12}
