@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import twins
+from tidemark.llm.embedding_dedup import op13_embedding_dedup
 from tidemark.llm.licenses import op4_license_scan
 from tidemark.llm.merkle import op12_merkle_manifest
 from tidemark.llm.mixing import op6_mixing
@@ -24,6 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_exact_top_k, op3_best_fit_packing, op4_license_scan, op5_substring_dedup, op5_passage_dedup,
         op6_mixing, op7_token_files, op8_tool_calls, op9_ngram_join, op10_quality_rules,
-        op11_spelling_variants, op12_merkle_manifest)
+        op11_spelling_variants, op12_merkle_manifest, op13_embedding_dedup)
 }
 ORACLES: dict[str, str] = {name: sql for name, sql in twins.SQL.items() if name in QUERIES}
