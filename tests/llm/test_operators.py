@@ -87,6 +87,8 @@ def test_join_against_brute_force(docs, rows, empty):
     assert sorted(map(str, got)) == sorted(map(str, want))
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
+    clash = docs.withColumns({c: F.lit(c) for c in ("id", "hash", "same", "row", "_hash", "text_hash", "component")})
+    assert {(r["doc_id"], r["hash"]) for r in ngram_join.one_of_each(clash).collect()} == {(r["doc_id"], "hash") for r in kept.collect()}
     # one of each group, and every text without words
     assert kept.count() == len({g for g, s in zip(group, sets, strict=True) if s}) + sum(not s for s in sets)
     assert ngram_join.jaccard_components(empty).count() == 0
@@ -118,24 +120,29 @@ def test_tree_keeps_every_pair():
                 assert frozenset((i, j)) in found
 
 
-def test_substrings(docs, rows, empty):
+def test_paragraphs(spark, rows, empty):
+    """Lines and runs of lines against brute force."""
+    long_line, short = prose(50, 52), [prose(51 + i, 13) for i in range(4)]
+    chinese = "天地玄黃宇宙洪荒日月盈昃辰宿列張" * 40
+    texts = ["\n".join([long_line, *short[:2], prose(70, 5), chinese]), "\n\n".join([prose(71, 9), *short, prose(72, 9)]),
+             "\n".join([*short[2:], prose(73, 4), long_line.upper(), chinese]), "\n".join([short[3], " ", *short[:3]]), "\n".join(short[:3])]
+    made = [*rows, *((200 + i, t, "en", "a", len(t), "x", "y") for i, t in enumerate(texts))]
     seen, want = set(), set()
-    # rows with equal id and text are one document
-    for r in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        for k, line in enumerate((r[1] or "").split("\n")):
-            body = " ".join(WORD.findall(line)).lower()
-            if len(body.split()) >= 5:
-                if body in seen:
-                    want.add((r[0], k))
-                seen.add(body)
-    got = substrings.repeats(docs).collect()
-    assert {(r["doc_id"], r["unit"]) for r in got} == want
-    text = {r[0]: r[1] for r in rows}
-    for r in got:
-        assert text[r["doc_id"]][r["start"]:r["stop"]] == text[r["doc_id"]].split("\n")[r["unit"]]
-    out = substrings.without_repeats(docs)
-    left = {r["doc_id"]: r for r in out.collect()}
-    assert out.columns == docs.columns and left[11]["text"] == prose(6, 25) and left[11]["n_chars"] == len(prose(6, 25))
+    for r in sorted(set(made), key=lambda r: (r[0] is None, r[0] or 0)):
+        run, at = [], 0
+        for line in [*(r[1] or "").split("\n"), "end of text " + str(r)]:
+            w = list(WORD.finditer(line))
+            body = fold(" ".join(x.group() for x in w))
+            if w and body in seen:
+                run.append((at + w[0].start(), at + w[-1].end(), max(len(w), (w[-1].end() - w[0].start()) // 10)))
+            elif w:
+                if sum(x[2] for x in run) >= 50:
+                    want.add((r[0], run[0][0], run[-1][1]))
+                run, seen = [], seen | {body}
+            at += len(line) + 1
+    docs = spark.createDataFrame(made, SCHEMA)
+    assert {(r["doc_id"], r["start"], r["stop"]) for r in substrings.paragraphs(docs).collect()} == want
+    assert {202, 203} <= {x[0] for x in want} and not {200, 204} & {x[0] for x in want}
     assert substrings.repeats(empty).count() == 0 and substrings.without_repeats(empty).count() == 0
 
 
@@ -260,23 +267,14 @@ def test_passages_inside_lines(spark, rows, empty):
     docs = spark.createDataFrame(made, SCHEMA)
     got = {(r["doc_id"], r["start"], r["stop"]) for r in substrings.passages(docs).collect()}
     assert got == _passages(made) and {101, 102, 103, 105, 106} <= {x[0] for x in got} and not {100, 104} & {x[0] for x in got}
-    out = substrings.without_passages(docs)
+    # columns with the names that the operators use inside
+    clash = docs.withColumns({c: F.lit(c) for c in ("row", "gone", "new", "text_hash", "start", "stop", "_text", "_hash", "id", "hash")})
+    out = substrings.without_repeats(clash)
     left = {r["doc_id"]: r for r in out.collect()}
-    assert out.columns == docs.columns and left[101]["text"] == f"é {prose(24, 11)} {prose(25, 8)}"
+    assert out.columns == clash.columns and left[101]["text_hash"] == "text_hash" and left[101]["text"] == f"é {prose(24, 11)} {prose(25, 8)}"
     assert left[101]["n_chars"] == len(left[101]["text"]) and left[102]["text"] == f"{prose(26, 10)}\n{prose(27, 10)}"
     assert left[103]["text"] == prose(28, 3)
-    assert substrings.passages(empty).count() == 0 and substrings.without_passages(empty).count() == 0
-
-
-def test_short_lines_and_lines_without_blanks(spark):
-    verse = "roses are red\nviolets are\nblue my\ndear"
-    chinese, link = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽", "https://example.org/a/rather/long/way/to/go"
-    texts = [f"{prose(60, 7)}\n{verse}\n{chinese}\n{link}\nyes", f"{prose(61, 7)}\n{verse}\n{prose(62, 7)}",
-             f"é {prose(63, 7)}\n{chinese}\n{prose(64, 7)}", f"{link}\n{prose(65, 7)}", f"{prose(66, 7)}\nyes", "blue my", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in substrings.without_passages(docs).collect()}
-    assert left[0] == texts[0] and left[1] == f"{prose(61, 7)}\n{prose(62, 7)}" and left[2] == f"é {prose(63, 7)}\n{prose(64, 7)}"
-    assert left[3] == prose(65, 7) and left[4] == texts[4] and left[5] == texts[5]
+    assert substrings.passages(empty).count() == 0
 
 
 def test_pipeline_cuts_passages_inside_lines(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from pyspark.sql.window import Window
 
 from tidemark.session import new_path, release
 
-__all__ = ["buckets", "numbered", "release", "stable_hash", "stored", "table"]
+__all__ = ["buckets", "numbered", "release", "stable_hash", "staging", "stored", "table"]
+
+_staged_here: ContextVar[list[DataFrame] | None] = ContextVar("_staged_here", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +31,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    open_list = _staged_here.get()
+    if open_list is not None:
+        open_list.append(out)
     return out
 
 
+@contextmanager
+def staging() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at the end, also after an error, but for those handed to the
+    yielded function. What leaves the block may read kept tables only. Blocks nest: what an inner one
+    keeps belongs to the outer one."""
+    outer, own, kept = _staged_here.get(), [], []
+    token = _staged_here.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _staged_here.reset(token)
+        release(*(df for df in own if df.staged_at not in kept))
+        if outer is not None:
+            outer.extend(df for df in own if df.staged_at in kept)
+
+
 def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "idx", size: str = "n") -> DataFrame:
     """``rows`` with their place from 0 inside their group (``name``) and the group's rows (``size``).
 

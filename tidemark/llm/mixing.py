@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import staging, stored, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -89,12 +89,17 @@ def copies(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, s
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its columns."""
-    rows = stored(docs.select("*", F.monotonically_increasing_id().alias("_row"), n_words(docs["text"]).alias("_size")), "rows")
-    sizes = rows.select("doc_id", "source", F.col("_size").alias("size"), "_row")
-    taken = copies(sizes, weights, cap, seed).filter("copies > 0").select("_row", "copies")
-    return (rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns, whatever their names.
+
+    A null source is a source, the last one; null and empty texts have size 0 and come as often as their
+    place in the source says. An empty table gives an empty table."""
+    # the row as one column, so that its names cannot clash
+    rows = stored(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
+    sizes = rows.select("whole.doc_id", "whole.source", n_words(F.col("whole.text")).alias("size"), "row")
+    with staging() as keep:
+        taken = keep(stored(copies(sizes, weights, cap, seed).filter("copies > 0").select("row", "copies"), "taken"))
+    return (rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select("whole.*"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

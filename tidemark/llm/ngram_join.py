@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import staging, stored, table
 from tidemark.llm.components import components, joined_up
 from tidemark.llm.words import Words, chunks, mix
 
@@ -362,27 +362,32 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     sets are linked, rows that share a doc_id too only if their sets link. A row without doc_id takes
     part; the component of a group without any doc_id is null. An empty table gives an empty table.
     """
-    return _grouped(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    with staging() as keep:
+        rows = keep(stored(_grouped(docs, size, percent), "grouped"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of every component, the one with the smallest doc_id (null last; then
     the smallest hash of its text). Of rows that repeat doc_id and text one stays. Texts without words
     all stay. Columns are kept."""
-    rows = stored(_grouped(docs, size, percent), "grouped")
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
-    # the rows that are equal to the first of a component are counted, so that only these are held against each other
-    firsts = (rows.filter("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
-              .select("component", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
-    counts = rows.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_same"))
-    counts = counts.join(firsts, "component").filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    blank = rows.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(1).alias("_same")).distinct()
-    keep = counts.select("_id", "_hash", "_same").unionByName(blank)
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    kept = kept.select(*(docs[c] for c in docs.columns), "_hash", "_same")
-    single, several = kept.filter("_same = 1"), kept.filter("_same > 1").dropDuplicates(["doc_id", "_hash"])
-    return single.unionByName(several).select(*docs.columns)
+    with staging() as keep:
+        rows = stored(_grouped(docs, size, percent), "grouped")
+        rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+        # the rows that are equal to the first of a component are counted, so that only these are held against each other
+        firsts = (rows.filter("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
+                  .select("component", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")))
+        counts = rows.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("same"))
+        counts = counts.join(firsts, "component").filter(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+        blank = rows.filter("component is null").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(1).alias("same")).distinct()
+        kept_keys = keep(stored(counts.select("id", "hash", "same").unionByName(blank), "kept"))
+    # the row as one column, so that its names cannot clash
+    whole = docs.select(F.struct("*").alias("row"))
+    kept = whole.join(kept_keys, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash")))
+    single, several = kept.filter("same = 1"), kept.filter("same > 1").dropDuplicates(["id", "hash"])
+    return single.unionByName(several).select("row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over all ``documents``; odd texts and rows as in ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -1,18 +1,20 @@
-"""Substring deduplication by hashing lines.
+"""Substring deduplication by hashing lines, runs of lines, and windows for what begins inside a line.
 
-Texts are cut into lines. A line is normalised (A-Z lower-cased, words joined by one space) and
-hashed to 128 bits; digests are grouped over all texts, the occurrence that ranks first stays and
-all later ones go. Ranks follow doc_id (null last), then the hash of the text, then the line.
-Places are kept as offsets, in code points, into the text as it was.
+A unit is ``LEAST_WORDS`` words or more. Texts are cut into lines; every line that holds a word is
+normalised (A-Z lower-cased, words joined by one space) and hashed to 128 bits, digests are grouped over all
+texts, and the occurrence that ranks first stays. Consecutive lines that all occurred before are a
+paragraph, lines without words between them included; a paragraph, or a single line, of ``LEAST_WORDS``
+words or more goes. Ranks follow doc_id (null last), then the hash of the text, then the place. Places are
+kept as offsets, in code points, into the text as it was.
 
-Rows that agree in doc_id and text are one document and lose the same lines.
-
-Passages that begin or end inside a line are found by windows of ``PASSAGE_WORDS`` words, every one of
+Passages that begin or end inside a line are found by windows of ``LEAST_WORDS`` words, every one of
 them, across lines. A window's smallest gram of ``GRAM`` words names it; equal windows have equal
 names, so windows with a name of their own are left alone. Windows in a row with one name are a run:
 of runs that agree word for word the later ones go whole, and where a name has several runs, the
-windows of each first one are digested and grouped. The window that ranks first stays, the spans of
-all later ones are united per text.
+windows of each first one are digested and grouped. The window that ranks first stays.
+
+All spans that go are united per text. Rows that agree in doc_id and text are one document and lose the
+same spans.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from pyspark.sql.window import Window
+
+from tidemark.llm.common import staging, stored, table
 from tidemark.llm.words import Words, _power, chunks, mix
 
-MIN_WORDS = 5  # lines with fewer words always stay
-PASSAGE_WORDS = 50  # words of a window
-LONG_LINE = 30  # code points from which a line of fewer words is one to look for
+LEAST_WORDS = 50  # words of a line, a paragraph or a window that goes
+LONG_WORD = 10  # code points of a line count as a word at least, for scripts without blanks
 GRAM = 12  # words of the grams that name windows; only cost depends on it
 
 _Q, _Q_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _SPANS = "doc_id long, text_hash long, start long, stop long"
 _WINDOWS = _SPANS + ", d1 long, d2 long"
-_UNITS = "doc_id long, text_hash long, unit long, start long, stop long, words long, d1 long, d2 long"
+_UNITS = "doc_id long, text_hash long, unit int, start int, stop int, words int, d1 long, d2 long"
 
 
 def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
@@ -62,9 +65,9 @@ def _lines(words: Words) -> tuple[np.ndarray, ...]:
     return starts, ends, first, last, text, line
 
 
-def _short_lines(docs: DataFrame) -> DataFrame:
-    """Lines under ``MIN_WORDS`` words: with as many lines behind, or ahead, as make up ``MIN_WORDS``
-    words, and by themselves from ``LONG_LINE`` code points on. Start and stop (code points), digest."""
+def units(docs: DataFrame) -> DataFrame:
+    """One row per line that holds a word: its number among these, start and stop (code points, from the
+    first word to the last), number of words (``LONG_WORD`` code points count as one at least), digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,94 +76,34 @@ def _short_lines(docs: DataFrame) -> DataFrame:
                 _, _, first, last, text, _ = _lines(words)
                 filled = last > first
                 first, last, text = first[filled], last[filled], text[filled]
-                at = np.arange(len(first))
-                short = at[last - first < MIN_WORDS]
-                if not len(short):
-                    continue
-                places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-                behind = np.minimum(np.searchsorted(last, first[short] + MIN_WORDS), len(first) - 1)
-                ahead = np.maximum(np.searchsorted(first, last[short] - MIN_WORDS, "right") - 1, 0)
-                low, high = np.concatenate((short, ahead, short)), np.concatenate((behind, short, short))
-                size = places[words.ends[last[high] - 1]] - places[words.starts[first[low]]]
-                good = (text[low] == text[high]) & ((last[high] - first[low] >= MIN_WORDS) | (low == high) & (size >= LONG_LINE))
-                low, high = np.unique(np.stack((low, high))[:, good], axis=1)
-                base, rows = places[words.bounds[text[low]]], pa.array(row + text[low])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), hashes.take(rows), pa.array(places[words.starts[first[low]]] - base),
-                     pa.array(places[words.ends[last[high] - 1]] - base), *map(pa.array, _digests(words.hashes, first[low], last[high]))],
-                    names=["doc_id", "text_hash", "start", "stop", "d1", "d2"])
-
-    return _keyed(docs).mapInArrow(work, _WINDOWS)
-
-
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with at least ``min_words`` words: line number, start and stop (code points,
-    without the newline), number of words, digest."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            for row, words in chunks(batch.column("text"), fold=True):
-                starts, ends, first, last, text, line = _lines(words)
-                long = last - first >= max(1, min_words)
-                starts, ends, first, last, text, line = (x[long] for x in (starts, ends, first, last, text, line))
+                line = np.arange(len(text)) - np.searchsorted(text, text)
                 places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-                base = places[words.bounds[text]]
-                digests = _digests(words.hashes, first, last)
-                at = pa.array(row + text)
+                base, at = places[words.bounds[text]], pa.array(row + text)
+                start, stop = places[words.starts[first]] - base, places[words.ends[last - 1]] - base
+                size = np.maximum(last - first, (stop - start) // LONG_WORD)
+                whole = [x.astype(np.int32) for x in (line, start, stop, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), hashes.take(at), *(pa.array(x.astype(np.int64)) for x in (
-                        line, places[starts] - base, places[ends] - base, last - first)), *map(pa.array, digests)],
+                    [ids.take(at), hashes.take(at), *map(pa.array, whole), *map(pa.array, _digests(words.hashes, first, last))],
                     names=["doc_id", "text_hash", "unit", "start", "stop", "words", "d1", "d2"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-            .mapInArrow(work, _UNITS))
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines that go, one row each, with the line that stays.
-
-    doc_id, text_hash, unit, start, stop, words, first_doc_id, first_unit, first_start. ``docs`` needs
-    doc_id and text. Null and empty texts have no lines; a single line longer than memory's share of
-    a task is the only limit. An empty table gives an empty table.
-    """
-    lines = stored(units(docs, min_words), "lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "unit", "start")
-    firsts = (lines.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-              .filter("first < last").drop("last"))
-    return (lines.join(firsts, ["d1", "d2"]).filter(rank > F.col("first"))
-            .select("doc_id", "text_hash", "unit", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"),
-                    F.col("first.unit").alias("first_unit"), F.col("first.start").alias("first_start")))
-
-
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later occurrences cut out of text, and n_chars, where there is one, made
-    anew. Documents of which no word is left go; other columns stay as they are."""
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        out = []
-        for text, units_ in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
-            drop = set(units_)
-            # the engine also passes rows that lose nothing, null texts among them
-            out.append(text and "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
-        return pa.array(out, pa.string())
-
-    gone = (repeats(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set("unit").alias("_gone"))
-            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"))
-    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cut(docs["text"], F.coalesce("_gone", F.array().cast("array<long>")))))
-    return _renewed(docs, rows)
+    return _keyed(docs).mapInArrow(work, _UNITS)
 
 
-def _renewed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``docs``, the text from ``_text`` where there is one."""
-    rows = rows.filter(F.col("_text").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("_text", docs["text"])}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_text").isNull(), docs["n_chars"]).otherwise(F.length("_text").cast(kind))
-    return rows.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+def paragraphs(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, text_hash, start, stop: runs of lines that all occur before and hold ``min_words`` words
+    together, a single line among them. ``docs`` needs doc_id and text."""
+    lines = stored(units(docs), "lines")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "unit")
+    # digests that occur once are left out before any whole row is shuffled
+    several = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("d1", "d2")
+    lines = stored(lines.join(several, ["d1", "d2"], "left_semi"), "common-lines")
+    firsts = lines.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
+    later = (lines.join(firsts, ["d1", "d2"]).filter(rank > F.col("first"))
+             .select("doc_id", "text_hash", "unit", "start", "stop", "words").distinct())
+    at = Window.partitionBy("doc_id", "text_hash").orderBy("unit")  # lines of one text
+    return (later.withColumn("run", F.col("unit") - F.row_number().over(at)).groupBy("doc_id", "text_hash", "run")
+            .agg(F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("words").alias("words"))
+            .filter(F.col("words") >= min_words).select("doc_id", "text_hash", "start", "stop"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -254,30 +197,54 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_hash", "start", "stop"])
 
 
-def passages(docs: DataFrame, min_words: int = PASSAGE_WORDS, short_lines: bool = False) -> DataFrame:
-    """The spans that go because every word of them stands in a window of ``min_words`` words that
-    occurs before: doc_id, text_hash, start, stop (code points), spans of a text apart.
-
-    ``docs`` needs doc_id and text. Lines do not matter. Where a window overlaps its own first
-    occurrence, that one stays whole. Null and empty texts have no windows.
-    """
+def _window_spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """Spans, not united yet, of the windows that occur before."""
     runs = stored(_runs(docs, min_words), "window-runs")
-    runs = stored(runs.join(runs.groupBy("name").count().filter("count > 1").select("name"), "name"), "named-runs")
+    runs = stored(runs.join(runs.groupBy("name").count().filter("count > 1").select("name"), "name", "left_semi"), "named-runs")
     place = (F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "start")
     # a run that repeats another word for word goes whole; every window's first place is in a first run
     firsts = stored(runs.groupBy("name", "body").agg(F.min(F.struct(*place, "head", "stop")).alias("first")), "first-runs")
     copies = _later(runs, firsts, F.struct(*place, "head", "stop"), ["name", "body"], "first.head")
     several = firsts.groupBy("name").agg((F.min("body") < F.max("body")).alias("several")).filter("several").select("name")
-    spans = _windows(docs, firsts.join(several, "name").select("first.*"), min_words)
-    spans = stored(spans.unionByName(_short_lines(docs)) if short_lines else spans, "windows")
+    windows = stored(_windows(docs, firsts.join(several, "name", "left_semi").select("first.*"), min_words), "windows")
+    # most windows still occur once: one number each says so
+    again = windows.groupBy("d1").count().filter("count > 1").select("d1")
+    windows = stored(windows.join(again, "d1", "left_semi"), "common-windows")
     rank = F.struct(*place, "stop")
-    windows = (spans.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-               .filter("first < last").drop("last"))
-    return (copies.unionByName(_later(spans, windows, rank, ["d1", "d2"], "first.stop"))
-            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    kept = windows.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").drop("last")
+    return copies.unionByName(_later(windows, kept, rank, ["d1", "d2"], "first.stop"))
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """Spans of a text put together."""
+    return (found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
             .mapInArrow(_united, _SPANS))
 
 
+def passages(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
+    """The spans that go because every word of them stands in a window of ``min_words`` words that
+    occurs before: doc_id, text_hash, start, stop (code points), spans of a text apart.
+
+    ``docs`` needs doc_id and text. Lines do not matter. Where a window overlaps its own first
+    occurrence, that one stays whole. Null and empty texts have no windows.
+    """
+    with staging() as keep:
+        return keep(stored(_spans(_window_spans(docs, min_words)), "spans"))
+
+
+def repeats(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
+    """The spans that go, as lines, paragraphs or windows: doc_id, text_hash, start, stop (code points),
+    spans of a text apart.
+
+    ``docs`` needs doc_id and text, other columns are not read. Null and empty texts have no spans; an
+    empty table gives an empty table. Of rows that tie in doc_id and text each has the same spans, and
+    they appear once. Texts of any length are searched whole; one text's memory is the limit.
+    """
+    with staging() as keep:
+        lines = stored(paragraphs(docs, min_words), "paragraphs")
+        return keep(stored(_spans(lines.unionByName(_window_spans(docs, min_words))), "spans"))
+
+
 def _later(rows: DataFrame, firsts: DataFrame, rank: F.Column, key: list[str], end: str) -> DataFrame:
     """Spans of the rows that are not the first of their key, from the end of the first on if in the same text."""
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
@@ -285,9 +252,10 @@ def _later(rows: DataFrame, firsts: DataFrame, rank: F.Column, key: list[str], e
             .select("doc_id", "text_hash", F.when(same, F.greatest("start", end)).otherwise(F.col("start")).alias("start"), "stop"))
 
 
-def without_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
-    """``docs`` with the spans of ``passages``, short lines too, cut out of text, and n_chars, where there is one, made
-    anew. Documents of which no word is left go; other columns stay as they are."""
+def without_repeats(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the spans of ``repeats`` cut out of text, and n_chars, where there is one, made anew.
+    Documents of which no word is left go; null and empty texts, and other columns whatever their names,
+    stay as they are."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -299,11 +267,18 @@ def without_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFra
             out.append(text and _joined(left, text[at:]))
         return pa.array(out, pa.string())
 
-    gone = (passages(docs, min_words, True).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
-            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"))
-    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cut(docs["text"], F.col("_gone"))))
-    return _renewed(docs, rows)
+    gone = (repeats(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("gone")))
+    # the row as one column, so that its names cannot clash
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
+    rows = rows.join(gone, same, "left")
+    new = F.when(F.col("gone").isNotNull(), cut("row.text", "gone"))
+    rows = rows.select("row", new.alias("new")).filter(F.col("new").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    made = {"text": F.coalesce("new", "row.text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made["n_chars"] = F.when(F.col("new").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(kind))
+    return rows.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _joined(left: str, right: str) -> str:
@@ -316,8 +291,10 @@ def _joined(left: str, right: str) -> str:
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"), short_lines=True).drop("text_hash")
+    """The windows of ``documents`` alone, whatever the lines; odd texts as in ``passages``."""
+    return passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of ``documents`` that go, as lines, paragraphs or windows; odd texts as in ``repeats``."""
     return repeats(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -65,26 +65,43 @@ FROM documents LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-OP5 = rf"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-cut AS (
-  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS unit, unnest(lines) AS line FROM d),
+# words with their places in code points, the number of their line, and spans united per text
+_PLACED = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]+') AS gaps,
+         regexp_matches(coalesce(text, ''), '^[\x20\x09-\x0D]') AS later
+  FROM documents),
+each AS (
+  SELECT r, doc_id, i, w[i] AS word, CASE WHEN later THEN gaps[i] WHEN i > 1 THEN gaps[i - 1] ELSE '' END AS gap
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
 placed AS (
-  SELECT doc_id, unit, line,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM cut),
-long AS (
-  SELECT doc_id, unit, start, start + length(line) AS stop, len(w) AS words, array_to_string(w, ' ') AS body
-  FROM (SELECT *, {_FOLDED.replace("coalesce(text, '')", "line")} AS w FROM placed) WHERE len(w) >= 5),
+  SELECT r, doc_id, i, word, sum(length(gap) + length(word)) OVER o AS stop, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER o AS line
+  FROM each WINDOW o AS (PARTITION BY r ORDER BY i)),
+windows AS (
+  SELECT r, doc_id, stop - length(word) AS start, lead(stop, 49) OVER (PARTITION BY r ORDER BY i) AS stop,
+         md5(array_to_string(d.w[i:i + 49], ' ')) AS body
+  FROM placed JOIN d USING (r, doc_id)),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(unit) OVER o AS first_unit,
-         first_value(start) OVER o AS first_start, row_number() OVER o AS k
-  FROM long WINDOW o AS (PARTITION BY body ORDER BY doc_id, unit))
-SELECT doc_id, unit::BIGINT AS unit, start::BIGINT AS start, stop::BIGINT AS stop, words::BIGINT AS words,
-       first_doc_id, first_unit::BIGINT AS first_unit, first_start::BIGINT AS first_start
-FROM ranked WHERE k > 1
+  SELECT *, first_value(r) OVER o AS first_r, first_value(stop) OVER o AS first_stop, row_number() OVER o AS k
+  FROM windows WHERE stop IS NOT NULL WINDOW o AS (PARTITION BY body ORDER BY doc_id NULLS LAST, r, start)),
+window_spans AS (
+  SELECT r, doc_id, CASE WHEN r = first_r THEN greatest(start, first_stop) ELSE start END AS start, stop FROM ranked WHERE k > 1)"""
+_UNITED = """,
+ends AS (SELECT *, max(stop) OVER (PARTITION BY r ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+islands AS (SELECT *, count(*) FILTER (reach IS NULL OR start > reach) OVER (PARTITION BY r ORDER BY start, stop
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM ends)
+SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM islands GROUP BY r, doc_id, island
 """
+OP5_PASSAGES = _PLACED + ", spans AS (SELECT * FROM window_spans)" + _UNITED
+OP5 = _PLACED + """,
+lines AS (
+  SELECT r, doc_id, min(stop - length(word)) AS start, max(stop) AS stop, count(*) AS words, string_agg(word, ' ' ORDER BY i) AS body,
+         row_number() OVER (PARTITION BY r ORDER BY line) AS unit
+  FROM placed GROUP BY r, doc_id, line),
+known AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, r, unit) AS k FROM lines),
+runs AS (SELECT *, unit - row_number() OVER (PARTITION BY r ORDER BY unit) AS run FROM known WHERE k > 1),
+paragraphs AS (SELECT r, doc_id, min(start) AS start, max(stop) AS stop FROM runs GROUP BY r, doc_id, run HAVING sum(greatest(words, (stop - start) // 10)) >= 50),
+spans AS (SELECT * FROM window_spans UNION ALL SELECT * FROM paragraphs)""" + _UNITED
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
@@ -215,6 +232,7 @@ SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, s
 FROM leaves JOIN ends USING (r) JOIN subroots s USING (grp)
 """
 
-SQL: dict[str, str] = {"op2_exact_top_k": OP2, "op5_substring_dedup": OP5, "op6_mixing": OP6, "op9_ngram_join": OP9,
+SQL: dict[str, str] = {"op2_exact_top_k": OP2, "op5_substring_dedup": OP5, "op5_passage_dedup": OP5_PASSAGES,
+                       "op6_mixing": OP6, "op9_ngram_join": OP9,
                        "op10_quality_rules": OP10,
                        "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12}
