@@ -13,7 +13,7 @@ from tidemark.llm.mixing import mixed
 from tidemark.llm.ngram_join import one_of_each
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good
-from tidemark.llm.substrings import without_passages, without_repeats
+from tidemark.llm.substrings import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go, then passages; documents of which nothing is left go too."""
-    return without_passages(stored(without_repeats(docs), "without-lines"))
+    """Lines, paragraphs and passages of 50 words and more that occur before go; documents of which nothing
+    is left go too, null and empty texts stay."""
+    return without_repeats(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
