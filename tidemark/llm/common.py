@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -14,6 +15,9 @@ from tidemark.session import new_path, release
 
 __all__ = ["buckets", "numbered", "release", "stable_hash", "staging", "stored", "table"]
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_AT_ONCE = 2000  # whole texts that a worker holds in a batch; results do not depend on it
+
 _staged_here: ContextVar[list[DataFrame] | None] = ContextVar("_staged_here", default=None)
 
 
@@ -41,9 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def staging() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored inside are deleted at the end, also after an error, but for those handed to the
     yielded function. What leaves the block may read kept tables only. Blocks nest: what an inner one
-    keeps belongs to the outer one."""
+    keeps belongs to the outer one. Shuffle files of the steps inside are given free as well, and texts
+    reach the workers in batches of ``TEXTS_AT_ONCE`` rows at most."""
     outer, own, kept = _staged_here.get(), [], []
     token = _staged_here.set(own)
+    spark = SparkSession.active()
+    batch = int(spark.conf.get(_BATCH))
+    if not 0 < batch <= TEXTS_AT_ONCE:
+        spark.conf.set(_BATCH, TEXTS_AT_ONCE)
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df.staged_at)
@@ -53,9 +62,13 @@ def staging() -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         _staged_here.reset(token)
+        spark.conf.set(_BATCH, batch)
         release(*(df for df in own if df.staged_at not in kept))
         if outer is not None:
             outer.extend(df for df in own if df.staged_at in kept)
+        # Spark deletes a shuffle's files once nothing in the driver refers to it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "idx", size: str = "n") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import release, stored
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        state = stored(_small_star(_large_star(state).distinct()).distinct(), "links")
+        last, state = state, stored(_small_star(_large_star(state).distinct()).distinct(), "links")
+        release(last)
     roots = state.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

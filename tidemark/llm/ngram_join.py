@@ -329,7 +329,11 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
               .withColumn("leader", F.min("node").over(at)).withColumn("last", F.max("node").over(at))
               .filter("leader < last").drop("last"))
     shared = stored(shared, "shared")
-    verified = lambda pairs, name: stored(_verified(pairs, nodes, docs, size, percent), name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        with staging() as keep:
+            return keep(stored(_verified(pairs, nodes, docs, size, percent), name))
+
     # every node against one leader per shingle
     stars = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     tested = stored(_bound(stars, nodes, percent), "stars")
