@@ -84,7 +84,8 @@ _SEEN = """(SELECT * FROM (
       JOIN (VALUES (0), (1), (2)) AS p(load) ON order_no % 3 <= load"""
 
 
-@query("st2_tick_writer", f"""
+def _ticks_of(seen: str) -> str:
+    return f"""
 SELECT server_id, faction, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, index_price, best_ask,
        CAST(sample_size AS INT) AS sample_size
 FROM (SELECT *, row_number() OVER (PARTITION BY server_id, faction, moment ORDER BY load) AS rn FROM (
@@ -93,11 +94,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY server_id, faction, moment ORDER
   FROM (SELECT *, min(mean) OVER (PARTITION BY load, server_id, gf) AS lowest FROM (
     SELECT load, server_id, gf, source, sum(price) AS total, count(*) AS n, avg(price) AS mean, min(price) AS low
     FROM (SELECT load, server_id, source, price, unnest([faction, 'All']) AS gf FROM (
-      SELECT load, server_id, source, faction, min(price_per_1k) AS price FROM {_SEEN}
+      SELECT load, server_id, source, faction, min(price_per_1k) AS price FROM {seen}
       WHERE price_per_1k > 0 GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3, 4))
   WHERE mean <= 2 * lowest GROUP BY 1, 2, 3)
-  JOIN (SELECT load, date_trunc('minute', max(fetched_at)) AS moment FROM {_SEEN} GROUP BY 1) USING (load))
-WHERE rn = 1""")
+  JOIN (SELECT load, date_trunc('minute', max(fetched_at)) AS moment FROM {seen} GROUP BY 1) USING (load))
+WHERE rn = 1"""
+
+
+@query("st2_tick_writer", _ticks_of(_SEEN))
 def _(t):
     path, current = new_path(t.spark, "ticks"), new_path(t.spark, "market")
     in_loads(t, t.offers, [f"order_no % 3 = {load}" for load in range(3)],
@@ -105,6 +109,25 @@ def _(t):
     return shown(tables.read(t.spark, path, schemas.TICKS).select(*TICK))
 
 
+# a source's offers come in cycles; after each load, its newest cycle is what it offers
+_CYCLES = """(SELECT o.*, p.load FROM (
+        SELECT *, row_number() OVER (PARTITION BY source, cycle, id ORDER BY fetched_at DESC, price_per_1k, faction,
+                                     server_id) AS place
+        FROM (SELECT *, order_no % 50 AS cycle FROM offers)) AS o
+      JOIN (SELECT load, source, max(order_no % 50) AS newest FROM offers JOIN (VALUES (0), (1), (2)) AS v(load)
+              ON order_no % 50 < 17 * load + 17 GROUP BY ALL) AS p ON p.source = o.source AND p.newest = o.cycle
+      WHERE place = 1)"""
+
+
+@query("st2_market_cycles", _ticks_of(_CYCLES))
+def _(t):
+    path, current = new_path(t.spark, "ticks"), new_path(t.spark, "market")
+    offers = t.offers.withColumn("cycle", F.col("order_no") % 50)
+    in_loads(t, offers, [f"cycle >= {17 * load} AND cycle < {17 * load + 17}" for load in range(3)],
+             lambda loads, checkpoint: jobs.start_tick_writer(loads, current, path, checkpoint, NOW))
+    return shown(tables.read(t.spark, path, schemas.TICKS).select(*TICK))
+
+
 @query("st3_tier_streams", f"""
 SELECT '5m' AS tier, {_TICK_TEXT} FROM ({_FIVE}) UNION ALL SELECT '1h', {_TICK_TEXT} FROM ({_HOUR}) UNION ALL
 SELECT '1d', {_TICK_TEXT} FROM ({_DAY})""")

@@ -46,6 +46,10 @@ CURRENT_OFFERS = _schema("""
     source string, id string, server_id int, faction string, price_per_1k double, fetched_at timestamp,
     bucket int""")
 
+MARKET = _schema("""
+    source string, id string, server_id int, faction string, price_per_1k double, fetched_at timestamp,
+    cycle bigint""")
+
 CURRENT_INDEX = _schema("""
     server_id int, faction string, computed_at timestamp, index_price double, best_ask double,
     sample_size bigint, min_price double, max_price double, bucket int""")

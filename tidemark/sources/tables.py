@@ -12,7 +12,8 @@ from tidemark import schemas
 from tidemark.functions import fixed, text
 from tidemark.functions.prices import with_prices
 from tidemark.operators.scale import first_per_key
-from tidemark.session import materialize
+from tidemark.session import materialize, release, remove_path
+from tidemark.sources.versioned import KeyedTable, SnapshotTable
 
 INDEX_BUCKETS = 64
 
@@ -43,6 +44,8 @@ def read_sources(parts: dict[str, DataFrame]) -> DataFrame:
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table, empty when nothing was written yet."""
+    if schema in (schemas.CURRENT_OFFERS, schemas.CURRENT_INDEX):
+        return (current_offers if schema == schemas.CURRENT_OFFERS else current_index)(spark, path).read()
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
@@ -83,6 +86,7 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
     staged = materialize(df, "staged")
     (_by_partition(staged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
+    release(staged)
 
 
 def upsert(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
@@ -97,6 +101,7 @@ def upsert(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
     stored = read(batch.sparkSession, path, schema).join(touched, partition, "left_semi")
     kept = stored.join(batch.select(*keys, partition), [*keys, partition], "left_anti")
     _overwrite(kept.unionByName(batch).select(*schema.fieldNames()), path, partition)
+    release(batch)
 
 
 def insert_if_absent(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str],
@@ -111,27 +116,39 @@ def insert_if_absent(batch: DataFrame, path: str, schema: StructType, keys: Sequ
     fresh = materialize(batch.join(stored, [*keys, partition], "left_anti")
                         .select(*schema.fieldNames()), "fresh")
     _by_partition(fresh, partition).write.mode("append").partitionBy(partition).parquet(path)
+    release(batch, fresh)
 
 
-def index_bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.hash("server_id", "faction"), F.lit(INDEX_BUCKETS)))
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.hash(*keys), F.lit(INDEX_BUCKETS))
 
 
-def upsert_index(index: DataFrame, path: str) -> None:
-    """The current index: one row per (server_id, faction), the newest."""
-    stored_name = index.withColumn("faction", text.stored_faction(F.col("faction")))
-    upsert(index_bucket(stored_name), path, schemas.CURRENT_INDEX, ["server_id", "faction"],
-           [F.col("computed_at").desc(), F.col("index_price"), F.col("best_ask")], "bucket")
+def current_index(spark: SparkSession, path: str) -> KeyedTable:
+    """One row per (server_id, faction), the newest."""
+    return KeyedTable(spark, path, schemas.CURRENT_INDEX, ["server_id", "faction"], [F.desc("computed_at")],
+                      [F.col("index_price"), F.col("best_ask")])
 
 
-def upsert_offers(offers: DataFrame, path: str) -> None:
-    """The current offers: one row per (source, id), the newest; an older one that comes late is ignored."""
-    rows = offers.withColumn("bucket", F.pmod(F.hash("source", "id"), F.lit(INDEX_BUCKETS)))
-    known = (read(offers.sparkSession, path, schemas.CURRENT_OFFERS)
-             .select("source", "id", "bucket", F.col("fetched_at").alias("_at")))
-    newer = rows.join(known, ["source", "id", "bucket"], "left").filter("_at IS NULL OR fetched_at >= _at")
-    upsert(newer, path, schemas.CURRENT_OFFERS, ["source", "id"],
-           [F.col("fetched_at").desc(), F.col("price_per_1k"), F.col("faction"), F.col("server_id")], "bucket")
+def current_offers(spark: SparkSession, path: str) -> KeyedTable:
+    """One row per (source, id), the newest."""
+    return KeyedTable(spark, path, schemas.CURRENT_OFFERS, ["source", "id"], [F.desc("fetched_at")],
+                      [F.col("price_per_1k"), F.col("faction"), F.col("server_id")])
+
+
+def market(spark: SparkSession, path: str) -> SnapshotTable:
+    """The offers of every source's newest cycle that had any."""
+    return SnapshotTable(spark, path, schemas.MARKET)
+
+
+def upsert_index(index: DataFrame, path: str, writer: str = "", number: int | None = None) -> None:
+    """Adds rows to the current index; an older row that comes late is ignored."""
+    rows = index.withColumn("faction", text.stored_faction(F.col("faction"))).withColumn("bucket", _bucket("server_id", "faction"))
+    current_index(index.sparkSession, path).write(rows, writer, number)
+
+
+def upsert_offers(offers: DataFrame, path: str, writer: str = "", number: int | None = None) -> None:
+    """Adds rows to the current offers; an older row that comes late is ignored."""
+    current_offers(offers.sparkSession, path).write(offers.withColumn("bucket", _bucket("source", "id")), writer, number)
 
 
 def _dated(ticks: DataFrame) -> DataFrame:
@@ -164,12 +181,10 @@ def apply_retention(spark: SparkSession, path: str, schema: StructType, time: st
     if deleted:
         # a day without kept rows is dropped, the day of the cut is rewritten
         days = list(counts)
-        hadoop = spark._jsc.hadoopConfiguration()
         last = spark.sql(f"SELECT to_date('{cut}')").first()[0]
         for day in days:
             if day < last:
-                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-                folder.getFileSystem(hadoop).delete(folder, True)
+                remove_path(spark, f"{path}/date={day}")
         if last in days:
             _replace_day(old.filter((F.col("date") == F.lit(last)) & (F.col(time) >= moment)), path, last)
     return deleted
@@ -178,7 +193,6 @@ def apply_retention(spark: SparkSession, path: str, schema: StructType, time: st
 def _replace_day(kept: DataFrame, path: str, day) -> None:
     spark = kept.sparkSession
     if kept.isEmpty():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_path(spark, f"{path}/date={day}")
     else:
         _overwrite(kept, path, "date")

@@ -16,6 +16,7 @@ from tidemark.functions import fixed
 from tidemark.operators.filters import since
 from tidemark.operators.indexes import server_index
 from tidemark.operators.quality import normalize
+from tidemark.operators.scale import first_per_key
 from tidemark.sources import tables
 
 WATERMARK = {"5m": "10 minutes", "1h": "2 hours", "1d": "2 days"}
@@ -43,13 +44,23 @@ def start_tick_writer(offers: DataFrame, current_path: str, path: str, checkpoin
                       trigger: dict | None = None, hours: int | None = None) -> StreamingQuery:
     """Per micro-batch the index of every (server, faction or All) over the whole market.
 
-    The micro-batch goes into the table of current offers first; the index is taken over that table, at
-    the minute of its newest offer. With ``hours``, offers not seen for that long before the newest one
-    no longer count.
+    Offers with a column ``cycle`` replace their source's offers as a whole once a newer cycle has any, so
+    delisted offers leave; without it they are added to the current offers by key. The index is taken
+    over the market as it then stands, at the minute of its newest offer. With ``hours``, offers not seen
+    for that long before the newest one no longer count.
     """
-    def each(batch: DataFrame, _: int) -> None:
-        tables.upsert_offers(batch, current_path)
-        market = tables.read(batch.sparkSession, current_path, schemas.CURRENT_OFFERS)
+    cycles = "cycle" in offers.columns
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if cycles:
+            order = [F.desc("fetched_at"), F.col("price_per_1k"), F.col("faction"), F.col("server_id")]
+            kept = tables.market(spark, current_path)
+            kept.write(first_per_key(batch, ["source", "cycle", "id"], order), checkpoint, number)
+            market = kept.read()
+        else:
+            tables.upsert_offers(batch, current_path, checkpoint, number)
+            market = tables.read(spark, current_path, schemas.CURRENT_OFFERS)
         newest = market.agg(F.max("fetched_at")).first()[0]
         if newest is None:
             return
@@ -98,12 +109,8 @@ def deduplicated(offers: DataFrame, time: str = "fetched_at", delay: str = "10 m
 def start_current_index(index: DataFrame, path: str, checkpoint: str,
                         trigger: dict | None = None) -> StreamingQuery:
     """Keeps the newest index per (server, faction)."""
-    def each(batch: DataFrame, _: int) -> None:
-        stored = batch.join(tables.read(batch.sparkSession, path, tables.schemas.CURRENT_INDEX)
-                            .select("server_id", "faction", F.col("computed_at").alias("_at")),
-                            ["server_id", "faction"], "left")
-        newer = stored.filter("_at IS NULL OR computed_at >= _at").drop("_at")
-        tables.upsert_index(newer, path)
+    def each(batch: DataFrame, number: int) -> None:
+        tables.upsert_index(batch, path, checkpoint, number)
     return _start(index, each, checkpoint, trigger)
 
 
