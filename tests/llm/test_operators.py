@@ -222,14 +222,17 @@ def test_vectors(spark):
     rnd = np.random.default_rng(2)
     made = [(i, [float(x) for x in rnd.normal(size=16)]) for i in range(120)]
     made += [(200, made[0][1]), (201, made[0][1]), (202, None), (203, [1.0, None]), (204, [float("nan")] * 16), (205, []),
-             (None, made[1][1]), (50, made[50][1])]
+             (None, made[1][1]), (50, made[50][1]), (7, made[9][1])]
     got = vector_search.top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
-    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in made if i is not None and v and len(v) == 16 and None not in v and not np.isnan(v).any()}
-    want = set()
-    for i in (i for i in q if i % 50 == 0):
-        best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
-        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+    # every row is a candidate, rows that share an id too
+    q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in made if i is not None and v and len(v) == 16 and None not in v and not np.isnan(v).any()]
+    want = []
+    for i in {i for i, _ in q if i % 50 == 0}:
+        best = sorted((-int(x @ y), j) for k, x in q if k == i for j, y in q if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vector_search.top_k(few, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 655360), (0, 2, 1, 65536), (0, 3, 2, 65536)]
 
 
 def fold(word):

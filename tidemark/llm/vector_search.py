@@ -79,22 +79,17 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and quantised vectors; of rows that share an id, the smallest vector."""
+    """Ids and quantised vectors."""
     flat = rows["embedding"].combine_chunks().flatten().to_numpy().astype(float)
-    x = np.floor(256 * flat.reshape(rows.num_rows, -1)).astype(np.int64)
-    ids = rows["vec_id"].to_numpy()
-    order = np.lexsort((*x.T[::-1], ids))
-    ids, x = ids[order], x[order]
-    first = np.append(True, ids[1:] != ids[:-1])
-    return ids[first], x[first]
+    return rows["vec_id"].to_numpy(), np.floor(256 * flat.reshape(rows.num_rows, -1)).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: every query's k highest scores, ties to smaller ids.
 
     ``vectors`` has vec_id and embedding. Rows without vec_id, and vectors that are null, empty or
-    hold null or non-finite components, take no part. Rows that share a vec_id count once, with the
-    smallest quantised vector. Vectors of different length are not compared. Components stay exact as
+    hold null or non-finite components, take no part. Every row is a candidate, also where rows share a
+    vec_id, but for those with the query's own id. Vectors of different length are not compared. Components stay exact as
     long as scores fit a long. An empty table gives an empty table.
     """
     rows = (vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
