@@ -73,12 +73,23 @@ def history_points(ticks: DataFrame) -> DataFrame:
                         "sample_size")
 
 
+# realm groups of a day in the stored tiers
+REALM_PARTS = 16
+
+
+def realm_part(server_id: Column) -> Column:
+    """The group of a realm; with a literal, the scan of a stored tier is left with one folder a day."""
+    return F.pmod(F.hash(server_id.cast("int")), F.lit(REALM_PARTS))
+
+
 def history(tiers: Mapping[str, DataFrame], server_id: int, faction: str, hours: int, as_of,
             max_points: int = 500) -> DataFrame:
     """Newest points of one series, oldest first, from the tier that covers the range."""
     stored = text.stored_faction(F.lit(faction))
     ticks = tiers[tier_for(hours)].filter((F.col("server_id") == server_id)
                                           & (F.col("faction") == stored))
+    if "part" in ticks.columns:
+        ticks = ticks.filter(F.col("part") == realm_part(F.lit(server_id)))
     return newest(history_points(since(ticks, "recorded_at", as_of, hours)), "recorded_at", max_points)
 
 
@@ -89,7 +100,10 @@ def history_by_name(tiers: Mapping[str, DataFrame], servers: DataFrame, name: st
                             & (F.lower("version") == version.lower()))
              .agg(F.min("id").alias("server_id")))
     ticks = tiers[tier_for(hours)].filter(F.col("faction") == text.stored_faction(F.lit(faction)))
-    ticks = since(ticks, "recorded_at", as_of, hours).join(F.broadcast(found), "server_id")  # one row
+    on = ["server_id"]
+    if "part" in ticks.columns:  # the realm found at run time prunes the folders
+        on, found = ["server_id", "part"], found.withColumn("part", realm_part(F.col("server_id")))
+    ticks = since(ticks, "recorded_at", as_of, hours).join(F.broadcast(found), on)  # one row
     return newest(history_points(ticks), "recorded_at", max_points)
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed, times
 from tidemark.operators import history, series, throttle
 from tidemark.plans.catalog import query, view
+from tidemark.session import materialize, new_path, release
+from tidemark.sources.tiers import TierStore
 from tidemark.streaming import jobs
 
 AS_OF = "2024-01-28 12:07:00"
@@ -140,7 +142,13 @@ _POINT = """SELECT server_id, faction, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ
 
 
 def _tiers(t):
-    return {"5m": t.tier_5m, "1h": t.tier_1h, "1d": t.tier_1d}
+    """The tiers as stored by two runs, the second from the first one's mark."""
+    ticks = materialize(t.ticks, "ticks")
+    store = TierStore(t.spark, new_path(t.spark, "tiers"))
+    for upto in ("2024-01-16 10:07:00", "2024-03-01 00:00:00"):
+        store.advance(ticks, upto)
+    release(ticks)
+    return store.tiers()
 
 
 @query("s12_history_read", _POINT + f"""(SELECT * FROM tier_5m WHERE server_id = 1 AND faction = 'Horde'
@@ -160,10 +168,10 @@ SELECT '5m' AS tier, server_id, faction, count(*) AS points FROM tier_5m GROUP B
 SELECT '1h', server_id, faction, count(*) FROM tier_1h GROUP BY 2, 3 UNION ALL
 SELECT '1d', server_id, faction, count(*) FROM tier_1d GROUP BY 2, 3""")
 def _(t):
-    out = None
+    out, tiers = None, _tiers(t)
     for hours in (168, 720, 721):
         tier = history.tier_for(hours)
-        part = (_tiers(t)[tier].groupBy("server_id", "faction").agg(F.count(F.lit(1)).alias("points"))
+        part = (tiers[tier].groupBy("server_id", "faction").agg(F.count(F.lit(1)).alias("points"))
                 .withColumn("tier", F.lit(tier)))
         out = part if out is None else out.unionByName(part)
     return out
@@ -194,7 +202,7 @@ def _(t):
 SELECT sv_name AS name, sv_region AS region, sv_version AS version, p.* FROM (""" + _POINT + """tier_1h) p
 JOIN server_names ON server_id = sv_id""")
 def _(t):
-    return shown(history.named_history(t.tier_1h, t.servers))
+    return shown(history.named_history(_tiers(t)["1h"], t.servers))
 
 
 @query("j6_history_by_name", _POINT + f"""(SELECT * FROM tier_1d WHERE server_id = 0 AND faction = 'Horde'

@@ -154,18 +154,18 @@ def _(t):
 
 @query("j13_alias_coverage", """
 SELECT lower(alias_text) AS alias_key, min(alias_text) AS alias_text, count(*) AS offers FROM sql_keys
-WHERE alias_text IS NOT NULL AND lower(alias_text) NOT IN (SELECT lower(alias) FROM aliases) GROUP BY 1""")
+WHERE alias_text IS NOT NULL AND lower(alias_text) NOT IN (SELECT lower(alias) FROM known_aliases) GROUP BY 1""")
 def _(t):
     rows = quality.with_default_faction(quality.relabelled(normal_offers(t.listings)))
-    return resolve.alias_coverage(rows, t.aliases)
+    return resolve.alias_coverage(rows, t.known_aliases)
 
 
 @query("u4_except", """
 SELECT DISTINCT lower(alias_text) AS alias_key FROM sql_keys WHERE alias_text IS NOT NULL
-EXCEPT SELECT lower(alias) FROM aliases""")
+EXCEPT SELECT lower(alias) FROM known_aliases""")
 def _(t):
     keys = _keyed(t).filter("alias_text IS NOT NULL").select(F.lower("alias_text").alias("alias_key"))
-    return keys.subtract(t.aliases.select(F.lower("alias")))
+    return keys.subtract(t.known_aliases.select(F.lower("alias")))
 
 
 @query("j14_realm_versions", """
