@@ -1,5 +1,6 @@
 """The training-data operators on odd rows and against brute force."""
 
+import bisect
 import random
 import re
 import zlib
@@ -178,6 +179,8 @@ def test_packing(docs, rows, empty):
     ids = tokens.encoder(tokens.default_path())
     want = sorted(len(ids.encode(pa.array([r[1] or ""]))[0]) + 1 for r in rows)
     assert sum(want) == sum(r["length"] for r in got)
+    cuts = [(r[0], p, 64 * p) for r in rows for p in range(-(-(len(ids.encode(pa.array([r[1] or ""]))[0]) + 1) // 64))]
+    assert sorted(cuts, key=str) == sorted(((r["doc_id"], r["piece"], r["start"]) for r in got), key=str)
     held = {}
     for r in got:
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
@@ -191,15 +194,39 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_plan_is_near_the_bound():
+def best_fit_decreasing(counts, capacity=2048):
+    """How many sequences plain best fit takes, longest first, piece by piece."""
+    rooms = []
+    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        i = bisect.bisect_left(rooms, length)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - length)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("draw", [
+    lambda r: int(r.lognormvariate(6, 0.9)) + 1,
+    lambda r: r.choice([r.randint(1, 300), r.randint(500, 2047), 2048]),
+    lambda r: r.randint(1, 2048)])
+def test_plan_against_best_fit(draw):
     rnd = random.Random(3)
     counts = {}
     for _ in range(20000):
-        n = min(2048, int(rnd.lognormvariate(6, 0.9)) + 1)
+        n = min(2048, draw(rnd))
         counts[n] = counts.get(n, 0) + 1
     runs = packing.plan(counts)
-    assert max(r.at + r.n for r in runs) <= 1.01 * sum(n * c for n, c in counts.items()) / 2048 + 1
-    assert sum(r.n for r in runs) == sum(counts.values())
+    ranks, room = {}, {}
+    for r in runs:
+        ranks.setdefault(r.length, []).extend(range(r.first, r.first + r.n))
+        for i in range(r.n):
+            room.setdefault(r.at + i, []).append((r.offset, r.length))
+    assert {n: sorted(x) for n, x in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+    for parts in room.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(room) <= 1.0025 * best_fit_decreasing(counts)
 
 
 def test_token_files(spark, docs, rows, empty):
