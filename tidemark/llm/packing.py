@@ -6,7 +6,8 @@ longest of their group; for these few sizes the fractional configuration problem
 column generation, and its configurations are used as often as the whole part says. Actual pieces
 then take the slots, which leaves more room than the rounded sizes did, so the last slot takes the
 longest piece that fits. What remains, large leftovers and all small pieces, goes best-fit into the
-least room that holds it.
+least room that holds it; last, the emptiest sequences are dissolved and their pieces fitted again
+where that saves sequences.
 
 The plan speaks of runs: the pieces of one length with ranks r .. r + n go to the sequences b .. b +
 n, all at one offset. The number of runs depends on the capacity, not on the corpus. Spark ranks the
@@ -34,6 +35,7 @@ CAPACITY = 2048
 END = 0  # closes every document
 GROUPS = 48  # rounded sizes
 LARGE = 3  # lengths above capacity / LARGE are large; more of them in configurations left more room (measured)
+DISSOLVED = (64, 16, 4)  # shares of the sequences, the emptiest, that are dissolved and filled again
 
 
 @dataclass
@@ -90,11 +92,14 @@ class Sequences:
     """Sequences by what they hold and the room they have left, as ranges of sequences that are alike."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.opened = capacity, 0
+        self.capacity, self.opened, self.gone = capacity, 0, 0
         self.held: list[tuple[int, int, int, int]] = []  # length, n, at, offset
         self.rooms: dict[int, list[tuple[int, int]]] = {}  # room left: ranges (first, n)
         self.sizes: list[int] = []  # rooms above 0, ascending
 
+    def count(self) -> int:
+        return self.opened - self.gone
+
     def put(self, length: int, n: int, at: int, offset: int) -> None:
         self.held.append((length, n, at, offset))
 
@@ -132,6 +137,39 @@ class Sequences:
                 self.leave(room - length, at, some)
                 left -= some
 
+    def without_emptiest(self, n: int) -> Sequences:
+        """The same pieces, after the ``n`` sequences with most room are dissolved and best-fit again."""
+        out = Sequences(self.capacity)
+        out.opened, out.gone = self.opened, self.gone
+        dropped: list[tuple[int, int]] = []
+        for room in reversed(self.sizes):
+            for at, size in self.rooms[room]:
+                some = min(size, n)
+                n -= some
+                if some:
+                    dropped.append((at, at + some))
+                if size > some:
+                    out.leave(room, at + some, size - some)
+        out.gone += sum(stop - at for at, stop in dropped)
+        dropped.sort()
+        starts, todo = [at for at, _ in dropped], {}
+        for length, size, at, offset in self.held:
+            place, end = at, at + size
+            i = max(bisect.bisect_right(starts, at) - 1, 0)
+            while place < end:
+                while i < len(dropped) and dropped[i][1] <= place:
+                    i += 1
+                low, high = dropped[i] if i < len(dropped) else (end, end)
+                if low > place:
+                    stop = min(low, end)
+                    out.put(length, stop - place, place, offset)
+                else:
+                    stop = min(high, end)
+                    todo[length] = todo.get(length, 0) + stop - place
+                place = stop
+        out.best_fit(todo)
+        return out
+
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> list[Run]:
     """Places for ``counts[length]`` pieces of each length, as runs."""
@@ -206,6 +244,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     for length, n, _, _ in held.held:
         todo[length] -= n
     held.best_fit({x: n for x, n in todo.items() if n})
+    for share in DISSOLVED:
+        again = held.without_emptiest(max(1, held.count() // share))
+        if again.count() < held.count():
+            held = again
 
     runs, rank = [], dict.fromkeys(counts, 0)
     for length, n, at, offset in held.held:
