@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import (licenses, mixing, ngram_join, packing, quality, substrings, token_files, tokens, tool_calls,
+from tidemark.llm import (license_texts, licenses, mixing, ngram_join, packing, quality, substrings, token_files, tokens, tool_calls,
                           toxicity, vector_search)
 from tidemark.llm.components import components, joined_up
 from tidemark.session import new_path
@@ -317,9 +317,9 @@ def test_pipeline_cuts_passages_inside_lines(spark):
 
 
 def test_licenses(docs, empty):
-    got = licenses.scan(docs, list(licenses.NOTICES.items())).collect()
+    got = licenses.scan(docs, license_texts.templates()).collect()
     assert ("apache-2.0", 100, 13) in {(r["template"], r["coverage"], r["doc_id"]) for r in got}
-    assert {r["doc_id"] for r in got} == {13} and licenses.scan(empty, list(licenses.NOTICES.items())).count() == 0
+    assert {r["doc_id"] for r in got} == {13} and licenses.scan(empty, license_texts.templates()).count() == 0
     text, template = np.array([1, 2, 9, 3, 4, 5], np.uint64), np.array([1, 2, 3, 4, 6, 5], np.uint64)
     assert licenses.align(template, text, -8, 8) == (5, 0, 5)
 
@@ -335,6 +335,59 @@ def test_licenses_repeated_short_notices(spark):
     assert {x for i in range(6) for x in got[i]} == {notice[:-1]}
 
 
+def common_words(a, b):
+    """Longest common subsequence, the plain way."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b):
+            old, row[j + 1] = row[j + 1], old + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark, monkeypatch):
+    rnd, known = random.Random(9), license_texts.templates()
+    plain = lambda text: re.findall(r"[a-z0-9]+", text.lower())
+    texts = []
+    for _, text, needed in known:
+        words = text.split()
+        for _ in range(len(words) // 12):
+            i = rnd.randrange(1, len(words) - 1)
+            if not set(plain(words[i])) & set(plain(needed)):
+                words[i] = rnd.choice(["", f"{words[i]} zz", "qq"])
+        texts.append(f"{prose(len(texts), 30)} {' '.join(w for w in words if w)} {prose(len(texts) + 500, 30)}")
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    got = licenses.scan(docs.repartition(3), known).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(known)))
+    for r in got:
+        template = plain(next(t for n, t, _ in known if n == r["template"]))
+        # as many words as any alignment with the whole text finds, and all of them inside the span
+        assert r["matched"] == common_words(template, plain(texts[r["doc_id"]]))
+        assert r["matched"] == common_words(template, plain(texts[r["doc_id"]][r["start"]:r["stop"]]))
+    for i, (name, text, _) in enumerate(known):
+        of = [r for r in got if r["doc_id"] == i]
+        best = {n: common_words(plain(t), plain(texts[i])) for n, t, must in known
+                if set(plain(must)) <= set(plain(texts[i])) and 100 * common_words(plain(t), plain(texts[i])) >= 70 * len(plain(t))}
+        assert max(r["matched"] for r in of) == max(best.values()), name
+    # set by set, the matches of a text meet again
+    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 300)
+    assert sorted(licenses.scan(docs, known).collect()) == sorted(got)
+
+
+def test_one_license_a_line(spark):
+    lines = {f"This work is licensed under the GNU General Public License, version {v}.": f"gpl-{v}.0" for v in (2, 3)}
+    lines |= {license_texts.TEXTS[n]: n for n in ("gpl-3.0-header", "lgpl-3.0-header", "agpl-3.0-header", "isc", "cc-by-4.0", "cc-by-nc-4.0")}
+    lines |= {"// SPDX-License-Identifier: ISC": "isc-tag", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0-tag",
+              "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+              "disclaimer.": "bsd-clause-source", "SPDX-License-Identifier: LicenseRef-Own": None,
+              "This work is licensed under the GNU General Public License, version 7.": None}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs, license_texts.templates()).collect():
+        got.setdefault(r["doc_id"], []).append(r["template"])
+    assert [got.get(i) for i in range(len(lines))] == [x and [x] for x in lines.values()]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(4)
     made = []

@@ -7,8 +7,11 @@ diagonals are a candidate, and the template is aligned with that stretch of the
 around the diagonals, which gives the words that match in order, the share of the template they
 cover, and their span in the text.
 
-The index of a set of templates goes to every task; it is bounded by ``TEMPLATE_WORDS``, and more
-templates are scanned set by set.
+Wordings of licenses resemble each other. A template may name words that its match must hold, such as
+a version, and of matches that lie on the same stretch of a text the one with most words stays.
+
+The index of a set of templates goes to every task; it is bounded by ``TEMPLATE_WORDS``. More
+templates are scanned set by set, and the matches of a text meet by its row.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import stored, table
+from tidemark.llm.license_texts import templates as known_templates
 from tidemark.llm.words import Words, chunks, words_of
 
 GRAM = 3
@@ -29,26 +33,7 @@ WINDOW = 2
 BAND = 8  # words by which a match may drift from its diagonals
 TEMPLATE_WORDS = 200_000  # words of a set of templates
 MIN_PERCENT = 70  # of a template's words
-
-# Notices by which works commonly name their licenses.
-NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
-                         "in compliance with the License. You may obtain a copy of the License at "
-                         "http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                    "provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                      "associated documentation files, to deal in the Software without restriction",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+COVERED = 80  # percent of a match's span that a better match must cover to replace it
 
 
 def fingerprints(words: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +91,42 @@ def _tight(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple
     return got, last - back, last
 
 
-def _sets(templates: Sequence[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+Template = tuple[str, str, str]  # name, text, needed words
+
+
+def _sets(templates: Sequence[Template]) -> Iterator[list[Template]]:
     held, size = [], 0
-    for name, text in templates:
-        n = len(words_of(text, True, True).hashes)
+    for t in templates:
+        n = len(words_of(t[1], True, True).hashes)
         if held and size + n > TEMPLATE_WORDS:
             yield held
             held, size = [], 0
-        held.append((name, text))
+        held.append(t)
         size += n
     if held:
         yield held
 
 
-def _matcher(templates: list[tuple[str, str]], min_percent: int):
-    known = [words_of(text, True, True).hashes for _, text in templates]
+def best(found: list[tuple]) -> list[tuple]:
+    """Matches of one text without those on whose stretch a better one lies.
+
+    A match begins with name, matched words, first and last code point. More matched words are better, then
+    a shorter stretch, then the smaller name.
+    """
+    kept: list[tuple] = []
+    for m in sorted(found, key=lambda m: (-m[1], m[3] - m[2], m)):
+        shared = (min(m[3], k[3]) - max(m[2], k[2]) + 1 for k in kept)
+        if all(100 * x < COVERED * (m[3] - m[2] + 1) for x in shared):
+            kept.append(m)
+    return sorted(kept, key=lambda m: (m[2], m))
+
+
+def _matcher(templates: list[Template], min_percent: int):
+    known = [words_of(text, True, True).hashes for _, text, _ in templates]
+    needed = [set(words_of(must, True, True).hashes.tolist()) for *_, must in templates]
     index: dict[int, list[tuple[int, int]]] = {}
     short = [len(x) for x in known]
-    for t, (_, text) in enumerate(templates):
+    for t, (_, text, _) in enumerate(templates):
         for h, place in zip(*fingerprints(words_of(text, True, True)), strict=True):
             index.setdefault(int(h), []).append((t, int(place)))
     by_size = {n: np.array(sorted(h for h, places in index.items() if any(min(short[t], GRAM) == n for t, _ in places)), np.uint64)
@@ -164,7 +167,7 @@ def _matcher(templates: list[tuple[str, str]], min_percent: int):
                         for (low, high), hits_ in apart.items():
                             diagonals = [d - low for _, d in hits_]
                             got, first, last = _tight(known[t], words.hashes[low:high], min(diagonals) - BAND, max(diagonals) + BAND)
-                            if 100 * got >= min_percent * short[t]:
+                            if 100 * got >= min_percent * short[t] and needed[t] <= set(words.hashes[low + first:low + last + 1].tolist()):
                                 insort(spans, (low + first, low + last))
                                 yield text, t, got, low + first, low + last
                                 todo.append(hits_)
@@ -174,45 +177,71 @@ def _matcher(templates: list[tuple[str, str]], min_percent: int):
     return matches, short
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]], min_percent: int = MIN_PERCENT) -> DataFrame:
-    """Matches of templates (name, text) in texts: doc_id, template, matched, template_words, coverage
-    (percent, rounded down), start and stop (code points in the text).
+_FIELDS = ["row", "doc_id", "template", "matched", "template_words", "coverage", "start", "stop"]
+_SCHEMA = ("row long, doc_id long, template string, matched long, template_words long, coverage long, start long, "
+           "stop long")
 
-    ``docs`` needs doc_id and text. Null and empty texts match nothing, nor do templates without a
-    word. Repeated rows give their matches each; a template that occurs several times in a text gives
-    a row for each place, and one occurrence found from several sides a single row.
-    """
-    schema = "doc_id long, template string, matched long, template_words long, coverage long, start long, stop long"
 
-    def finder(some: list[tuple[str, str]]):
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if name == "template" else pa.int64())
+                                       for name, c in zip(_FIELDS, columns, strict=True)], names=_FIELDS)
+
+
+def _best_of_text(found: pa.Table) -> pa.Table:
+    """All matches of one row; ``stop`` is one past the end."""
+    rows = [(r["template"], r["matched"], r["start"], r["stop"] - 1, r["row"], r["doc_id"], r["template_words"], r["coverage"])
+            for r in found.to_pylist()]
+    return pa.Table.from_batches([_rows([(row, doc, name, got, size, share, a, z + 1)
+                                         for name, got, a, z, row, doc, size, share in best(rows)])])
+
+
+def scan(docs: DataFrame, templates: Sequence[tuple], min_percent: int = MIN_PERCENT) -> DataFrame:
+    """Matches of templates (name, text and, if any, needed words) in texts: doc_id, template, matched,
+    template_words, coverage (percent, rounded down), start and stop (code points in the text).
+
+    ``docs`` needs doc_id and text; other columns may have any names. Null and empty texts match nothing,
+    nor do templates without a word. Repeated rows give their matches each; a template that occurs several
+    times in a text gives a row for each place, and one occurrence found from several sides a single row.
+    Of matches on the same stretch the best stays (``best``); ties go to the smaller name.
+    """
+    def finder(some: list[Template], alone: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matches, short = _matcher(some, min_percent)
             for batch in batches:
-                ids = batch.column("doc_id")
+                ids, numbers = batch.column("doc_id"), batch.column("row")
                 for row, words in chunks(batch.column("text"), fold=True, alnum=True):
-                    seen = sorted(set(matches(words)))
-                    if not seen:
+                    matched = sorted(set(matches(words)))
+                    if not matched:
                         continue
                     places = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-                    out = []
-                    for text, t, got, first, last in seen:
+                    seen: dict[int, list[tuple]] = {}
+                    for text, t, got, first, last in matched:
                         base = places[words.bounds[text]]
-                        out.append((ids[row + text].as_py(), some[t][0], got, short[t], 100 * got // short[t],
-                                    int(places[words.starts[first]] - base), int(places[words.ends[last]] - base)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.string() if i == 1 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))],
-                        names=["doc_id", "template", "matched", "template_words", "coverage", "start", "stop"])
+                        seen.setdefault(text, []).append((some[t][0], got, int(places[words.starts[first]] - base),
+                                                          int(places[words.ends[last]] - base) - 1, short[t]))
+                    out = []
+                    for text, found in seen.items():
+                        for name, got, start, last, size in best(found) if alone else found:
+                            out.append((numbers[row + text].as_py(), ids[row + text].as_py(), name, got, size, 100 * got // size,
+                                        start, last + 1))
+                    yield _rows(out)
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [rows.mapInArrow(finder(some), schema) for some in _sets([t for t in templates if len(words_of(t[1], True, True).hashes)])]
-    if not found:
-        return rows.sparkSession.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    full = [(t[0], t[1], t[2] if len(t) > 2 else "") for t in templates]
+    sets = list(_sets([t for t in full if len(words_of(t[1], True, True).hashes)]))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not sets:
+        return rows.sparkSession.createDataFrame([], _SCHEMA).drop("row")
+    if len(sets) == 1:
+        return rows.mapInArrow(finder(sets[0], True), _SCHEMA).drop("row")
+    rows = stored(rows, "texts")  # every set must see the same row numbers
+    out = rows.mapInArrow(finder(sets[0], False), _SCHEMA)
+    for more in sets[1:]:
+        out = out.unionByName(rows.mapInArrow(finder(more, False), _SCHEMA))
+    return out.groupBy("row").applyInArrow(_best_of_text, _SCHEMA).drop("row")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), list(NOTICES.items()))
+    """All wordings of ``license_texts`` in all documents; null and empty texts give no row."""
+    return scan(table(spark, sf_dir, "documents"), known_templates())
