@@ -1,6 +1,7 @@
 """The training-data operators on odd rows and against brute force."""
 
 import bisect
+import json
 import random
 import re
 import zlib
@@ -428,6 +429,30 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_numbers_have_one_spelling(spark):
+    same = [["1", "1.0", "1e0", "0.1e1", "10E-1"], ["0", "-0", "-0.0", "0e5"], ["3", "3e0"], ["-2.5", "-2.50", "-25e-1"],
+            ["1e25", "10000000000000000000000000", "1E+25"], ["12345678901234567890", "12345678901234567890.0"], ["1e-30", "10e-31"]]
+    given = [(i, f'{{"limit":{x},"query":"{x} 1.0 \\" 2.0"}}') for i, group in enumerate(same) for x in group]
+    calls = spark.createDataFrame([(1, n, f"{i}-{n}", "t", text, []) for n, (i, text) in enumerate(given)] + [
+        (1, 99, "far", "t", '{"limit":1e400,"query":"x"}', [])],
+        "conv_id long, pos long, call_id string, tool string, arguments string, after array<string>")
+    schemas = spark.createDataFrame([("t", "limit", "integer", True, None, None, None), ("t", "query", "string", True, None, None, None)],
+                                    "tool string, argument string, kind string, required boolean, least double, most double, "
+                                    "allowed array<string>")
+    none = spark.createDataFrame([], "conv_id long, pos long, call_id string, content string")
+    got = {r["call_id"]: r for r in tool_calls.link(calls, none, schemas).collect()}
+    assert got.pop("far")["status"] == "bad_json"
+    spelled = {}
+    for n, (i, text) in enumerate(given):
+        r = got[f"{i}-{n}"]
+        message = r["message"]
+        spelled.setdefault(i, set()).add((message[message.index('"limit":'):message.index(',"query"')], r["status"]))
+        assert json.loads(message)["arguments"]["query"] == json.loads(text)["query"]
+        assert float(json.loads(message)["arguments"]["limit"]) == float(json.loads(text)["limit"])
+    assert all(len(x) == 1 for x in spelled.values())
+    assert [next(iter(x))[1] for x in spelled.values()] == ["missing_result"] * 3 + ["invalid"] + ["missing_result"] * 2 + ["invalid"]
+
+
 def test_long_chains_and_joins_have_their_depth(spark):
     edges = [(i, i - 1) for i in range(1, 40)] + [(50, 39), (50, 3), (51, 50), (60, 61), (61, 60), (62, 61)]
     nodes = spark.createDataFrame([(i,) for i in sorted({x for e in edges for x in e})], "id long")

@@ -7,7 +7,8 @@ a call with one open dependency skips to that call's own dependency, which halve
 round, and a call with several waits until all are known. Calls on or behind a cycle stay open when
 a round finds nothing new. Places inside a conversation come from range partitions, so a hot
 conversation is spread over tasks. Arguments are checked against the tool's schema by row-local
-functions, and objects become canonical JSON through VARIANT, whose keys are sorted.
+functions; numbers get one spelling each, and objects become canonical JSON through VARIANT, whose
+keys are sorted.
 """
 
 from __future__ import annotations
@@ -48,9 +49,36 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(known, "id", "left")
 
 
+_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|.'
+_NUMBER = r"^-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?$"
+
+
+def one_spelling(json: Column) -> Column:
+    """JSON text in which every number has the one spelling of its value.
+
+    Whole numbers of up to 38 digits have neither point nor exponent, others no zeros at the end. Values with
+    up to 20 digits before the point and 18 behind it are exact, as are whole numbers; any other is the
+    nearest double. A number beyond a double's range is no JSON afterwards. Strings stay as they are.
+    """
+    def spelled(token: Column) -> Column:
+        exact, wide, near = (token.try_cast(kind) for kind in ("decimal(38,18)", "decimal(38,0)", "double"))
+        plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"\.?0+$", ""), r"^-0$", "0")
+        return (F.when(~token.rlike(_NUMBER), token)
+                .when(near.isNull() | (F.abs(near) == float("inf")), "?")
+                .when(token.rlike("^-?[0-9]++$"), F.when(token == "-0", "0").otherwise(token))
+                .when(exact.cast("double") == near, plain)
+                .when((F.abs(near) >= 1e18) & (wide.cast("double") == near), wide.cast("string"))
+                .otherwise(near.cast("string")))
+
+    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
+    # most texts have only whole numbers
+    return F.when(json.rlike(r"[0-9][.eE]|-0|[0-9]{39}"), F.array_join(F.transform(tokens, spelled), "")).otherwise(json)
+
+
 def _complaints(arguments: Column, rules: Column) -> Column:
     """Sorted list of what is wrong with a map<string, variant>, by map<string, rule>."""
-    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    whole = lambda v: F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\([0-9]+,0\)$", "BIGINT")
+    kind = lambda v: F.regexp_extract(whole(v), "^[A-Z]+", 0)
     wants = F.create_map(*(c for k, names in KINDS.items() for c in (F.lit(k), F.array(*map(F.lit, names)))))
     given = F.map_keys(arguments)
     missing = F.transform(F.filter(F.map_entries(rules), lambda r: r["value"]["required"] & ~F.array_contains(given, r["key"])),
@@ -107,7 +135,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     rows = rows.join(first, key(rows), "left").drop("_conv", "_call")
     rows = rows.join(answers, key(rows), "left").drop("_conv", "_call")
     rows = rows.join(by_tool, F.col("tool") == F.col("_tool"), "left")
-    object_ = F.try_parse_json("arguments")
+    object_ = F.try_parse_json(one_spelling(F.col("arguments")))
     is_object = F.coalesce(F.schema_of_variant(object_).startswith("OBJECT"), F.lit(False))
     rows = rows.withColumn("_arguments", F.when(is_object, object_))
     entries = F.when(F.col("_arguments").isNotNull(), F.from_json(F.to_json("_arguments"), "map<string,variant>"))
