@@ -96,3 +96,23 @@ def test_null_keys_and_values(spark):
     stamped = df.withColumn("t", F.timestamp_seconds(F.col("i").cast("long") * 90000 + 1))
     assert scale.with_neighbours(stamped, ["k"], "t", "v").count() == 5
     assert {r["k"] for r in throttle.significant_changes(stamped, ["k"], "t", ["v"]).collect()} == {None, "a"}
+
+
+def test_as_of(spark):
+    rnd = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(minutes=rnd.randrange(300))
+    facts = [(i, "hot" if i % 10 < 7 else rnd.choice(["a", "b", "no rate", None]), at() if i % 50 else None, f"x{i}") for i in range(900)]
+    rates = [(k, at(), round(rnd.random(), 3)) for k in ("hot", "hot", "a", "b", "unused") for _ in range(40)]
+    rates += [(*rates[0][:2], 2.0), (None, start, 3.0), ("a", None, 4.0)]
+    df = spark.createDataFrame(facts, "i int, key string, time timestamp, fact string").repartition(5)
+    dim = spark.createDataFrame(rates, "code string, since timestamp, rate double").withColumnRenamed("code", "key")
+    got = scale.as_of(df, dim, "key", "time", "since", "found").collect()
+    assert len(got) == len(facts)
+    for r in got:
+        i, key, time, fact = facts[r["i"]]
+        assert (r["key"], r["time"], r["fact"]) == (key, time, fact)
+        known = [(s, v) for k, s, v in rates if k == key and None not in (k, s, time) and s <= time]
+        assert (tuple(r["found"]) if r["found"] else None) == max(known, default=None)
+    assert scale.as_of(df.limit(0), dim, "key", "time", "since", "found").count() == 0
+    assert scale.as_of(df, dim.limit(0), "key", "time", "since", "found").filter("found is not null").count() == 0

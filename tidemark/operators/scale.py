@@ -153,3 +153,32 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], time: str, value: str,
             .withColumn("prev_value", F.coalesce(F.lag(value).over(inside), F.col("_before")))
             .withColumn("next_value", F.coalesce(F.lead(value).over(inside), F.col("_after")))
             .drop("_slice", "_before", "_after"))
+
+
+def as_of(facts: DataFrame, dim: DataFrame, key: str, at: str, since: str, found: str) -> DataFrame:
+    """Every fact with the last row of ``dim`` of its key whose ``since`` is not after its ``at``.
+
+    ``found`` holds that row as a struct, null without one; facts without key or time have none. Both
+    sides are range-partitioned together by (key, time), so a key with most of the facts is spread over
+    partitions; each partition takes the last row seen inside it, or else the last one of the partitions
+    before. Of several rows with one ``since`` the greatest counts.
+    """
+    row = F.struct(since, *(c for c in dim.columns if c not in (key, since)))
+    steps = (dim.filter(F.col(key).isNotNull() & F.col(since).isNotNull())
+             .groupBy(F.col(key).alias("key"), F.col(since).alias("time")).agg(F.max(row).alias("step")))
+    rows = facts.select(F.col(key).alias("key"), F.col(at).alias("time"), F.struct("*").alias("fact"))
+    both = steps.withColumn("fact", F.lit(None).cast(rows.schema["fact"].dataType)).unionByName(
+        rows.withColumn("step", F.lit(None).cast(steps.schema["step"].dataType)))
+    # equal times are parted by a hash of the fact; a step lies ahead of the facts of its time
+    late, tie = F.col("fact").isNotNull(), F.xxhash64("fact")
+    merged = materialize(both.withColumns({"late": late, "tie": F.when(late, tie)})
+                         .repartitionByRange("key", "time", "late", "tie").withColumn("part", F.spark_partition_id()), "as-of")
+    last = merged.filter("step is not null").groupBy("key", "part").agg(F.max("step").alias("last"))
+    parts = merged.select("key", "part").distinct().join(last, ["key", "part"], "left")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (parts.withColumn("carried", F.last("last", True).over(before)).filter("carried is not null")
+               .select(F.col("key").alias("_key"), F.col("part").alias("_part"), "carried"))
+    inside = Window.partitionBy("part", "key").orderBy("time", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = merged.withColumn("seen", F.last("step", True).over(inside)).filter("late")
+    out = seen.join(carried, (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")), "left")
+    return out.select("fact.*", F.when(F.col("time").isNotNull(), F.coalesce("seen", "carried")).alias(found))

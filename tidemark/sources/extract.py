@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed, prices, text
 from tidemark.operators import filters
 from tidemark.operators.ranking import dedup_in_group_order
-from tidemark.operators.scale import first_per_key, lookup
+from tidemark.operators.scale import as_of, first_per_key
 
 
 def _class(name: str) -> str:
@@ -214,27 +214,20 @@ def daily_rates(rates: DataFrame) -> DataFrame:
 def in_usd(offers: DataFrame, rates: DataFrame) -> DataFrame:
     """Raw prices in USD at the last rate at or before ``fetched_at``; 1.0 without one.
 
-    The join is on (code, day), so a popular currency is spread over its days.
+    Offers and rates are merged in order of (code, time). Offers in USD or without a currency need no
+    rate and pass by.
     """
-    code = text.currency_code(F.col("currency"))
-    tagged = offers.withColumns({"code": code, "day": F.to_date("fetched_at")})
-    daily = daily_rates(rates)
-    # rates after the last known day keep their last value
-    last = rates.groupBy("code").agg(F.max(F.struct("valid_from", "rate")).alias("_last"))
-    joined = lookup(lookup(tagged, daily, ["code", "day"]), last, "code")
-    usable = F.filter("steps", lambda s: s["valid_from"] <= F.col("fetched_at"))
-    tail = F.when(F.col("_last.valid_from") <= F.col("fetched_at"), F.col("_last"))
-    found = F.coalesce(F.when(F.size(usable) > 0, F.element_at(usable, -1)), F.col("carry"), tail)
-    rate = F.when(F.col("code") == "USD", 1.0).otherwise(F.coalesce(found["rate"], F.lit(1.0)))
-    age = F.unix_timestamp("fetched_at") - F.unix_timestamp(found["valid_from"])
-    out = joined.withColumns({
-        "rate": rate,
-        "stale_rate": F.coalesce((F.col("code") != "USD") & (age >= fixed.RATE_FRESH_SECONDS), F.lit(False))})
-    price = F.when(F.col("rate") != 1.0, F.round(F.col("raw_price") * F.col("rate"), 8)) \
-        .otherwise(F.col("raw_price"))
-    return (out.withColumn("raw_price", price)
-            .withColumn("price_per_1k", F.round(F.col("raw_price") * 1000.0, 6))
-            .drop("day", "carry", "steps", "_last"))
+    tagged = offers.withColumn("code", text.currency_code(F.col("currency")))
+    foreign = F.coalesce(F.col("code") != "USD", F.lit(False))
+    found = as_of(tagged.filter(foreign), rates.select("code", "valid_from", "rate"), "code", "fetched_at", "valid_from", "_rate")
+    age = F.unix_timestamp("fetched_at") - F.unix_timestamp("_rate.valid_from")
+    found = found.withColumns({
+        "rate": F.coalesce("_rate.rate", F.lit(1.0)),
+        "stale_rate": F.coalesce(age >= fixed.RATE_FRESH_SECONDS, F.lit(False))}).drop("_rate")
+    own = tagged.filter(~foreign).withColumns({"rate": F.lit(1.0), "stale_rate": F.lit(False)})
+    price = F.when(F.col("rate") != 1.0, F.round(F.col("raw_price") * F.col("rate"), 8)).otherwise(F.col("raw_price"))
+    return (found.unionByName(own).withColumn("raw_price", price)
+            .withColumn("price_per_1k", F.round(F.col("raw_price") * 1000.0, 6)))
 
 
 # --- generic pages ----------------------------------------------------------------------
