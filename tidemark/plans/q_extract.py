@@ -144,15 +144,17 @@ def _(t):
     return extract.script_listing(script_pages(t), SHOP).withColumn("unit_price", F.round("unit_price", 6))
 
 
-def payload_bodies(t):
-    """API bodies, one per order, made of the order's lines."""
+def payload_bodies(t, listings=None):
+    """API bodies, one per order, and per version and sort where given listings have them, made of the order's lines."""
+    per = [] if listings is None else ["game_version", "sort"]
     result = F.struct(
         F.col("id").alias("offer_id"), F.col("raw_title").alias("title"), F.concat(F.lit(" "), "seller").alias("username"),
         F.when(F.col("lot_size") % 9 == 0, "n/a").when(F.col("lot_size") % 9 == 1, "")
         .otherwise(F.col("raw_price").cast("string")).alias("unit_price_in_usd"),
         F.lit(1).alias("min_qty"), F.col("amount_gold").alias("available_qty"),
         F.concat(F.lit("/g"), "lot_size").alias("offer_group"), F.lit("r1 ").alias("region_id"))
-    return (t.listings.filter("source = 'g2g'").groupBy(F.split_part("id", F.lit("-"), F.lit(1)).alias("body_id"))
+    return ((t.listings if listings is None else listings).filter("source = 'g2g'")
+            .groupBy(F.split_part("id", F.lit("-"), F.lit(1)).alias("body_id"), *per)
             .agg(F.to_json(F.struct(F.struct(F.collect_list(result).alias("results")).alias("payload"))).alias("body")))
 
 
@@ -165,16 +167,35 @@ def _(t):
     return extract.payload_rows(payload_bodies(t))
 
 
-@query("s10_titled_offers", """
-SELECT concat('g2g_', id) AS id, CASE WHEN raw_title = '' THEN '' ELSE regexp_extract(raw_title, '^(.+?)\\s*\\[', 1)
-         END AS server_name, CASE WHEN raw_title LIKE '%- Alliance' THEN 'Alliance' ELSE 'Horde' END AS faction,
-       raw_title, raw_price, amount_gold, 'Lowest Price' AS seller
-FROM listings WHERE source = 'g2g' AND lot_size % 9 > 1 AND raw_price > 0""")
+def titled_listings(t):
+    """Listings as the API gives them: a version and a sort per answer, some titles without version, some bilingual."""
+    realm = F.regexp_extract("raw_title", r"^(.+?)\s*\[", 1)
+    side = F.when(F.col("raw_title").endswith("- Alliance"), "alliance").otherwise("horde")
+    form, titled = F.col("lot_size") % 9, F.col("raw_title") != ""
+    return t.listings.withColumns({
+        "game_version": F.when(form == 8, "Retail").otherwise(F.col("game_version")),
+        "sort": F.when(F.col("amount_gold") % 2 == 0, "lowest_price").otherwise("recommended"),
+        "raw_title": F.when(titled & (form == 8), F.concat(F.lit("Мир ("), realm, F.lit(") - "), side))
+        .when(titled & (form == 7), F.concat(realm, F.lit(" [US] - "), F.initcap(side))).otherwise(F.col("raw_title"))})
+
+
+@query("s10_titled_offers", r"""
+SELECT concat('g2g_', id) AS id, realm AS server_name, side AS faction, v AS game_version,
+       CASE WHEN raw_title = '' THEN '' WHEN form = 8 THEN concat(realm, ' [RU - Retail] - ', side)
+            WHEN form = 7 AND v = 'Classic Era' THEN concat(realm, ' [US] - ', side)
+            WHEN form = 7 THEN concat(realm, ' [US - ', v, '] - ', side)
+            WHEN v = 'Classic Era' THEN raw_title
+            ELSE regexp_replace(raw_title, '\[([A-Z]{2,})\]', concat('[\1 - ', v, ']')) END AS raw_title,
+       raw_price, CASE v WHEN 'Classic Era' THEN 'per_unit' ELSE 'per_1k' END AS raw_price_unit, amount_gold,
+       CASE WHEN amount_gold % 2 = 0 THEN 'Lowest Price' ELSE 'Recommended' END AS seller
+FROM (SELECT *, lot_size % 9 AS form, CASE WHEN lot_size % 9 = 8 THEN 'Retail' ELSE game_version END AS v,
+             CASE WHEN raw_title = '' THEN '' ELSE regexp_extract(raw_title, '^(.+?)\s*\[', 1) END AS realm,
+             CASE WHEN raw_title LIKE '%- Alliance' THEN 'Alliance' ELSE 'Horde' END AS side
+      FROM listings) WHERE source = 'g2g' AND form > 1 AND raw_price > 0""")
 def _(t):
-    rows = extract.payload_rows(payload_bodies(t)).withColumns({
-        "game_version": F.lit("Classic Era"), "sort": F.lit("lowest_price"), "fetched_at": F.lit("2024-01-01")})
-    return extract.titled_offers(rows).select("id", "server_name", "faction", "raw_title", "raw_price",
-                                              "amount_gold", "seller")
+    rows = extract.payload_rows(payload_bodies(t, titled_listings(t))).withColumn("fetched_at", F.lit("2024-01-01"))
+    return extract.titled_offers(rows).select("id", "server_name", "faction", "game_version", "raw_title", "raw_price",
+                                              "raw_price_unit", "amount_gold", "seller")
 
 
 @query("j17_fx_conversion", """
