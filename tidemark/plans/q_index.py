@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import times
 from tidemark.operators import indexes, ranking
 from tidemark.operators.indexes import faction_fan_out
 from tidemark.plans.catalog import query, view
+from tidemark.session import new_path
 from tidemark.sources import tables
 
 # cheapest offer per (server, source, faction), under its faction and under All
@@ -349,7 +351,12 @@ def _(t):
 SELECT id, lower(server) AS server, CASE WHEN display_server = '' THEN lower(server) ELSE display_server END
   AS display_server FROM listings""")
 def _(t):
-    return tables.normal_offers(t.listings).select("id", "server", "display_server")
+    path = new_path(t.spark, "offers")
+    # columns that listings lack are null in the stored table
+    have = set(t.listings.columns)
+    t.listings.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in schemas.OFFERS)).write.parquet(path)
+    return tables.scan_offers(t.spark, path).select("id", "server", "display_server")
 
 
 @query("s2_multi_source_read", """
