@@ -193,3 +193,16 @@ def test_staging_removes_what_is_not_kept(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)path|file"):
         spark.read.parquet(gone.staged_at).count()
+
+
+def test_marked_loses_no_key(spark):
+    rows = spark.createDataFrame([(i if i % 10 else None, i * 7) for i in range(2000)] + [(None, None)], "a long, b long")
+    keys = rows.filter("b % 100 = 0 or b is null")
+    out = common.marked(rows, ["a", F.col("b")], keys)
+    assert out.columns == ["a", "b", "_may"]
+    got = [tuple(r) for r in out.collect()]
+    said = {(a, b) for a, b, may in got if may}
+    inside = {tuple(r) for r in keys.collect()}
+    assert len(got) == 2001 and inside <= said and len(said) < len(inside) + 20
+    none = common.marked(rows, ["a", "b"], keys.limit(0))
+    assert none.filter("_may").count() == 0 and none.count() == 2001

@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 
 from tidemark.session import new_path, release
 
-__all__ = ["buckets", "numbered", "release", "stable_hash", "staging", "stored", "table"]
+__all__ = ["buckets", "marked", "numbered", "release", "stable_hash", "staging", "stored", "table"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FILTER_WORDS = 1 << 20  # of 64 bits: what ``marked`` broadcasts is never more than these rows of two longs
 TEXTS_AT_ONCE = 2000  # whole texts that a worker holds in a batch; results do not depend on it
 
 _staged_here: ContextVar[list[DataFrame] | None] = ContextVar("_staged_here", default=None)
@@ -95,6 +96,26 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str = "idx
     return out
 
 
+def marked(rows: DataFrame, key: Sequence[str | Column], keys: DataFrame) -> DataFrame:
+    """``rows`` with a column _may: false only where ``key`` is surely not among ``keys``.
+
+    ``keys`` holds the same columns in the same order and types, nulls included, and should be stored. One hash sets
+    one of 2**26 bits, so the broadcast is bounded whatever the size of ``keys``; with many keys more
+    rows are marked in vain, and who needs certainty joins the marked ones. Rows that are not marked need
+    no shuffle. The columns _h, _at, _word and _bits are used in between.
+    """
+    bit = "cast(shiftrightunsigned(_h, 58) as int)"
+    bits = (keys.select(F.xxhash64(*keys.columns).alias("_h"))
+            .groupBy(F.col("_h").bitwiseAND(F.lit(_FILTER_WORDS - 1)).alias("_word"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits")))
+    # stored first, so that the broadcast itself is short
+    bits = F.broadcast(stored(bits, "bits"))
+    rows = (rows.withColumn("_h", F.xxhash64(*key)).withColumn("_at", F.col("_h").bitwiseAND(F.lit(_FILTER_WORDS - 1)))
+            .join(bits, F.col("_at") == F.col("_word"), "left"))
+    return (rows.withColumn("_may", F.coalesce(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1 = 1"), F.lit(False)))
+            .drop("_h", "_at", "_word", "_bits"))
+
+
 def stable_hash(*columns: str) -> Column:
     """63-bit hash of the columns, for salts and buckets."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))

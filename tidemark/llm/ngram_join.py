@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staging, stored, table
+from tidemark.llm.common import marked, release, staging, stored, table
 from tidemark.llm.components import components, joined_up
 from tidemark.llm.words import Words, chunks, mix
 
@@ -162,8 +162,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
 
     asked = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
              .join(nodes.select("node", "doc_id", "text_hash", "n", "d1", "d2"), "node"))
+    asked = stored(asked, "asked")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     wanted = asked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    # few texts are asked for: the others are left out before texts are shuffled
+    texts = marked(texts, ["doc_id", "text_hash"], wanted).filter("_may")
     # rows that repeat in every column stay apart until their digests have been made
     whole = (texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
              .select("text").mapInArrow(sets, "n long, d1 long, d2 long, shingles binary")
@@ -256,7 +259,8 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
     rows = (rows.withColumn("class", size_class).withColumn("place", F.explode(F.array(F.lit(0), F.lit(1))))
             .withColumn("tree", F.col("class") + F.col("place")).withColumn("home", F.col("place") == 0))
     if only is not None:
-        rows = rows.join(only, ["key", "tree"])
+        rows = (marked(rows, ["key", F.col("tree").cast("long")], only.select("key", "tree")).filter("_may").drop("_may")
+                .join(only, ["key", "tree"]))
     at = Window.partitionBy("key", "tree")
     rows = (rows.withColumn("size", F.count(F.lit(1)).over(at)).withColumn("at_home", F.max("home").over(at))
             .withColumn("lo", F.min("component").over(at)).withColumn("hi", F.max("component").over(at))
@@ -321,8 +325,13 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     full = features.filter("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
     classes = stored(classes, "classes")
-    nodes = full.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    nodes = stored(nodes, "nodes")
+    copies = stored(full.select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti"), "copies")
+    found = marked(full, ["row"], copies)
+    nodes = found.filter("not _may").unionByName(found.filter("_may").join(copies, "row", "left_anti"))
+    nodes = stored(nodes.drop("_may").withColumnRenamed("row", "node"), "nodes")
+    # only the narrow columns are needed to the end
+    rows = stored(features.select("doc_id", "text_hash", "n", "d1", "d2"), "rows")
+    release(features)
 
     at = Window.partitionBy("key")
     shared = (nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
@@ -344,7 +353,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = lambda rows: rows.filter("a is not null").select("a", "b").distinct()
     fresh = stored(pairs(found).join(tested, ["a", "b"], "left_anti"), "fresh")
     every = stored(joined_up(every, verified(fresh, "more")), "groups")
-    open_trees = found.filter("key is not null").select("key", "tree").distinct()
+    open_trees = stored(found.filter("key is not null").select("key", "tree").distinct(), "open")
     if not open_trees.isEmpty():
         rest = pairs(_searched(shared, every, nodes, percent, None, open_trees))
         rest = stored(rest.join(tested.unionByName(fresh), ["a", "b"], "left_anti"), "rest")
@@ -353,7 +362,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = (classes.join(every, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     found = named.join(least, "component").select("n", "d1", "d2", "component", "component_id")
-    return (features.select("doc_id", "text_hash", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
+    return (rows.join(found, ["n", "d1", "d2"], "left")
             .select("doc_id", "text_hash", "n", "component",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
@@ -385,11 +394,18 @@ def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
         counts = counts.join(firsts, "component").filter(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
         blank = rows.filter("component is null").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(1).alias("same")).distinct()
         kept_keys = keep(stored(counts.select("id", "hash", "same").unionByName(blank), "kept"))
+        plain = kept_keys.filter("same = 1")
+        others = rows.select("doc_id", "text_hash").distinct()
+        others = others.join(plain, others["doc_id"].eqNullSafe(plain["id"]) & (others["text_hash"] == plain["hash"]), "left_anti")
+        others = keep(stored(others, "others"))
     # the row as one column, so that its names cannot clash
     whole = docs.select(F.struct("*").alias("row"))
-    kept = whole.join(kept_keys, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash")))
+    key = [F.col("row.doc_id").cast("long"), F.xxhash64("row.text")]
+    # rows that surely stay, one by one, are not shuffled
+    whole = marked(whole, key, others)
+    kept = whole.filter("_may").join(kept_keys, key[0].eqNullSafe(F.col("id")) & (key[1] == F.col("hash")))
     single, several = kept.filter("same = 1"), kept.filter("same > 1").dropDuplicates(["id", "hash"])
-    return single.unionByName(several).select("row.*")
+    return whole.filter("not _may").select("row.*").unionByName(single.unionByName(several).select("row.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

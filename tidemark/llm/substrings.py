@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staging, stored, table
+from tidemark.llm.common import marked, staging, stored, table
 from tidemark.llm.words import Words, _power, chunks, mix
 
 LEAST_WORDS = 50  # words of a line, a paragraph or a window that goes
@@ -96,7 +96,7 @@ def paragraphs(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "unit")
     # digests that occur once are left out before any whole row is shuffled
     several = lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("d1", "d2")
-    lines = stored(lines.join(several, ["d1", "d2"], "left_semi"), "common-lines")
+    lines = stored(_among(lines, stored(several, "several-lines")), "common-lines")
     firsts = lines.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
     later = (lines.join(firsts, ["d1", "d2"]).filter(rank > F.col("first"))
              .select("doc_id", "text_hash", "unit", "start", "stop", "words").distinct())
@@ -106,6 +106,11 @@ def paragraphs(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
             .filter(F.col("words") >= min_words).select("doc_id", "text_hash", "start", "stop"))
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose columns of ``keys`` are found there."""
+    return marked(rows, keys.columns, keys).filter("_may").drop("_may").join(keys, keys.columns, "left_semi")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
@@ -172,7 +177,7 @@ def _windows(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
                      *map(pa.array, _digests(words.hashes, first, first + n))],
                     names=["doc_id", "text_hash", "start", "stop", "d1", "d2"])
 
-    texts = _keyed(docs)
+    texts = marked(_keyed(docs), ["doc_id", "text_hash"], runs.select("doc_id", "text_hash")).filter("_may")
     runs = (runs.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
             .agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
     return (texts.join(runs, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
@@ -200,16 +205,18 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_spans(docs: DataFrame, min_words: int) -> DataFrame:
     """Spans, not united yet, of the windows that occur before."""
     runs = stored(_runs(docs, min_words), "window-runs")
-    runs = stored(runs.join(runs.groupBy("name").count().filter("count > 1").select("name"), "name", "left_semi"), "named-runs")
+    names = stored(runs.groupBy("name").count().filter("count > 1").select("name"), "names")
+    runs = stored(_among(runs, names), "named-runs")
     place = (F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "start")
     # a run that repeats another word for word goes whole; every window's first place is in a first run
     firsts = stored(runs.groupBy("name", "body").agg(F.min(F.struct(*place, "head", "stop")).alias("first")), "first-runs")
     copies = _later(runs, firsts, F.struct(*place, "head", "stop"), ["name", "body"], "first.head")
     several = firsts.groupBy("name").agg((F.min("body") < F.max("body")).alias("several")).filter("several").select("name")
-    windows = stored(_windows(docs, firsts.join(several, "name", "left_semi").select("first.*"), min_words), "windows")
+    opened = stored(firsts.join(several, "name", "left_semi").select("first.*"), "open-runs")
+    windows = stored(_windows(docs, opened, min_words), "windows")
     # most windows still occur once: one number each says so
-    again = windows.groupBy("d1").count().filter("count > 1").select("d1")
-    windows = stored(windows.join(again, "d1", "left_semi"), "common-windows")
+    again = stored(windows.groupBy("d1").count().filter("count > 1").select("d1"), "again")
+    windows = stored(_among(windows, again), "common-windows")
     rank = F.struct(*place, "stop")
     kept = windows.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").drop("last")
     return copies.unionByName(_later(windows, kept, rank, ["d1", "d2"], "first.stop"))
@@ -267,13 +274,17 @@ def without_repeats(docs: DataFrame, min_words: int = LEAST_WORDS) -> DataFrame:
             out.append(text and _joined(left, text[at:]))
         return pa.array(out, pa.string())
 
-    gone = (repeats(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("gone")))
+    spans = repeats(docs, min_words)
+    gone = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     # the row as one column, so that its names cannot clash
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
-    rows = rows.join(gone, same, "left")
+    # texts that lose nothing are not shuffled
+    rows = marked(rows, [F.col("row.doc_id").cast("long"), F.xxhash64("row.text")], spans.select("doc_id", "text_hash"))
+    touched = rows.filter("_may").join(gone, same, "left")
     new = F.when(F.col("gone").isNotNull(), cut("row.text", "gone"))
-    rows = rows.select("row", new.alias("new")).filter(F.col("new").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    touched = touched.select("row", new.alias("new")).filter(F.col("new").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.filter("not _may").select("row", F.lit(None).cast("string").alias("new")).unionByName(touched)
     made = {"text": F.coalesce("new", "row.text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
