@@ -48,7 +48,27 @@ class Normalized:
     @property
     def clean(self) -> DataFrame:
         """Accepted rows, one per (source, id), the first in arrival order."""
-        return dedup(self.tagged.filter("reason IS NULL"), F.col("arrival"))
+        return self.clean_of(*self.tagged.columns)
+
+    def clean_of(self, *columns: str) -> DataFrame:
+        """The accepted rows with these columns only.
+
+        The order among equal arrivals takes in every column, so all of them go through the shuffle;
+        callers name the ones that they need.
+        """
+        needed = dict.fromkeys(("source", "id", "arrival", *columns))
+        return dedup(self.tagged.filter("reason IS NULL").select(*needed), F.col("arrival")).select(*columns)
+
+    @property
+    def accounting(self) -> DataFrame:
+        """One row: all rows, rejects, clean rows and duplicates, counted in one pass per (source, id)."""
+        per_id = self.tagged.groupBy("source", "id").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reason").isNull()).alias("accepted"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return per_id.agg(
+            total("rows").alias("input"), total(F.col("rows") - F.col("accepted")).alias("rejected"),
+            F.count_if(F.col("accepted") > 0).alias("clean"),
+            total(F.greatest(F.col("accepted") - 1, F.lit(0))).alias("duplicates"))
 
     @property
     def rejected(self) -> DataFrame:
@@ -69,14 +89,28 @@ class Normalized:
 TITLE = ["source", "display_server", "server_name", "raw_title", "faction", "game_version"]
 
 
+def title_key() -> Column:
+    """128 bits of the SHA-256 of a title's columns, each with its length ahead of it; rows carry it to
+    the join in place of six texts."""
+    parts = [part for c in TITLE for part in (F.length(c).cast("string"), F.lit(":"), F.col(c))]
+    return F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, 16)
+
+
+def with_plain_titles(listings: DataFrame) -> DataFrame:
+    """Title columns without nulls, and without labels that the title replaces anyway: those are often unique per row."""
+    rows = listings.withColumns({c: text.or_blank(F.col(c)) for c in TITLE})
+    replaced = (F.col("source") == "playerauctions") & text.strip(F.col("raw_title")).rlike(fixed.REGION_LABEL)
+    return rows.withColumn("display_server", F.when(replaced, "").otherwise(F.col("display_server")))
+
+
 def resolved_titles(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
                     registry_available: bool = True) -> DataFrame:
     """One row per different title of the listings, parsed and resolved.
 
     Titles repeat millions of times, so text is parsed once per title and not once per row.
-    Columns of ``TITLE`` are kept as ``key_*``; ``own_reason`` is the title's reject reason.
+    ``title_key`` stands for the columns of ``TITLE`` as given; ``own_reason`` is the title's reject reason.
     """
-    titles = listings.select(*TITLE).distinct().withColumns({f"key_{c}": F.col(c) for c in TITLE})
+    titles = listings.select(*TITLE).distinct().withColumn("title_key", title_key())
     rows = relabelled(titles).withColumn("given_label", F.col("display_server"))
     rows = with_default_faction(rows.withColumn("own_reason", title_reason()))
     if not registry_available:
@@ -92,15 +126,11 @@ def normalize(listings: DataFrame, aliases: DataFrame, servers: DataFrame,
     Without a registry nothing can be resolved; rows then pass with a label rebuilt from
     their title and are rejected only where that fails.
     """
-    rows = with_prices(listings.withColumns({c: text.or_blank(F.col(c)) for c in TITLE}))
-    # labels that the title replaces anyway are often unique per row
-    replaced = (F.col("source") == "playerauctions") & text.strip(F.col("raw_title")).rlike(fixed.REGION_LABEL)
-    rows = rows.withColumn("display_server", F.when(replaced, "").otherwise(F.col("display_server")))
+    rows = with_prices(with_plain_titles(listings))
     titles = materialize(resolved_titles(rows, aliases, servers, registry_available), "titles")
-    keys = {c: f"key_{c}" for c in TITLE}
-    joined = (lookup(rows.withColumnsRenamed(keys).drop("server_id", "realm_type"), titles,
-                     list(keys.values()))
-              .withColumn("server", F.coalesce("slug", "server")).drop("slug", *keys.values()))
+    keyed = rows.withColumn("title_key", title_key()).drop(*TITLE, "server_id", "realm_type")
+    joined = (lookup(keyed, titles, "title_key")
+              .withColumn("server", F.coalesce("slug", "server")).drop("slug", "title_key"))
     bad_title, bad_price = F.col("own_reason"), F.coalesce(F.col("price_per_1k"), F.lit(0.0)) <= 0
     where = F.concat(F.lit("server_name="), "server_name", F.lit(" display_server="), "display_server")
     reason = (F.when(bad_title.isNotNull(), bad_title).when(bad_price, "zero_price")

@@ -236,10 +236,7 @@ SELECT (SELECT count(*) FROM listings) AS input, (SELECT count(*) FROM sql_rejec
        (SELECT count(*) FROM sql_tagged WHERE reason IS NULL)
          - (SELECT count(DISTINCT (source, id)) FROM sql_tagged WHERE reason IS NULL) AS duplicates""")
 def _(t):
-    out = quality.Normalized(t.sql_tagged)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    counts = n(out.tagged, "input").crossJoin(n(out.rejected, "rejected")).crossJoin(n(out.clean, "clean"))
-    return counts.withColumn("duplicates", F.col("input") - F.col("rejected") - F.col("clean"))
+    return quality.Normalized(t.sql_tagged).accounting
 
 
 @query("v9_alias_conflict", _rejects_sql("alias_conflict"))
@@ -252,7 +249,7 @@ SELECT id, source, server_id, display_server, server_name, faction, price_per_1k
   SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY arrival) AS rn FROM sql_tagged
   WHERE reason IS NULL) WHERE rn = 1""")
 def _(t):
-    return quality.Normalized(t.sql_tagged).clean.select(
+    return quality.Normalized(t.sql_tagged).clean_of(
         "id", "source", "server_id", "display_server", "server_name", "faction", "price_per_1k", "amount_gold",
         "arrival")
 
