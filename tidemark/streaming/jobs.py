@@ -31,10 +31,13 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 def start_normalizer(listings: DataFrame, aliases: DataFrame, servers: DataFrame, clean_path: str,
                      rejected_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Every micro-batch through the batch pipeline; a batch owns one partition per output."""
+    """Every micro-batch through the batch pipeline; a batch owns one partition per output.
+
+    Clean rows are stored with the columns of listings.
+    """
     def each(batch: DataFrame, number: int) -> None:
         out = normalize(batch, aliases, servers)
-        for df, path in ((out.clean, clean_path), (out.rejected, rejected_path)):
+        for df, path in ((out.clean_of(*batch.columns), clean_path), (out.rejected, rejected_path)):
             (df.withColumn("batch", F.lit(number)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
     return _start(listings, each, checkpoint, trigger)
