@@ -25,6 +25,15 @@ def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", store: bool
     return facts.join(dim, on, how)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    Spark moves filters below a projection and merges projections, and then computes an expression once
+    for every use; nothing moves through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on all keys where null equals null; the keys come from the left side."""
     names = {k: f"_right_{k}" for k in keys}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
-from tidemark.plans.catalog import query, view
+from tidemark.plans.catalog import VIEWS, query, view
 from tidemark.sources import extract
 
 SHOP = "https://m.example.com"
@@ -24,6 +24,12 @@ FROM raw_offers
 """)
 
 
+def by_order(t, view_name: str):
+    """The view's lines with an order's lines in one partition: lines of lineitem are shuffled, not markup."""
+    offers = t.derive(VIEWS["raw_offers"], lineitem=t.lineitem.repartition("l_orderkey"))
+    return t.derive(VIEWS[view_name], raw_offers=offers)
+
+
 def listing_pages(t):
     item = F.concat(
         F.lit('<a href="/en/lots/offer?id='), "order_no", F.lit("-"), (F.col("part_no") % 4).cast("string"),
@@ -33,7 +39,7 @@ def listing_pages(t):
         F.lit(' </span></div></div><div class="tc-amount">'), "amount_gold",
         F.lit('</div><div class="tc-price"><div>'), "price_text", F.lit(' <span class="unit">'), "unit",
         F.lit("</span></div></div></a>"))
-    lines = t.listing_lines.groupBy("order_no").agg(
+    lines = by_order(t, "listing_lines").groupBy("order_no").agg(
         F.sort_array(F.collect_list(F.struct("place", item.alias("item")))).alias("l"))
     head, tail = F.lit("<html><body><div class='tc-header'>list</div>"), F.lit("</body></html>")
     return lines.select(F.col("order_no").alias("page_id"), F.lit("Classic Era").alias("game_version"),
@@ -105,7 +111,7 @@ def script_pages(t):
         F.lit('<div class="offer-title-colum"><a id="odpUrl-'), "offer_no", F.lit('" href="/offer/'), "offer_no",
         F.lit('">x</a><div class="offer-title-lv1">EU Classic Era</div><div class="offer-title-lv2">Realm '),
         "server_id", F.when(F.col("line_no") % 2 == 0, "- ").otherwise(" - "), "faction", F.lit("</div></div>")))
-    lines = t.script_lines.groupBy("order_no", "kind").agg(
+    lines = by_order(t, "script_lines").groupBy("order_no", "kind").agg(
         F.sort_array(F.collect_list(F.struct("place", entry.alias("e"), row.alias("r")))).alias("l"))
     script = F.concat(F.lit("<script>var pricePerUnitTail = '"), F.when(F.col("kind") == 0, "/K Gold").otherwise("/ Gold"),
                       F.lit("';\nvar offersModel = ["), F.array_join(F.transform("l", lambda x: x["e"]), ",\n"),

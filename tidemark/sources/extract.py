@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed, prices, text
 from tidemark.operators import filters
 from tidemark.operators.ranking import dedup_in_group_order
-from tidemark.operators.scale import as_of, first_per_key
+from tidemark.operators.scale import as_of, first_per_key, once
 
 
 def _class(name: str) -> str:
@@ -34,7 +34,9 @@ def plain(markup: Column) -> Column:
 def element_text(html: Column, class_name: str) -> Column:
     """Text of the first element of a class, '' without one."""
     pattern = rf"(?is)<(\w+)\b[^>]*{_class(class_name)}[^>]*>(.*?)</\1\s*>"
-    return plain(F.regexp_extract(html, pattern, 2))
+    # the name alone is found faster, and most often it is absent; (?i) folds A-Z only, as lower() does for ASCII
+    named = F.lower(html).contains(class_name)
+    return F.when(named, plain(F.regexp_extract(html, pattern, 2))).otherwise("")
 
 
 def attribute(html: Column, name: str) -> Column:
@@ -50,20 +52,24 @@ def listing_items(pages: DataFrame, base_url: str) -> DataFrame:
     the first stays, with items listed by realm.
     """
     rest = [c for c in pages.columns if c != "html"]
-    items = pages.select(*rest, F.posexplode(segments(F.col("html"), "tc-item")).alias("item_no", "item"))
+    items = (once(pages, _items=segments(F.col("html"), "tc-item"))
+             .select(*rest, F.posexplode("_items").alias("item_no", "item")))
     item = F.col("item")
-    items = items.filter(filters.online(attribute(item, "data-online")))
-    price = text.parse_number(element_text(item, "tc-price"))
-    shown = F.coalesce(text.blank_to_null(element_text(item, "tc-server")), F.lit("Unknown"))
-    href = attribute(item, "href")
-    rows = items.select(
-        *rest, "item_no", shown.alias("display_server"),
-        text.faction_or_default(element_text(item, "tc-side")).alias("faction"),
-        text.parse_amount(element_text(item, "tc-amount")).alias("amount_gold"),
-        price.alias("raw_price"),
-        text.seller_name(element_text(item, "media-user-name"), element_text(item, "tc-seller"),
-                         attribute(item, "data-seller"), attribute(item, "data-user"),
-                         attribute(item, "data-username")).alias("seller"),
+    items = once(items, _head=F.regexp_extract(item, r"(?s)^<[^>]*>", 0))
+    head = F.col("_head")
+    items = once(items, _online=attribute(head, "data-online")).filter(filters.online(F.col("_online")))
+    items = once(items, _price=element_text(item, "tc-price"), _server=element_text(item, "tc-server"),
+                 _side=element_text(item, "tc-side"), _amount=element_text(item, "tc-amount"),
+                 _user=element_text(item, "media-user-name"), _seller=element_text(item, "tc-seller"),
+                 _href=attribute(head, "href"))
+    href = F.col("_href")
+    rows = once(items, _raw_price=text.parse_number(F.col("_price"))).select(
+        *rest, "item_no", F.coalesce(text.blank_to_null(F.col("_server")), F.lit("Unknown")).alias("display_server"),
+        text.faction_or_default(F.col("_side")).alias("faction"),
+        text.parse_amount(F.col("_amount")).alias("amount_gold"),
+        F.col("_raw_price").alias("raw_price"),
+        text.seller_name(F.col("_user"), F.col("_seller"), attribute(head, "data-seller"),
+                         attribute(head, "data-user"), attribute(head, "data-username")).alias("seller"),
         F.when(href != "", F.coalesce(prices.absolute_url(href, base_url), href)).alias("offer_url"),
         prices.source_id(F.lit("funpay"), F.lit(""), href, item).alias("id"))
     rows = rows.filter(filters.plausible_price(F.col("raw_price"))).withColumn(
