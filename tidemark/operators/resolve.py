@@ -143,12 +143,17 @@ def realm_versions(servers: DataFrame) -> DataFrame:
             .agg(F.sort_array(F.collect_set(F.struct("version", "id"))).alias("versions")))
 
 
-def alias_coverage(offers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Alias keys of offers that the alias table lacks, with the number of offers."""
+def alias_coverage(offers: DataFrame, aliases: DataFrame, rows: Column | None = None) -> DataFrame:
+    """Alias keys of offers that the alias table lacks, with the number of offers.
+
+    ``rows`` is the number of offers that a row stands for, one unless given.
+    """
+    weight = F.lit(1) if rows is None else rows
     key = text.alias_key(F.col("source"), F.col("raw_title"), F.col("display_server"),
                          F.col("server_name"), F.col("faction"))
-    wanted = (offers.withColumn("alias_text", key).filter("alias_text IS NOT NULL")
+    wanted = (offers.withColumn("_rows", weight.cast("long")).withColumn("alias_text", key)
+              .filter("alias_text IS NOT NULL")
               .groupBy(F.lower("alias_text").alias("alias_key"))
-              .agg(F.min("alias_text").alias("alias_text"), F.count(F.lit(1)).alias("offers")))
+              .agg(F.min("alias_text").alias("alias_text"), F.sum("_rows").alias("offers")))
     known = aliases.select(F.lower("alias").alias("alias_key")).distinct()
     return wanted.join(known, "alias_key", "left_anti")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import times
+from tidemark.functions import text, times
 from tidemark.operators import extended, quality, resolve
+from tidemark.operators.scale import lookup
 from tidemark.plans.catalog import query, view
+from tidemark.session import materialize
 from tidemark.sources.tables import normal_offers
 
 _TIME = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ') AS {0}"
@@ -109,23 +111,32 @@ def _rejects_sql(reason: str) -> str:
 
 # --- joins ------------------------------------------------------------------------------
 
-def _keyed(t):
-    rows = quality.with_default_faction(quality.relabelled(normal_offers(t.listings)))
-    from tidemark.functions import text
-    return rows.withColumn("alias_text", text.alias_key(
+def _keyed_titles(t, listings=None):
+    """One row per different title with its alias key; text is parsed once per title. ``offers`` counts its rows."""
+    rows = quality.with_plain_titles(normal_offers(t.listings)) if listings is None else listings
+    titles = rows.groupBy(*quality.TITLE).agg(F.count(F.lit(1)).alias("offers"))
+    titles = quality.with_default_faction(quality.relabelled(titles.withColumn("title_key", quality.title_key())))
+    return titles.withColumn("alias_text", text.alias_key(
         F.col("source"), F.col("raw_title"), F.col("display_server"), F.col("server_name"), F.col("faction")))
 
 
+def _with_aliases(t, *columns):
+    """id and columns of every listing, with the alias of its title."""
+    listings = quality.with_plain_titles(normal_offers(t.listings))
+    titles = materialize(resolve.guarded(resolve.with_alias(
+        _keyed_titles(t, listings), t.aliases, t.servers).withColumn("found_id", F.col("alias_id")))
+        .select("title_key", *columns), "alias-titles")
+    return lookup(listings.select("id", quality.title_key().alias("title_key")), titles, "title_key").select("id", *columns)
+
+
 @query("j1_alias_lookup", "SELECT id, alias_text, alias_id, alias_conflict FROM sql_resolved")
 def _(t):
-    return resolve.with_alias(_keyed(t), t.aliases, t.servers).select("id", "alias_text", "alias_id",
-                                                                      "alias_conflict")
+    return _with_aliases(t, "alias_text", "found_id", "alias_conflict").withColumnRenamed("found_id", "alias_id")
 
 
 @query("j2_guarded_alias", "SELECT id, game_version, guarded_id AS alias_id FROM sql_resolved")
 def _(t):
-    return resolve.guarded(resolve.with_alias(_keyed(t), t.aliases, t.servers)).select(
-        "id", "game_version", "alias_id")
+    return _with_aliases(t, "game_version", "alias_id")
 
 
 @query("j3_parsed_title", f"""
@@ -156,15 +167,14 @@ def _(t):
 SELECT lower(alias_text) AS alias_key, min(alias_text) AS alias_text, count(*) AS offers FROM sql_keys
 WHERE alias_text IS NOT NULL AND lower(alias_text) NOT IN (SELECT lower(alias) FROM known_aliases) GROUP BY 1""")
 def _(t):
-    rows = quality.with_default_faction(quality.relabelled(normal_offers(t.listings)))
-    return resolve.alias_coverage(rows, t.known_aliases)
+    return resolve.alias_coverage(_keyed_titles(t), t.known_aliases, F.col("offers"))
 
 
 @query("u4_except", """
 SELECT DISTINCT lower(alias_text) AS alias_key FROM sql_keys WHERE alias_text IS NOT NULL
 EXCEPT SELECT lower(alias) FROM known_aliases""")
 def _(t):
-    keys = _keyed(t).filter("alias_text IS NOT NULL").select(F.lower("alias_text").alias("alias_key"))
+    keys = _keyed_titles(t).filter("alias_text IS NOT NULL").select(F.lower("alias_text").alias("alias_key"))
     return keys.subtract(t.known_aliases.select(F.lower("alias")))
 
 
