@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, embedding_dedup, merkle, spelling
+from tidemark.llm import common, embedding_dedup, merkle, ngram_join, spelling
 from tidemark.session import new_path
 
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -206,3 +206,20 @@ def test_marked_loses_no_key(spark):
     assert len(got) == 2001 and inside <= said and len(said) < len(inside) + 20
     none = common.marked(rows, ["a", "b"], keys.limit(0))
     assert none.filter("_may").count() == 0 and none.count() == 2001
+
+
+def test_ngram_points_take_half_a_byte_a_group_and_their_bound_holds():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 257, 900, 4000, 40000):
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        b = np.unique(np.concatenate((a[size // 5:], rng.integers(0, 1 << 63, size // 4, np.uint64))))
+        p, q = ngram_join.point(a), ngram_join.point(b)
+        assert len(p) <= max(8, len(a))
+        groups = 2 * min(len(p), len(q))
+        x, y = (ngram_join.fold(ngram_join.counts_of(v), groups) for v in (p, q))
+        assert x.sum() == len(a) and y.sum() == len(b)
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+    # counts of 16 and more in a group take more groups, not fewer bits
+    crowd = np.arange(40, dtype=np.uint64) << np.uint64(4)
+    assert ngram_join.counts_of(ngram_join.point(crowd)).sum() == 40
+    assert len(ngram_join.point(np.unique(rng.integers(0, 1 << 63, 500, np.uint64)))) <= 128

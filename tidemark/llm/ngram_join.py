@@ -67,18 +67,25 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def point(found: np.ndarray) -> bytes:
-    """Counts of the shingles by the low bits of their hash; the number of groups, a power of two,
-    is a quarter of the set's size or more, so that unrelated sets of any size lie far apart."""
+    """Counts of the shingles by the low bits of their hash, two to a byte; the number of groups, a power
+    of two, is a quarter of the set's size or more, so that unrelated sets of any size lie far apart, and
+    large enough for counts below 16."""
     groups = 16
     while 4 * groups < len(found):
         groups *= 2
     while True:
         counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if counts.max() < 256:
-            return counts.astype(np.uint8).tobytes()
+        if counts.max() < 16:
+            counts = counts.astype(np.uint8)
+            return (counts[:groups // 2] | counts[groups // 2:] << 4).tobytes()
         groups *= 2
 
 
+def counts_of(packed: bytes) -> np.ndarray:
+    both = np.frombuffer(packed, np.uint8)
+    return np.concatenate((both & 15, both >> 4))
+
+
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups."""
     return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
@@ -126,8 +133,8 @@ def _bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def near(n_a: pa.Array, p_a: pa.Array, n_b: pa.Array, p_b: pa.Array) -> pa.Array:
         keep = []
         for x, p, y, q in zip(n_a.to_numpy(), p_a.to_pylist(), n_b.to_numpy(), p_b.to_pylist(), strict=True):
-            groups = min(len(p), len(q))
-            common = np.minimum(fold(np.frombuffer(p, np.uint8), groups), fold(np.frombuffer(q, np.uint8), groups)).sum()
+            groups = 2 * min(len(p), len(q))
+            common = np.minimum(fold(counts_of(p), groups), fold(counts_of(q), groups)).sum()
             keep.append(bool(_may_link(x, y, common, percent)))
         return pa.array(keep, pa.bool_())
 
@@ -209,7 +216,7 @@ def tree_pairs(n: np.ndarray, points: list[bytes], comp: np.ndarray, block: np.n
 
     if m <= LEAF and not allowed(slice(0, m), slice(0, m)).any():
         return none, none, False
-    raw = [np.frombuffer(points[i], np.uint8) for i in order]
+    raw = [counts_of(points[i]) for i in order]
     groups = min(len(p) for p in raw)
     flat = np.stack([fold(p, groups) for p in raw])
     starts = np.arange(0, m, LEAF)
@@ -274,7 +281,12 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
     # where all pairs are asked for, a pair is given by the tree of its first common shingle alone: that
     # tree is searched here too, or it gave all its pairs before
     first_only = most is None
-    rows = rows.join(nodes.select("node", "n", "point", *(["keys"] if first_only else [])), "node")
+    wide = nodes.select("node", "n", "point", *(["keys"] if first_only else []))
+    if only is not None:
+        # few nodes lie in such trees: the others are left out before points and keys are shuffled
+        rows = stored(rows, "cells")
+        wide = marked(wide, ["node"], rows.select("node").distinct()).filter("_may").drop("_may")
+    rows = rows.join(wide, "node")
     cell = ["key", "tree", "low", "high"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +347,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     at = Window.partitionBy("key")
     shared = (nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-              .withColumn("leader", F.min("node").over(at)).withColumn("last", F.max("node").over(at))
-              .filter("leader < last").drop("last"))
+              .withColumn("leader", F.min("node").over(at)).withColumn("nodes", F.count(F.lit(1)).over(at))
+              .filter("nodes > 1"))
     shared = stored(shared, "shared")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -347,7 +359,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     stars = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     tested = stored(_bound(stars, nodes, percent), "stars")
     every = stored(components(verified(tested, "linked")), "groups")
-    shared = shared.drop("leader")
+    # two nodes are a leader and its only other one, a pair that is tested already
+    shared = shared.filter("nodes > 2").drop("leader", "nodes")
     # the best pairs of every tree, then all pairs of the trees that have more
     found = stored(_searched(shared, every, nodes, percent, BEST), "found")
     pairs = lambda rows: rows.filter("a is not null").select("a", "b").distinct()
