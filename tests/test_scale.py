@@ -116,3 +116,16 @@ def test_as_of(spark):
         assert (tuple(r["found"]) if r["found"] else None) == max(known, default=None)
     assert scale.as_of(df.limit(0), dim, "key", "time", "since", "found").count() == 0
     assert scale.as_of(df, dim.limit(0), "key", "time", "since", "found").filter("found is not null").count() == 0
+
+
+def test_order_statistics_cut_large_inputs_into_small_tasks(spark, monkeypatch):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", 10)
+    seen = []
+    stored = scale.materialize
+    monkeypatch.setattr(scale, "materialize", lambda df, at: (seen.append(spark.conf.get(name)), stored(df, at))[1])
+    rows = [(i % 3, float(i * 7 % 101)) for i in range(200)]
+    mid = scale.median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()
+    assert seen == ["20"] and spark.conf.get(name) == before
+    assert {r["k"]: r["median"] for r in mid} == {k: statistics.median(v for j, v in rows if j == k) for k in range(3)}

@@ -98,10 +98,10 @@ def price_quantiles(offers: DataFrame, quantiles: dict[str, float],
                     min_sample: int = fixed.PROFILE_MIN_SAMPLE) -> DataFrame:
     """Exact quantiles per (server_id, faction or All) with at least ``min_sample`` offers."""
     usable = offers.filter("server_id IS NOT NULL AND price_per_1k > 0")
-    fanned = faction_fan_out(usable.groupBy("server_id", "faction", "price_per_1k")
-                             .agg(F.count(F.lit(1)).alias("_n")))
+    # equal prices are summed ahead of the one shuffle that follows, under 'All' too
+    fanned = faction_fan_out(usable.select("server_id", "faction", "price_per_1k"))
     stats = order_statistics(fanned, ["server_id", "group_faction"], "price_per_1k",
-                             {name: position_of(q) for name, q in quantiles.items()}, F.col("_n"))
+                             {name: position_of(q) for name, q in quantiles.items()})
     return stats.filter(F.col("n") >= min_sample).withColumnRenamed("group_faction", "faction")
 
 

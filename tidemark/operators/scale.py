@@ -6,14 +6,39 @@ the same answers from pieces of bounded size: value bins, time slices or range p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
 
+ROWS_PER_TASK = 500_000  # rows of a shuffle partition where every row may be a group of its own
+_SMALL = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+          "spark.sql.files.maxPartitionBytes": "16m"}
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of queries that run inside have a partition per ``ROWS_PER_TASK`` of ``rows``, if that is more
+    than the session's number, and files are read in small pieces, so a task's memory does not grow with
+    the input. Results that leave the block must be stored in it."""
+    parts = -(-rows // ROWS_PER_TASK)
+    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        yield
+        return
+    before = {name: spark.conf.get(name) for name in _SMALL}
+    try:
+        for name, value in _SMALL.items():
+            spark.conf.set(name, value or parts)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", store: bool = False) -> DataFrame:
     """Join a large table with a dimension that has one row per key.
 
@@ -70,11 +95,17 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     Null values count nowhere; a null key is a key. Returns keys, ``v``, ``w`` (weight at v), ``before``, ``upto`` and ``total``. Equal
     values are summed ahead of the shuffle; the running sum is taken over bins first and
     then inside each bin, so no window holds more than the distinct values of one bin.
-    ``needed`` (a condition on bin_before, bin_upto, total) drops bins that cannot matter.
+    ``needed`` (a condition on bin_before, bin_upto, total) drops bins that cannot matter. Rows are counted
+    first, the result is stored.
     """
-    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull())
+    with small_tasks(df.sparkSession, rows.count()):
+        return materialize(_cumulative(rows, list(keys), value, weight, needed), "cumulative")
+
+
+def _cumulative(rows: DataFrame, keys: list[str], value: str, weight: Column | None, needed: Column | None) -> DataFrame:
     w = F.lit(1) if weight is None else weight
-    per_value = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
+    per_value = (rows.groupBy(*keys, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
                  .withColumn("bin", value_bin(F.col("v"))))
     bins = per_value.groupBy(*keys, "bin").agg(F.sum("w").alias("bin_w"))
     by_key = Window.partitionBy(*keys)
