@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, embedding_dedup, merkle, ngram_join, spelling
+from tidemark.llm import common, embedding_dedup, merkle, mixing, ngram_join, spelling
 from tidemark.session import new_path
 
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -223,3 +223,32 @@ def test_ngram_points_take_half_a_byte_a_group_and_their_bound_holds():
     crowd = np.arange(40, dtype=np.uint64) << np.uint64(4)
     assert ngram_join.counts_of(ngram_join.point(crowd)).sum() == 40
     assert len(ngram_join.point(np.unique(rng.integers(0, 1 << 63, 500, np.uint64)))) <= 128
+
+
+@pytest.mark.parametrize("words", [1, 8, 1 << 20])
+def test_labels_are_exact_however_full_the_bitmaps(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "_FILTER_WORDS", words)
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.col("id").cast("string").alias("text"))
+    for labels in (1, 4, 7):
+        known = common.stored(rows.select("row", F.pmod(F.xxhash64("row"), F.lit(labels)).alias("copies")), "known")
+        out = common.labelled(rows, "row", known, "copies", labels)
+        assert out.columns == ["row", "text", "copies"]
+        assert sorted(map(tuple, out.collect())) == sorted((r, str(r), c) for r, c in known.collect())
+    assert common.labelled(rows.limit(0), "row", known.limit(0), "copies", 4).count() == 0
+
+
+def test_the_mix_does_not_shuffle_texts(spark):
+    docs = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+                                             F.expr("array_join(transform(sequence(1, 30), i -> sha2(concat(id, ':', i), 256)), ' ')").alias("text"))
+    docs = common.stored(docs, "docs")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        mix = common.stored(mixing.mixed(docs), "mix")
+        assert written() - before < 1 << 20  # the texts are 6 MB
+        got = sorted(map(tuple, mix.groupBy("doc_id").count().collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    assert got == sorted((r["doc_id"], r["copies"]) for r in mixing.copies(sizes).collect() if r["copies"])

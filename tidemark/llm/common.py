@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.session import new_path, release
 
-__all__ = ["buckets", "marked", "numbered", "release", "stable_hash", "staging", "stored", "table"]
+__all__ = ["buckets", "labelled", "marked", "numbered", "release", "stable_hash", "staging", "stored", "table"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FILTER_WORDS = 1 << 20  # of 64 bits: what ``marked`` broadcasts is never more than these rows of two longs
@@ -116,6 +116,31 @@ def marked(rows: DataFrame, key: Sequence[str | Column], keys: DataFrame) -> Dat
             .drop("_h", "_at", "_word", "_bits"))
 
 
+def labelled(rows: DataFrame, key: str, known: DataFrame, label: str, labels: int) -> DataFrame:
+    """``rows`` with the column ``label`` of ``known``, a stored table with every ``key`` of ``rows`` and its
+    label, a whole number from 0 to ``labels`` - 1.
+
+    Every label has a bitmap as in ``marked``, of 2**26 bits for four labels and smaller for more, so the
+    broadcast is bounded. A key is in the bitmap of its own label; where it is in no other, the label is
+    certain and the row needs no shuffle. The rows left, few until keys are as many as bits, are joined.
+    The columns _h, _at and those called _label and _word are used in between.
+    """
+    words = max(1, _FILTER_WORDS >> max(0, (labels - 1).bit_length() - 2))
+    bit = "cast(shiftrightunsigned(_h, 58) as int)"
+    at = F.col("_h").bitwiseAND(F.lit(words - 1))
+    bits = (known.select(F.xxhash64(key).alias("_h"), label).groupBy(at.alias("_word"))
+            .agg(*(F.bit_or(F.when(F.col(label) == i, F.expr(f"shiftleft(1L, {bit})"))).alias(f"_label{i}")
+                   for i in range(labels))))
+    bits = F.broadcast(stored(bits, "bits"))
+    found = F.array_compact(F.array(*(F.when(F.expr(f"shiftrightunsigned(_label{i}, {bit}) & 1 = 1"), F.lit(i))
+                                      for i in range(labels))))
+    seen = (rows.withColumn("_h", F.xxhash64(key)).withColumn("_at", at).join(bits, F.col("_at") == F.col("_word"))
+            .withColumn("_label", found))
+    sure = seen.filter(F.size("_label") == 1).withColumn(label, F.element_at("_label", 1).cast("long"))
+    unsure = seen.filter(F.size("_label") > 1).select(*rows.columns).join(known.select(key, label), key)
+    return sure.select(*rows.columns, label).unionByName(unsure.select(*rows.columns, F.col(label).cast("long").alias(label)))
+
+
 def stable_hash(*columns: str) -> Column:
     """63-bit hash of the columns, for salts and buckets."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staging, stored, table
+from tidemark.llm.common import labelled, staging, stored, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -93,13 +93,15 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, see
 
     A null source is a source, the last one; null and empty texts have size 0 and come as often as their
     place in the source says. An empty table gives an empty table."""
-    # the row as one column, so that its names cannot clash
-    rows = stored(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
-    sizes = rows.select("whole.doc_id", "whole.source", n_words(F.col("whole.text")).alias("size"), "row")
+    # the row as one column, so that its names cannot clash; words are counted once, as texts are stored
+    rows = stored(docs.select(F.struct("*").alias("whole"), n_words(F.col("text")).alias("size"),
+                              F.monotonically_increasing_id().alias("row")), "rows")
+    sizes = rows.select("whole.doc_id", "whole.source", "size", "row")
     with staging() as keep:
-        taken = keep(stored(copies(sizes, weights, cap, seed).filter("copies > 0").select("row", "copies"), "taken"))
-    return (rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("whole.*"))
+        counted = keep(stored(copies(sizes, weights, cap, seed).select("row", "copies"), "counted"))
+    # texts stay where they are, but for rows whose copies the bitmaps leave open
+    return (labelled(rows.select("whole", "row"), "row", counted, "copies", cap + 1).filter("copies > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

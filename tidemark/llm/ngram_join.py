@@ -20,6 +20,7 @@ two components is left untested, so the components are those of all links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -291,7 +292,7 @@ def _searched(shared: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
-        for batch in (*batches, None):
+        for batch in chain(batches, (None,)):
             if batch is not None:
                 fresh = pa.Table.from_batches([batch])
                 kept = fresh if kept is None else pa.concat_tables([kept, fresh])
