@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, embedding_dedup, merkle, mixing, ngram_join, spelling
+from tidemark.llm import common, embedding_dedup, merkle, mixing, ngram_join, spelling, tokens
 from tidemark.session import new_path
 
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -252,3 +253,19 @@ def test_the_mix_does_not_shuffle_texts(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     assert got == sorted((r["doc_id"], r["copies"]) for r in mixing.copies(sizes).collect() if r["copies"])
+
+
+def test_marks_behind_letters_are_encoded_apart_from_them():
+    whole = tokens.Encoder(tokens.default_path())
+    library, rng, asked = whole.tokenizer, random.Random(8), []
+    marks = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [w + "".join(rng.choices(marks, k=k)) for w in ("abc", "Don", "éÇ", "s", "ENTchre") for k in (1, 2, 3, 5, 20) for _ in range(80)]
+    texts += [w + m + t for w in ("it", "queue") for m in (*marks, "###", "'s", "''", "<|endoftext|>", "|>") for t in ("", "s", "LL", "7")]
+    pieces = whole._pieces
+    whole._pieces = lambda some: asked.extend(some) or pieces(some)
+    ids, bounds = whole.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    asked.clear()
+    whole.encode(pa.array([f"{w}%%%" for w in ("einein", "thoues", "ndes", "Mentch")]))
+    assert asked == ["%%%"]

@@ -16,7 +16,7 @@ A document is read by its segment's row and a slice of the payload; nothing else
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         number, waiting = 0, []
-        for batch in (*batches, None):
+        for batch in chain(batches, (None,)):
             if batch is not None:
                 waiting.append(pa.Table.from_batches([batch]))
                 if sum(x.num_rows for x in waiting) < SEGMENT:

@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 KNOWN = 300_000  # pieces a worker remembers, and once more those of the generation before
 TOGETHER = 6 << 20  # bytes of texts that are encoded together
 LONG = 64  # longer pieces are not remembered
-MARKS = ".,!?;:"
-# runs of letters whose lower case is one letter, and a mark behind them
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017f]+)([.,!?;:]?)")
+# runs of letters whose lower case is one letter, and a run of marks behind them: the two are cut apart first,
+# but for an apostrophe; special tokens have < and |
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017f]+)([!-&(-/:;=-@\[-`{}~]*)")
 _TOUCHING = r"[.,][^\pL\pN\s]|[^\pL\pN\s][.,]|<\|"
 
 _encoders: dict[str, Encoder] = {}
@@ -58,7 +58,6 @@ class Encoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.marks = self._pieces(MARKS)
 
     def _pieces(self, pieces: Sequence[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
@@ -93,9 +92,11 @@ class Encoder:
         words = {word for _, word, _ in plain}
         known.update((w, older[w]) for w in words if w in older)
         known.update(self._words(list(words.difference(known))))
+        marks = {mark for _, _, mark in plain}
+        known.update(self._pieces(list(marks.difference(known))))
         for piece, word, mark in plain:
             if piece != word:
-                known[piece] = known[word] + self.marks[mark] if mark else known[word]
+                known[piece] = known[word] + known[mark]
         known.update(self._pieces(other))
         return [p for p in other if len(p) > LONG]
 
