@@ -9,17 +9,14 @@ from tidemark.functions import fixed, prices, text
 from tidemark.operators import filters
 from tidemark.operators.ranking import dedup_in_group_order
 from tidemark.operators.scale import as_of, first_per_key, once
-
-
-def _class(name: str) -> str:
-    """Pattern of a class attribute that lists ``name``."""
-    return rf"""class\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']"""
+from tidemark.sources.markup import FIELDS as ITEM_FIELDS
+from tidemark.sources.markup import class_pattern, page_items
 
 
 def segments(html: Column, class_name: str) -> Column:
     """The page cut in front of every element of a class; what precedes the first is dropped."""
-    parts = F.split(html, rf"(?i)(?=<\w+\b[^>]*{_class(class_name)})")
-    return F.filter(parts, lambda p: p.rlike(rf"(?i)^<\w+\b[^>]*{_class(class_name)}"))
+    parts = F.split(html, rf"(?i)(?=<\w+\b[^>]*{class_pattern(class_name)})")
+    return F.filter(parts, lambda p: p.rlike(rf"(?i)^<\w+\b[^>]*{class_pattern(class_name)}"))
 
 
 def plain(markup: Column) -> Column:
@@ -33,7 +30,7 @@ def plain(markup: Column) -> Column:
 
 def element_text(html: Column, class_name: str) -> Column:
     """Text of the first element of a class, '' without one."""
-    pattern = rf"(?is)<(\w+)\b[^>]*{_class(class_name)}[^>]*>(.*?)</\1\s*>"
+    pattern = rf"(?is)<(\w+)\b[^>]*{class_pattern(class_name)}[^>]*>(.*?)</\1\s*>"
     # the name alone is found faster, and most often it is absent; (?i) folds A-Z only, as lower() does for ASCII
     named = F.lower(html).contains(class_name)
     return F.when(named, plain(F.regexp_extract(html, pattern, 2))).otherwise("")
@@ -52,26 +49,20 @@ def listing_items(pages: DataFrame, base_url: str) -> DataFrame:
     the first stays, with items listed by realm.
     """
     rest = [c for c in pages.columns if c != "html"]
-    items = (once(pages, _items=segments(F.col("html"), "tc-item"))
+    items = (once(pages, _items=page_items(F.col("html").cast("binary")))
              .select(*rest, F.posexplode("_items").alias("item_no", "item")))
-    item = F.col("item")
-    items = once(items, _head=F.regexp_extract(item, r"(?s)^<[^>]*>", 0))
-    head = F.col("_head")
-    items = once(items, _online=attribute(head, "data-online")).filter(filters.online(F.col("_online")))
-    items = once(items, _price=element_text(item, "tc-price"), _server=element_text(item, "tc-server"),
-                 _side=element_text(item, "tc-side"), _amount=element_text(item, "tc-amount"),
-                 _user=element_text(item, "media-user-name"), _seller=element_text(item, "tc-seller"),
-                 _href=attribute(head, "href"))
+    items = items.select(*rest, "item_no", *[F.col(f"item.{c}").cast("string").alias(f"_{c}") for c in ITEM_FIELDS])
+    items = items.filter(filters.online(F.col("_online")))
     href = F.col("_href")
     rows = once(items, _raw_price=text.parse_number(F.col("_price"))).select(
         *rest, "item_no", F.coalesce(text.blank_to_null(F.col("_server")), F.lit("Unknown")).alias("display_server"),
         text.faction_or_default(F.col("_side")).alias("faction"),
         text.parse_amount(F.col("_amount")).alias("amount_gold"),
         F.col("_raw_price").alias("raw_price"),
-        text.seller_name(F.col("_user"), F.col("_seller"), attribute(head, "data-seller"),
-                         attribute(head, "data-user"), attribute(head, "data-username")).alias("seller"),
+        text.seller_name(F.col("_user"), F.col("_seller"), F.col("_data_seller"), F.col("_data_user"),
+                         F.col("_data_username")).alias("seller"),
         F.when(href != "", F.coalesce(prices.absolute_url(href, base_url), href)).alias("offer_url"),
-        prices.source_id(F.lit("funpay"), F.lit(""), href, item).alias("id"))
+        prices.source_id(F.lit("funpay"), F.lit(""), href, F.col("_markup")).alias("id"))
     rows = rows.filter(filters.plausible_price(F.col("raw_price"))).withColumn(
         "is_suspicious", prices.is_suspicious(F.round(F.col("raw_price") * 1000.0, 6)))
     unique = dedup_in_group_order(rows, "page_id", "display_server", "item_no", "id")
@@ -80,8 +71,8 @@ def listing_items(pages: DataFrame, base_url: str) -> DataFrame:
 
 def page_currency(pages: DataFrame) -> DataFrame:
     """Unit symbol of the first price of the page, '$' without one."""
-    price = F.regexp_extract("html", rf"(?is)<\w+\b[^>]*{_class('tc-price')}[^>]*>.*?"
-                                     rf"<(\w+)\b[^>]*{_class('unit')}[^>]*>(.*?)</\1\s*>", 2)
+    price = F.regexp_extract("html", rf"(?is)<\w+\b[^>]*{class_pattern('tc-price')}[^>]*>.*?"
+                                     rf"<(\w+)\b[^>]*{class_pattern('unit')}[^>]*>(.*?)</\1\s*>", 2)
     return pages.withColumn("currency", F.coalesce(text.blank_to_null(plain(price)), F.lit("$")))
 
 
