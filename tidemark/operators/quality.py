@@ -11,7 +11,7 @@ from tidemark.functions import fixed, text
 from tidemark.functions.prices import with_prices
 from tidemark.operators.ranking import dedup
 from tidemark.operators.resolve import enriched, resolved
-from tidemark.operators.scale import lookup
+from tidemark.operators.scale import lookup, maybe, repeated
 from tidemark.session import materialize
 
 
@@ -41,9 +41,15 @@ def with_default_faction(listings: DataFrame) -> DataFrame:
         text.strip(F.col("faction")) == "", fixed.DEFAULT_FACTION).otherwise(F.col("faction")))
 
 
+SLICES = 4  # every slice reads all listings again, so there are few
+SLICE_ROWS = 1_000_000
+
+
 @dataclass
 class Normalized:
+    """``repeated`` is a bitmap of the (source, id) of listings that come more than once, see ``sliced``."""
     tagged: DataFrame
+    repeated: DataFrame | None = None
 
     @property
     def clean(self) -> DataFrame:
@@ -57,7 +63,25 @@ class Normalized:
         callers name the ones that they need.
         """
         needed = dict.fromkeys(("source", "id", "arrival", *columns))
-        return dedup(self.tagged.filter("reason IS NULL").select(*needed), F.col("arrival")).select(*columns)
+        accepted = self.tagged.filter("reason IS NULL").select(*needed)
+        if self.repeated is None:
+            return dedup(accepted, F.col("arrival")).select(*columns)
+        if self.repeated.isEmpty():
+            return accepted.select(*columns)
+        accepted = maybe(accepted, self.repeated, "source", "id")
+        several = accepted.filter("_may").drop("_may")
+        return accepted.filter("NOT _may").select(*columns).unionByName(
+            dedup(several, F.col("arrival")).select(*columns))
+
+    def sliced(self, listings: DataFrame) -> list[Normalized]:
+        """The same rows in slices by id, for sinks that take one after the other; few rows are one slice.
+
+        ``listings`` are those that were normalized. Rows of ids that they have once are not shuffled for deduplication.
+        """
+        bits, rows = repeated(listings.withColumn("source", text.or_blank(F.col("source"))), "source", "id")
+        slices = min(SLICES, max(1, -(-rows // SLICE_ROWS)))
+        own = F.pmod(F.xxhash64("id"), F.lit(slices))
+        return [Normalized(self.tagged if slices == 1 else self.tagged.filter(own == i), bits) for i in range(slices)]
 
     @property
     def accounting(self) -> DataFrame:

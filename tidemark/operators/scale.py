@@ -83,6 +83,35 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return ranked if rank else ranked.drop(name)
 
 
+FILTER_WORDS = 1 << 20  # of 64 bits each
+_BIT = "cast(shiftrightunsigned(_h, 58) as int)"
+
+
+def _word() -> Column:
+    return F.col("_h").bitwiseAND(F.lit(FILTER_WORDS - 1))
+
+
+def repeated(rows: DataFrame, *key: str) -> tuple[DataFrame, int]:
+    """A bitmap of the keys that several rows have, for ``maybe``, and the number of rows; a null key is a key.
+
+    Only hashes of the keys are shuffled. The bitmap has 2**26 bits at most, whatever the number of keys. It is stored.
+    """
+    counted = rows.select(F.xxhash64(*key).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    words = materialize(counted.groupBy(_word().alias("_word")).agg(
+        F.bit_or(F.when(F.col("_n") > 1, F.expr(f"shiftleft(1L, {_BIT})"))).alias("_bits"), F.sum("_n").alias("_rows")), "repeated")
+    return words.filter("_bits IS NOT NULL").drop("_rows"), words.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+
+
+def maybe(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with a column _may: false only where ``key`` is surely not in the bitmap.
+
+    Many keys fill the bitmap, and then more rows are marked in vain; who needs certainty looks at these.
+    """
+    seen = rows.withColumn("_h", F.xxhash64(*key)).join(F.broadcast(bits), _word() == F.col("_word"), "left")
+    hit = F.expr(f"shiftrightunsigned(_bits, {_BIT}) & 1 = 1")
+    return seen.withColumn("_may", F.coalesce(hit, F.lit(False))).drop("_h", "_word", "_bits")
+
+
 def value_bin(c: Column) -> Column:
     """Bin that grows with the value: 64 bins for every doubling, one for all values <= 0."""
     return F.coalesce(F.when(c > 0, F.floor(F.log2(c) * 64)), F.lit(-(1 << 40))).cast("long")

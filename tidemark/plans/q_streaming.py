@@ -12,6 +12,7 @@ from tidemark.sources.tables import normal_offers
 from tidemark.streaming import jobs
 
 NOW = {"availableNow": True}
+REGISTRY_MOST = 500_000  # rows of a registry that is sent to all executors
 TICK = ("server_id", "faction", "recorded_at", "index_price", "best_ask", "sample_size")
 
 
@@ -66,7 +67,9 @@ WHERE rn = 1 AND reason IS NULL UNION ALL
 SELECT raw_id, source, NULL, NULL, reason FROM sql_rejected""")
 def _(t):
     raw = t.derive(VIEWS["raw_offers"], lineitem=stream_of(t, "lineitem"))
-    listings = normal_offers(t.derive(VIEWS["listings"], raw_offers=raw))
+    # a stream's plan is fixed before sizes are known; a registry that fits goes to the lines, which then stay in place
+    names = F.broadcast(t.server_names) if t.supplier.count() <= REGISTRY_MOST else t.server_names
+    listings = normal_offers(t.derive(VIEWS["listings"], raw_offers=raw, server_names=names))
     clean, rejected = new_path(t.spark, "clean"), new_path(t.spark, "rejected")
     done(jobs.start_normalizer(listings, t.aliases, t.servers, clean, rejected, new_path(t.spark, "cp"), NOW))
     good = t.spark.read.parquet(clean).select("id", "source", "server_id", "display_server",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -77,6 +78,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of queries that have ended go: Spark deletes them once nothing in the driver refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(*frames) -> None:
     """Deletes the folders of staged frames once everything made from them is stored itself.
 

@@ -17,6 +17,7 @@ from tidemark.operators.filters import since
 from tidemark.operators.indexes import server_index
 from tidemark.operators.quality import normalize
 from tidemark.operators.scale import first_per_key
+from tidemark.session import free_shuffles, remove_path
 from tidemark.sources import tables
 
 WATERMARK = {"5m": "10 minutes", "1h": "2 hours", "1d": "2 days"}
@@ -33,13 +34,24 @@ def start_normalizer(listings: DataFrame, aliases: DataFrame, servers: DataFrame
                      rejected_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Every micro-batch through the batch pipeline; a batch owns one partition per output.
 
-    Clean rows are stored with the columns of listings.
+    Clean rows are stored with the columns of listings. Those of a large batch are made slice by slice, and
+    shuffle files of a step go before the next one, so the disk holds those of one slice.
     """
+    def stored(rows: DataFrame, path: str, number: int, mode: str) -> None:
+        (rows.withColumn("batch", F.lit(number)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .option("compression", "zstd").partitionBy("batch").parquet(path))
+        free_shuffles(rows.sparkSession)
+
     def each(batch: DataFrame, number: int) -> None:
         out = normalize(batch, aliases, servers)
-        for df, path in ((out.clean_of(*batch.columns), clean_path), (out.rejected, rejected_path)):
-            (df.withColumn("batch", F.lit(number)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        stored(out.rejected, rejected_path, number, "overwrite")
+        slices = out.sliced(batch)
+        if len(slices) == 1:
+            return stored(slices[0].clean_of(*batch.columns), clean_path, number, "overwrite")
+        # a batch that is repeated begins anew, also if its first slice has no row
+        remove_path(batch.sparkSession, f"{clean_path}/batch={number}")
+        for part in slices:
+            stored(part.clean_of(*batch.columns), clean_path, number, "append")
     return _start(listings, each, checkpoint, trigger)
 
 
