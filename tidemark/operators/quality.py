@@ -41,7 +41,7 @@ def with_default_faction(listings: DataFrame) -> DataFrame:
         text.strip(F.col("faction")) == "", fixed.DEFAULT_FACTION).otherwise(F.col("faction")))
 
 
-SLICES = 4  # every slice reads all listings again, so there are few
+SLICES = 2  # every slice reads all listings again, so more would save disk and cost time
 SLICE_ROWS = 1_000_000
 
 
